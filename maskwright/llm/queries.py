@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op3_language
 from .packing import op7_packing
+from .quality import op1_quality
+from .secret_scan import op5_secrets
 from .token_files import op2_token_files
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
+    "op3_language": op3_language,
+    "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
