@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bloom_lm import op10_bloom_lm
 from .langid import op3_language
 from .packing import op7_packing
 from .quality import op1_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
