@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+_ARCHIVE = "maskwright_workers.zip"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -63,8 +66,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ship(spark: SparkSession) -> None:
+    """Let Spark hand this package to the executors, once for each context."""
+    context = spark.sparkContext
+    if any(Path(p).name == _ARCHIVE for p in context._python_includes):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="maskwright-")) / _ARCHIVE  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that very long texts don't fill a worker."""
+    """Make ready for Python workers: they get this package, and Arrow batches small enough for very long texts."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

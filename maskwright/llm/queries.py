@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bloom_lm import op10_bloom_lm
 from .langid import op3_language
 from .packing import op7_packing
+from .parity_join import op9_parity_join
 from .quality import op1_quality
 from .secret_scan import op5_secrets
 from .token_files import op2_token_files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_parity_join": op9_parity_join,
     "op10_bloom_lm": op10_bloom_lm,
 }
 
