@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bloom_lm import op10_bloom_lm
+from .decontamination import OP6_SQL, op6_decontamination
 from .langid import op3_language
 from .packing import op7_packing
 from .parity_join import op9_parity_join
@@ -20,10 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_language": op3_language,
     "op5_secrets": op5_secrets,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_parity_join": op9_parity_join,
     "op10_bloom_lm": op10_bloom_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
