@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bloom_lm import op10_bloom_lm
 from .decontamination import OP6_SQL, op6_decontamination
 from .langid import op3_language
+from .multi_index import op4_multi_index
 from .packing import op7_packing
 from .parity_join import op9_parity_join
 from .quality import op1_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_language": op3_language,
+    "op4_multi_index": op4_multi_index,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
