@@ -47,7 +47,7 @@ def pseudonyms(tokens: DataFrame, options: DataFrame, alternatives: int = 1, con
     ``tokens``: doc_id, sent_idx, tok_idx, text, eligible (boolean).  A word takes one
     of its options, chosen by word alone if ``consistent``, else by place and
     version.  At most ``most`` words of a sentence change, those with the least hash.
-    Words without options stay.
+    Words without options stay.  ``take`` says which words were open to change.
     """
     some = tokens.groupBy("doc_id", "sent_idx").agg(F.max(F.col("eligible").cast("int")).alias("any")).where("any = 1").select("doc_id", "sent_idx")
     rows = tokens.join(some, ["doc_id", "sent_idx"], "left_semi").withColumn("alt", F.explode(F.sequence(F.lit(0), F.lit(alternatives - 1))))
@@ -57,7 +57,7 @@ def pseudonyms(tokens: DataFrame, options: DataFrame, alternatives: int = 1, con
     keys = [F.col("text")] if consistent else [F.col("doc_id"), F.col("sent_idx"), F.col("tok_idx"), F.col("alt"), F.col("text")]
     joined = rows.join(options.select(F.col("word").alias("text"), "options"), "text", "left")
     chosen = F.get("options", pick(F.size("options"), *keys).cast("int"))
-    return joined.withColumn("new_text", F.when(F.col("take") & F.col("options").isNotNull(), chosen).otherwise(F.col("text"))).drop("options", "take")
+    return joined.withColumn("new_text", F.when(F.col("take") & F.col("options").isNotNull(), chosen).otherwise(F.col("text"))).drop("options")
 
 
 def random_digits(words: DataFrame, vocab: DataFrame) -> DataFrame:

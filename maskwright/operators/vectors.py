@@ -24,11 +24,16 @@ def norm(a: str | Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalised(a: str | Column) -> Column:
     """Unit length; null for the zero vector."""
     c = F.col(a) if isinstance(a, str) else a
-    n = norm(c)
-    return F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n))
+    with_norm = bound(c, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return bound(with_norm, lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x.cast("double") / p["n"])))
 
 
 def checked_matrix(words: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -115,22 +120,26 @@ def noise_report(found: DataFrame, ranks_up_to: tuple[int, ...] = (1, 3, 5, 10),
     )
 
 
+def _uniform(i: Column, h: Column, seed: int) -> Column:
+    """In [0, 1), by place, row and seed."""
+    return F.pmod(F.xxhash64(i, h, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def gaussian_noise(a: str, scale: float, seed: int, loc: float = 0.0, clip: float | None = None) -> Column:
     """A vector with noise on every component; noise differs by component through its place."""
-    def one(x: Column, i: Column) -> Column:
-        u1 = (F.pmod(F.xxhash64(i, F.col(a), F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-        u2 = F.pmod(F.xxhash64(i, F.col(a), F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-        noise = loc + scale * F.sqrt(-2 * F.log(u1)) * F.cos(2 * np.pi * u2)
+
+    def one(x: Column, i: Column, h: Column) -> Column:
+        noise = loc + scale * F.sqrt(-2 * F.log(1 - _uniform(i, h, seed))) * F.cos(2 * np.pi * _uniform(i, h, seed + 1))
         if clip is not None:
             noise = F.greatest(F.least(noise, F.lit(clip)), F.lit(-clip))
         return x.cast("double") + noise
 
-    return F.transform(a, one)
+    return bound(F.xxhash64(F.col(a)), lambda h: F.transform(a, lambda x, i: one(x, i, h)))
 
 
 def dropout(a: str, probability: float, seed: int) -> Column:
     """A vector with components set to 0 at the given rate."""
-    return F.transform(a, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.col(a), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < probability, 0.0).otherwise(x.cast("double")))
+    return bound(F.xxhash64(F.col(a)), lambda h: F.transform(a, lambda x, i: F.when(_uniform(i, h, seed) < probability, 0.0).otherwise(x.cast("double"))))
 
 
 def hashed_embedding(word: str) -> list[float]:

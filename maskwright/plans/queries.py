@@ -316,7 +316,7 @@ def overlap_merge(spark, sf_dir):
 
 @query(
     "interval_merge_events",
-    "WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 3600 AS e, event_type FROM events), "
+    "WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 AS e, event_type FROM events), "
     "r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), "
     "q AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e, event_type ROWS UNBOUNDED PRECEDING) AS isl FROM r) "
     "SELECT user_id, min(s) AS \"start\", max(e) AS \"end\", count(*) AS n, arg_min(event_type, (s, e, event_type)) AS tag_type FROM q GROUP BY user_id, isl",
@@ -328,8 +328,8 @@ def interval_merge_events(spark, sf_dir):
 
 @query(
     "redact_text",
-    f"WITH {_SIDES}, {_ISLANDS}, l AS (SELECT i.*, d.text, lag(i.\"end\", 1, 0) OVER (PARTITION BY i.doc_id ORDER BY i.\"start\") AS at, max(i.\"end\") OVER (PARTITION BY i.doc_id) AS z FROM islands i JOIN documents d USING (doc_id)), "
-    "m AS (SELECT doc_id, string_agg(substr(text, at::INT + 1, (\"start\" - at)::INT) || '[' || tag_type || ']', '' ORDER BY \"start\") || substr(max(text), max(z)::INT + 1) AS masked FROM l GROUP BY doc_id) "
+    f"WITH {_SIDES}, {_ISLANDS}, l AS (SELECT i.*, d.text, lag(i.\"end\", 1, 0) OVER (PARTITION BY i.doc_id ORDER BY i.\"start\") AS done, max(i.\"end\") OVER (PARTITION BY i.doc_id) AS z FROM islands i JOIN documents d USING (doc_id)), "
+    "m AS (SELECT doc_id, string_agg(substr(text, done::INT + 1, (\"start\" - done)::INT) || '[' || tag_type || ']', '' ORDER BY \"start\") || substr(max(text), max(z)::INT + 1) AS masked FROM l GROUP BY doc_id) "
     "SELECT d.doc_id, md5(coalesce(m.masked, d.text)) AS md5_text, length(coalesce(m.masked, d.text))::INT AS n FROM documents d LEFT JOIN m USING (doc_id)",
 )
 def redact_text(spark, sf_dir):
