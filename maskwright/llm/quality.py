@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +121,12 @@ class PassageFeatures:
         return out, owner
 
 
+@functools.cache
+def _features() -> PassageFeatures:
+    """The features of this process; a worker keeps its word table from task to task."""
+    return PassageFeatures()
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -180,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = SAMPLE_
     bounded_batches(docs.sparkSession)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = PassageFeatures()
+        features = _features()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = [features([t])[0].astype(np.float16).tobytes() for t in texts]
@@ -197,7 +204,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = PassageFeatures()
+        features = _features()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             scores, top = np.full(len(texts), 0.5), np.zeros(len(texts), np.int32)
@@ -212,6 +219,24 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, score double, top_passage int")
 
 
+def accepted(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without those that score below ``threshold``.  Without a model all stay."""
+    if not model:
+        return docs
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        features = _features()
+        out = np.zeros(len(texts), bool)
+        values = texts.fillna("").tolist()
+        for lo, hi in in_portions(map(len, values), 6 * PORTION):
+            out[lo:hi] = forward(model, *features(values[lo:hi]))["score"] >= threshold
+        return pd.Series(out)
+
+    return docs.where(good(F.col("text").cast("string")))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all ``documents``; labels of every fourth hash value are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
