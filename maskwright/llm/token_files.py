@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, scratch_path, stored, texts_of
-from .tokens import END_ID, ChunkEncoder, tokenizer_path
+from .tokens import END_ID, ChunkEncoder, encoder_of, tokenizer_path
 
 MAGIC = b"MWTK1\n"
 #: Documents that the dictionary is trained on, and bytes of the dictionary.
@@ -167,7 +167,7 @@ def write_tokens(
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, press = ChunkEncoder(tokenizer, word_ends), _compressor(dictionary)
+        own, press = encoder_of(tokenizer, word_ends), _compressor(dictionary)
         end = serialise(np.array([END_ID]), 4)
         index, frames, at, n_tokens = [], [], 0, 0
         name = f"{uuid.uuid4().hex}.mwtk"

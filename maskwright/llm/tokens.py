@@ -8,6 +8,7 @@ Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from struct import pack
@@ -17,7 +18,7 @@ import numpy as np
 #: End mark that each document gets.
 END_ID = 0
 #: Chunks remembered by one worker.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 300_000
 
 _IRREGULAR = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -75,6 +76,12 @@ class ChunkEncoder:
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str, word_ends: bool) -> ChunkEncoder:
+    """The encoder of this process; a worker keeps it from task to task."""
+    return ChunkEncoder(path, word_ends)
+
+
 class _Chunks(dict):
     """chunk -> ids; what was not asked for since the last turnover goes at the next."""
 
