@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, in_portions, lower_ascii, mix, remainder, stored, texts_of
+from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, remainder, stored, texts_of
 
-END = ""  # no word is empty
+END = b""  # no word is empty
 MU = 2.0
 #: Bits for each level of a key, probes for each level, and the most bytes of one filter.
 BITS_PER_LEVEL, PROBES, FILTER_BYTES = 9, 4, 128 << 20
@@ -61,8 +61,8 @@ _STEP, _LOW, _ALL = 0xD1B54A32D192ED03, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 SHARE = 1024
 
 
-def tokens_of(text: str) -> list[str]:
-    words = ascii_words(lower_ascii(text))
+def tokens_of(text: str) -> list[bytes]:
+    words = ascii_words(text)
     words.append(END)
     return words
 
@@ -164,7 +164,7 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """(word, n) of all tokens, and sizes: N, V, and the levels of distinct bigrams as estimated from a fixed share of the key space."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         sampled: Counter[int] = Counter()
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -178,7 +178,7 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
                 yield from _rows(seen, "w")
                 seen.clear()
         yield from _rows(seen, "w")
-        yield from _rows({str(k): n for k, n in sampled.items()}, "b")
+        yield from _rows({str(k).encode(): n for k, n in sampled.items()}, "b")
 
     counted = docs.select("text").mapInArrow(count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     table = stored(counted, "words")
@@ -195,7 +195,7 @@ def _rows(counts, kind: str) -> Iterator[pa.RecordBatch]:
     words = list(counts)
     for lo in range(0, len(words), 20_000):
         part = words[lo : lo + 20_000]
-        yield pa.RecordBatch.from_pydict({"kind": [kind] * len(part), "word": pa.array(part, pa.string()), "n": pa.array([counts[w] for w in part], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"kind": [kind] * len(part), "word": pa.array(part, pa.binary()).cast(pa.string()), "n": pa.array([counts[w] for w in part], pa.int64())})
 
 
 def unigram_key(hashes: np.ndarray) -> np.ndarray:
@@ -377,7 +377,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     else:
                         for k, t in enumerate(texts[lo:hi]):
                             a = ends[k] - sizes[k]
-                            out["rest"].append([w for w, here in zip(tokens_of(t), inside[a : ends[k]], strict=True) if not here])
+                            out["rest"].append([w.decode() for w, here in zip(tokens_of(t), inside[a : ends[k]], strict=True) if not here])
                 if last:
                     out["levels"] = [b""] * len(texts)
                 kept = texts if not last else [""] * len(texts)

@@ -104,13 +104,13 @@ class WordHashes(dict):
         super().__init__()
         self.limit, self.seed = limit, seed
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[str] | list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -138,24 +138,9 @@ def in_portions(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, end + 1
 
 
-#: ASCII white space: words are what lies between.
-SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_TO_SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-def ascii_words(text: str) -> list[str]:
-    """``[^\\x20\\x09-\\x0D]+`` of ``text``."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+def ascii_words(text: str) -> list[bytes]:
+    """``[^\\x20\\x09-\\x0D]+`` of ``text`` with A-Z in lower case, as UTF-8: just what bytes know of cases and spaces."""
+    return text.encode().lower().split()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep: Column, bound: int) -> DataFrame:

@@ -9,6 +9,8 @@ from .common import delete_path, scratch_path
 
 #: Rounds after which something must be wrong: labels halve their distance each round.
 MOST_ROUNDS = 60
+#: Edges that a task of a round should get, and tasks at least: a small graph does not pay for every shuffle partition.
+EDGES_PER_TASK, TASKS = 200_000, 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,25 +25,27 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     paths: list[str] = []
+    tasks = TASKS
 
     def kept(df: DataFrame) -> DataFrame:
         paths.append(scratch_path(spark, "edges"))
-        df.write.parquet(paths[-1])
+        df.coalesce(tasks).write.parquet(paths[-1])
         if len(paths) > 2:
             delete_path(spark, paths.pop(0))
         return spark.read.schema("a long, b long").parquet(paths[-1])
 
     def starred(pairs: DataFrame) -> DataFrame:
         """Each node and each neighbour not below it, to the least of the node and its neighbours."""
-        least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return pairs.join(least, "a")
+        least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+        return pairs.join(least, "a").coalesce(tasks)
 
     # from larger to smaller node
     graph = kept(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    tasks = max(TASKS, graph.count() // EDGES_PER_TASK)
     before = None
     for _ in range(MOST_ROUNDS):
         both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = starred(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = starred(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks)
         small = starred(large)
         graph = kept(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         # settled once a round changes nothing: every node then points at its least node

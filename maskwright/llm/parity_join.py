@@ -7,9 +7,11 @@ Jaccard similarity at least P/Q only if their symmetric difference is at most
 
 *Parity sketch*: every shingle flips one bit of a bit sketch, chosen by its
 hash; so the Hamming distance of two sketches never exceeds the symmetric
-difference of the sets.  *Pigeonhole*: a sketch of D + 1 words of 64 bits has, for
-any qualifying pair, at least one word in which the two agree.  Sketch widths
-must agree, so sets are put in *size bands*; a set takes part in its own
+difference of the sets.  *Pigeonhole*: of W > D words of a sketch, a qualifying
+pair has at least W - D in which the two agree.  Words are ``WORD_BITS`` wide and
+mostly blank, so they are kept as hashes of their set bits.  A set gives a key
+for each word that isn't blank; if more than W - D - 1 of its words are blank, for
+those as well.  Then any qualifying pair shares a key.  Sketch widths must agree, so sets are put in *size bands*; a set takes part in its own
 band and in the band below, where the partner may be.  Documents that share a
 (band, word number, word) key are candidates and are verified on their whole
 shingle sets.  No qualifying pair is lost.
@@ -32,21 +34,24 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, in_portions, lower_ascii, mix, stored, texts_of
+from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, stored, texts_of
 from .components import components
 
 _U = np.uint64
 #: Characters handled at once; rounds of comparing with centres.
 PORTION, ROUNDS = 2_000_000, 2
+WORD_BITS = 1 << 20
 
 
 def most_different(total: int | np.ndarray, threshold: Fraction) -> int | np.ndarray:
@@ -64,11 +69,33 @@ def bands(threshold: Fraction, most: int = 1 << 31) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def sketch_words(band: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Words of a sketch in a band: one more than the largest difference of a pair whose smaller set lies there."""
+@functools.lru_cache(8)
+def _widths(threshold: Fraction) -> np.ndarray:
+    """Words of a sketch for each band.
+
+    D + 1 words, D being the largest difference of a pair whose smaller set lies
+    in the band, and as many more as a set of the band may leave without a bit
+    (four standard deviations above what is expected).
+    """
     ends = bands(threshold)
-    small = ends[band + 1] - 1
-    return most_different(small + small * threshold.denominator // threshold.numerator, threshold) + 1
+    out = []
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        small = high - 1
+        need = most_different(small + small * threshold.denominator // threshold.numerator, threshold) + 1
+        words = need
+        while need > 1 and words < 4 * low:
+            blank = words * math.exp(-low / words)
+            if words - blank - 4 * math.sqrt(blank) >= need:
+                break
+            words += max(1, words // 64)
+        out.append((need, words))
+    return np.array(out, np.int64)
+
+
+def sketch_words(band: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """D + 1, and the number of words, of sketches in a band."""
+    both = _widths(threshold)[band]
+    return both[..., 0], both[..., 1]
 
 
 @functools.cache
@@ -78,11 +105,11 @@ def _hashes() -> WordHashes:
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles of ``n`` words."""
-    words = ascii_words(lower_ascii(text))
+    words = ascii_words(text)
     if not words:
         return np.zeros(0, _U)
     if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest("\x00".join(words), len(words))], _U)
+        return np.array([xxhash.xxh64_intdigest(b"\x00".join(words), len(words))], _U)
     h = _hashes().array(words)
     out = h[: len(h) - n + 1]
     for k in range(1, n):
@@ -97,29 +124,37 @@ def sketch_keys(sets: list[np.ndarray], threshold: Fraction) -> tuple[np.ndarray
     ends = bands(threshold)
     own = np.searchsorted(ends, sizes, "right") - 1
     numbers, keys = [], []
+    who = np.repeat(np.arange(len(sets)), sizes)
+    h = mix(elements ^ _U(0x2545F4914F6CDD1D))
+    bit = mix(h & _U(WORD_BITS - 1))  # which bit of its word a shingle flips, as the hash of a word of that bit alone
     for down in (0, 1):
         band = own - down
         use = band >= 0
         if down:  # a partner in the band below must be large enough
             largest = (ends[np.maximum(band, 0) + 1] - 1) * threshold.denominator // threshold.numerator
             use &= sizes <= largest
-        count = np.where(use, sketch_words(np.maximum(band, 0), threshold), 0)
-        offset = np.cumsum(count) - count
-        who = np.repeat(np.arange(len(sets)), sizes)
+        need, count = sketch_words(np.maximum(band, 0), threshold)
         inside = use[who]
-        h = mix(elements[inside] ^ _U(0x2545F4914F6CDD1D))
-        word = (((h >> _U(32)) * count[who[inside]].astype(_U)) >> _U(32)).astype(np.int64)
-        at = offset[who[inside]] + word
-        # exclusive or of one-hot bits: parities of the counts of (word, bit)
-        spot = np.sort(at * 64 + (h & _U(63)).astype(np.int64))
-        first = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]) if len(spot) else np.zeros(0, int)
-        odd = spot[first][np.diff(np.r_[first, len(spot)]) % 2 == 1]
-        sketch = np.zeros(int(count.sum()), _U)
-        np.bitwise_or.at(sketch, odd >> 6, _U(1) << (odd & 63).astype(_U))
-        number = np.repeat(np.arange(len(sets)), count)
-        place = (np.arange(len(sketch)) - offset[number]).astype(_U)
+        owner = who[inside]
+        word = (((h[inside] >> _U(32)) * count[owner].astype(_U)) >> _U(32)).astype(np.int64)
+        at = owner << 32 | word
+        order = np.argsort(at, kind="stable")
+        at, flips = at[order], bit[inside][order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+        # a word's hash: exclusive or over its set bits; two flips of one bit undo each other
+        value = np.bitwise_xor.reduceat(flips, first) if len(first) else flips
+        number, place = at[first] >> 32, (at[first] & 0xFFFFFFFF).astype(_U)
+        clear = value == 0
+        number, place, value = number[~clear], place[~clear], value[~clear]
+        # blank words need no key while words enough are not blank
+        blank = count - np.bincount(number, minlength=len(sets))
+        for k in np.flatnonzero(use & (blank > count - need)):
+            gaps = np.setdiff1d(np.arange(count[k]), place[number == k].astype(np.int64))
+            number = np.r_[number, np.full(len(gaps), k)]
+            place = np.r_[place, gaps.astype(_U)]
+            value = np.r_[value, np.zeros(len(gaps), _U)]
         numbers.append(number)
-        keys.append(mix(mix(sketch + _U(0x9E3779B97F4A7C15) * (place + _U(1))) ^ (band[number].astype(_U) * _U(0xBF58476D1CE4E5B9))))
+        keys.append(mix(mix(value + _U(0x9E3779B97F4A7C15) * (place + _U(1))) ^ (band[number].astype(_U) * _U(0xBF58476D1CE4E5B9))))
     return np.concatenate(numbers), np.concatenate(keys)
 
 
@@ -200,38 +235,134 @@ def link_classes(docs: DataFrame, n: int, threshold: Fraction, rounds: int = ROU
     spark = docs.sparkSession
     rows = stored(shingle_classes(docs, n), "rows")
     # aggregated before they are exchanged, so thousands of copies are a row for each task
-    classes = stored(rows.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class")), "classes")
+    classes = stored(rows.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class")).coalesce(_tasks(rows)), "classes")
     members = rows.join(classes, ["high", "low"], "left").select("doc_id", "n_shingles", "class")
-    groups = stored(shared_keys(docs, n, threshold).join(classes.select("low", F.col("class").alias("id")), "low").select("key", "id"), "groups")
-    sets = _sets(docs, groups.select(F.col("id").alias("doc_id")).distinct(), n)
+    groups = stored(shared_keys(docs, n, threshold).join(classes.select("low", F.col("class").alias("id")), "low").select("key", "id").coalesce(_tasks(rows)), "groups")
+    tasks = _tasks(groups)
+    sets = _sets(docs, groups.select(F.col("id").alias("doc_id")).distinct().coalesce(tasks), n)
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    for r in range(rounds + 1):
-        if links is None:
-            open_ = groups.withColumn("part", F.col("id"))
-        else:
-            open_ = groups.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-            mixed = open_.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-            open_ = open_.join(mixed, "key", "left_semi")
-        if r < rounds:
-            order = F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"), F.col("part").alias("part"))
-            centre = open_.groupBy("key").agg(F.min(order).alias("c"))
-            pairs = open_.join(centre, "key").where("part <> c.part").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-        else:
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"pairs{r}")
+    parts: DataFrame | None = None  # components so far
+    for r in range(rounds):
+        open_ = _open(groups, parts, ["key"], tasks)
+        order = F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"), F.col("part").alias("part"))
+        centre = open_.groupBy("key").agg(F.min(order).alias("c")).coalesce(tasks)
+        pairs = open_.join(centre, "key").where("part <> c.part").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+        pairs = stored(pairs.coalesce(tasks).distinct().coalesce(tasks), f"pairs{r}")
         if pairs.isEmpty():
             break
         good = stored(verified(pairs, sets, threshold), f"links{r}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    return members, components(links)
+        if not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            parts = components(links)
+    else:
+        good = stored(_rest(groups, parts, sets, threshold, tasks), "links-rest")
+        if not good.isEmpty():
+            links = good if links is None else links.unionByName(good)
+            parts = components(links)
+    if parts is None:
+        parts = spark.createDataFrame([], "node long, component long")
+    return members, parts
+
+
+def _open(rows: DataFrame, parts: DataFrame | None, keys: list[str], tasks: int) -> DataFrame:
+    """``rows`` (with id) of the groups by ``keys`` that hold more than one component, with ``part``."""
+    if parts is None:
+        return rows.withColumn("part", F.col("id"))
+    known = rows.join(parts, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "id").alias("part")).coalesce(tasks)
+    mixed = known.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(*keys).coalesce(tasks)
+    return known.join(mixed, keys, "left_semi").coalesce(tasks)
+
+
+#: Bytes of sets, and sets at most, in one block of a group.
+BLOCK_BYTES, BLOCK_SETS = 8 << 20, 2048
+
+
+def _rest(groups: DataFrame, parts: DataFrame | None, sets: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
+    """Links between members of one group that are still in different components.
+
+    All groups with the same centre are put together, since a family of near copies
+    shares most of its centres; whoever shares a key with whom then meets in the
+    group of that key's centre.  A group is dealt into blocks and every pair of
+    blocks is one task's work; pairs are never rows, only links are.
+    """
+    order = F.struct(F.xxhash64("id", F.lit(0)).alias("h"), F.col("id").alias("id"))
+    centre = groups.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre")).coalesce(tasks)
+    met = groups.join(centre, "key").select("centre", "id").coalesce(tasks).distinct().coalesce(tasks)
+    open_ = stored(_open(met, parts, ["centre"], tasks), "open")
+    # sets of a group have the centre's size or nearly so
+    size = sets.select(F.col("doc_id").alias("centre"), F.length("set").alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
+    blocks = open_.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select(
+        "centre", F.ceil(F.col("n") / F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))), F.lit(8))).cast("int").alias("blocks")
+    )
+    dealt = open_.join(blocks.coalesce(tasks), "centre").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    # block i meets block j for i <= j
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
+    rows = dealt.coalesce(tasks).join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return _cross_links(group, threshold)
+
+    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
+    """Links between different parts of a pair of blocks, those that join parts not joined yet."""
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    left = group if i == j else group[group["own"] == i]
+    right = group if i == j else group[group["own"] == j]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    ls, rs = ([np.frombuffer(x, _U) for x in side["set"]] for side in (left, right))
+    common = _intersections(ls, rs)
+    ln, rn = np.array([len(x) for x in ls])[:, None], np.array([len(x) for x in rs])[None, :]
+    apart = left["part"].to_numpy()[:, None] != right["part"].to_numpy()[None, :]
+    hit = apart & (common * threshold.denominator >= threshold.numerator * (ln + rn - common)) & (common > 0)
+    at, to = np.nonzero(hit)
+    a, b = left["id"].to_numpy()[at], right["id"].to_numpy()[to]
+    p, q = left["part"].to_numpy()[at], right["part"].to_numpy()[to]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:  # one link for two parts is enough
+            parent[x] = y
+            keep.append(k)
+    return pd.DataFrame({"a": np.minimum(a[keep], b[keep]), "b": np.maximum(a[keep], b[keep])})
+
+
+def _intersections(ls: list[np.ndarray], rs: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of the 0/1 matrices of the shingles that both sides have."""
+    out = np.zeros((len(ls), len(rs)), np.float32)
+    la, ra = np.concatenate(ls), np.concatenate(rs)
+    both = np.intersect1d(la, ra)
+    lw, rw = np.repeat(np.arange(len(ls)), [len(x) for x in ls]), np.repeat(np.arange(len(rs)), [len(x) for x in rs])
+    sides = []
+    for values, who in ((la, lw), (ra, rw)):
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        keep = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((at[keep][order], who[keep][order]))
+    for lo in range(0, len(both), 1024):
+        m = []
+        for (at, who), n in zip(sides, (len(ls), len(rs)), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + 1024])
+            x = np.zeros((n, 1024), np.float32)
+            x[who[a:b], at[a:b] - lo] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _tasks(table: DataFrame, rows: int = 100_000) -> int:
+    """Tasks for what comes of a stored table: one for so many of its rows, 12 at least."""
+    return max(12, table.count() // rows)
 
 
 #: Ids that may be broadcast, 8 bytes each.
@@ -258,8 +389,6 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
     @F.pandas_udf("boolean")
     def similar(x, y):
-        import pandas as pd
-
         out = []
         for a, b in zip(x, y, strict=True):
             a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
@@ -271,7 +400,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
     one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(similar("x", "y")).select("a", "b")
+    tasks = _tasks(pairs, 5_000)  # sets come along
+    return pairs.join(one, "a").join(two, "b").where(similar("x", "y")).select("a", "b").coalesce(tasks)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
@@ -282,10 +412,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """``docs`` with one document of each group: the least doc_id; of rows with that id, one."""
-    found = jaccard_components(docs, n, threshold).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    rest = docs.where("doc_id is null")
-    return docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(rest)
+    """``docs``, all columns, with one document of each group: the least doc_id; of rows with that id, one.  Rows without an id stay."""
+    found = stored(jaccard_components(docs, n, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows")), "groups")
+    gone = found.where("c <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    again = found.where("c = doc_id and rows > 1").select(F.col("doc_id").alias("again_id"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    if again.isEmpty():
+        return left
+    one = left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, left["doc_id"] == again["again_id"], "left_anti").unionByName(one)
 
 
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
