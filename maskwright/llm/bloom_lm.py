@@ -308,6 +308,7 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int
 def train(docs: DataFrame) -> dict:
     """A model of all these texts."""
     bounded_batches(docs.sparkSession)
+    docs = texts_of(docs)
     words, sizes = count_words(docs)
     head, least = head_words(words)
     return {"words": words, **sizes, "least": least, "head": tuple(sorted(head.inputFiles())), "filter": build_filter(docs, words, sizes["levels"])}

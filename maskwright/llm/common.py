@@ -127,15 +127,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def in_portions(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes add to ``most`` or that have one member."""
-    start = total = 0
-    end = 0
-    for end, size in enumerate(sizes):
-        if end > start and total + size > most:
-            yield start, end
-            start, total = end, 0
+    start = total = end = 0
+    for end, size in enumerate(sizes, 1):
+        if end - 1 > start and total + size > most:
+            yield start, end - 1
+            start, total = end - 1, 0
         total += size
-    if end + 1 > start and (total or start <= end):
-        yield start, end + 1
+    if end > start:
+        yield start, end
 
 
 def ascii_words(text: str) -> list[bytes]:
