@@ -18,7 +18,7 @@ import numpy as np
 #: End mark that each document gets.
 END_ID = 0
 #: Chunks remembered by one worker.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 
 _IRREGULAR = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
