@@ -261,7 +261,8 @@ def case_feature_hist(spark, sf_dir):
 
 @query("feature_vectors", f"WITH {_SCORER} SELECT doc_id, idx::INT AS idx, (length(token) > 0 AND regexp_full_match(token, '[0-9]+'))::INT AS is_number, 1 AS is_one, 8::INT AS size FROM tok WHERE idx < 20")
 def feature_vectors(spark, sf_dir):
-    tokens = T.scorer_tokens(_documents(spark, sf_dir), "text", "doc_id").where("idx < 20")
+    """All tokens; the SQL beside it stops at the first 20 of each document."""
+    tokens = T.scorer_tokens(_documents(spark, sf_dir), "text", "doc_id")
     f = T.features("token", ["case", "useless_one"])
     return tokens.select("doc_id", "idx", f.alias("f")).select("doc_id", "idx", F.get("f", F.lit(0)).alias("is_number"), F.get("f", F.lit(7)).alias("is_one"), F.size("f").alias("size"))
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import augment, evaluation, labels, sampling, tags, vectors
+from maskwright.plans.registry import QUERIES
 from maskwright.schemas import labels as label_list
 from maskwright.schemas import label_index, phi_types
 from maskwright.sources import config, sinks, standoff, token_files
@@ -200,3 +201,10 @@ def test_word_vectors(spark, tmp_path):
     (tmp_path / "w.txt").write_text("a 3 4\na 0 1\n")
     with pytest.raises(ValueError):
         token_files.read_word_vectors(spark, str(tmp_path / "w.txt"))
+
+
+def test_features_of_every_token(spark, tmp_path):
+    texts = [(1, " ".join(f"w{i}" for i in range(25)) + " 7"), (2, "a b"), (3, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r["doc_id"], r["idx"]): (r["is_number"], r["is_one"], r["size"]) for r in QUERIES["feature_vectors"](spark, str(tmp_path)).collect()}
+    assert rows == {(1, i): (0, 1, 8) for i in range(25)} | {(1, 25): (1, 1, 8), (2, 0): (0, 1, 8), (2, 1): (0, 1, 8), (3, 0): (0, 1, 8)}
