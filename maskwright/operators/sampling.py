@@ -43,16 +43,25 @@ def compounding(start: float, stop: float, factor: float, n: int) -> list[int]:
     return [int(min(start * factor**i, stop)) for i in range(n)]
 
 
-def compounding_sizes(spark, start: float, stop: float, factor: float, n: int) -> DataFrame:
-    """(batch, size, first): sizes and how many rows come before each batch."""
+def compounding_sizes(spark, start: float, stop: float, factor: float) -> DataFrame:
+    """(batch, size, first): sizes up to the first that no longer grows, and how many rows come before each batch."""
+    if not (start >= stop >= 1 or 0 < start < stop and stop >= 1 and factor > 1):
+        raise ValueError("sizes must grow up to one row or more")
+    n = 1
+    while start * factor ** (n - 1) < stop:
+        n += 1
     sizes = compounding(start, stop, factor, n)
     return spark.createDataFrame([(i, s, sum(sizes[:i])) for i, s in enumerate(sizes)], "batch int, size int, first long")
 
 
 def growing_batches(rows: DataFrame, key: str, sizes: DataFrame, epoch: int = 0) -> DataFrame:
-    """``rows`` with the batch their place falls into; ``sizes`` has a row for each batch of an epoch."""
+    """``rows`` with the batch their place falls into; the size of the last batch in ``sizes`` goes on without end."""
     own = numbered(rows, shuffled(key, epoch), key)
-    return own.join(F.broadcast(sizes), (F.col("n") >= F.col("first")) & (F.col("n") < F.col("first") + F.col("size"))).select(*rows.columns, "batch", (F.col("n") - F.col("first")).alias("place"))
+    last = sizes.agg(F.max("batch").alias("last"))  # one row
+    known = sizes.join(F.broadcast(last)).withColumn("until", F.when(F.col("batch") < F.col("last"), F.col("first") + F.col("size")))
+    after = F.col("n") - F.col("first")
+    found = own.join(F.broadcast(known), (F.col("n") >= F.col("first")) & (F.col("until").isNull() | (F.col("n") < F.col("until"))))
+    return found.select(*rows.columns, (F.col("batch") + F.floor(after / F.col("size"))).cast("int").alias("batch"), (after % F.col("size")).alias("place"))
 
 
 def stratified_batches(rows: DataFrame, key: str, positive: Column, size: int, epoch: int = 0) -> DataFrame:

@@ -639,7 +639,8 @@ _SIZES = sampling.compounding(1, 20, 1.1, 60)
 
 @query("compounding_batches", f"WITH {_ORDERED}, z AS (SELECT * FROM (VALUES {', '.join(f'({i}, {s}, {sum(_SIZES[:i])})' for i, s in enumerate(_SIZES))}) t(batch, size, first)) SELECT doc_id, batch::INT AS batch, (n - first)::BIGINT AS place FROM o JOIN z ON n >= first AND n < first + size")
 def compounding_batches(spark, sf_dir):
-    sizes = sampling.compounding_sizes(spark, 1, 20, 1.1, 60)
+    """All documents; the SQL beside it stops after 60 batches."""
+    sizes = sampling.compounding_sizes(spark, 1, 20, 1.1)
     return sampling.growing_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", sizes)
 
 

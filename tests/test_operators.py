@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,18 @@ def test_features_of_every_token(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {(r["doc_id"], r["idx"]): (r["is_number"], r["is_one"], r["size"]) for r in QUERIES["feature_vectors"](spark, str(tmp_path)).collect()}
     assert rows == {(1, i): (0, 1, 8) for i in range(25)} | {(1, 25): (1, 1, 8), (2, 0): (0, 1, 8), (2, 1): (0, 1, 8), (3, 0): (0, 1, 8)}
+
+
+def test_growing_batches_hold_every_row(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["compounding_batches"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 1000
+    order = sorted(range(1000), key=lambda i: (hashlib.md5(f"{i}|0".encode()).hexdigest(), i))
+    left, expected = iter(order), {}
+    for batch in range(1000):
+        for place in range(int(min(1.1**batch, 20))):
+            if (i := next(left, None)) is not None:
+                expected[i] = (batch, place)
+    assert {r["doc_id"]: (r["batch"], r["place"]) for r in rows} == expected
+    with pytest.raises(ValueError):
+        sampling.compounding_sizes(spark, 1, 20, 1.0)
