@@ -4,11 +4,15 @@
    documents are cut.  Pieces are then told apart by their length alone.
 2. The histogram of lengths (at most ``capacity`` numbers, however large the
    corpus) goes to the driver.  The configuration LP - as few sequences as cover
-   every length's count - is solved by multiplicative weights: each length has a
-   price that falls as it gets covered, and a knapsack dynamic program over the
-   prices finds the configuration to use next.
-3. Usages of well-filled configurations are rounded down, never beyond what is
-   left of a length; what then remains is packed by best fit over lengths, largest first.
+   every length's count - is approached by multiplicative weights: each length has
+   a price that falls as it gets covered, and a bounded knapsack dynamic program
+   over ``PRICED`` of the lengths (those that lag most, and drawn ones) finds the
+   configuration to use next.
+3. Steps are a share of demand in whole uses and never go beyond what is left of a
+   length, so nothing is lost by rounding.  They end when no configuration of the
+   pieces left fills a sequence to ``FILLED``; these are packed by best fit over
+   lengths, largest first.  Where that needs more sequences than if the last
+   configurations are left to best fit as well, these are given up (``KEPT``).
 4. The plan says, for the r-th piece of a length, its sequence and its offset.
    Ranks come from counts for each (bucket, length), so no length, however
    frequent, is numbered in one task.
@@ -33,84 +37,100 @@ from .tokens import END_ID, encoder_of, tokenizer_path
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Rounds of multiplicative weights, and how fast prices fall.
-ROUNDS, RATE = 250, 0.5
-#: Configurations that fill less of a sequence are not rounded but left to best fit.
+#: How fast prices fall, how much more a token of a long piece is worth, the share of a length's demand that one step may cover,
+#: and lengths that are priced in a round.
+RATE, LONG, STEP, PRICED = 0.5, 0.05, 0.5, 128
+#: Shares of the configurations, by first use, of which the one that leads to the fewest sequences is kept.
+KEPT = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.0)
+#: Configurations that fill less of a sequence are not used but left to best fit.
 FILLED = 0.999
 
 
 def knapsack(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length goes into the configuration of highest price (index: length).
+    """How often each length goes into the configuration of highest price (index: length), each at most ``limits`` times.
 
-    Unbounded dynamic program over capacities; lengths without pieces have no
-    price.  ``limits`` then trims the answer to the counts that exist.
+    Dynamic program over capacities; numbers of a length are made of powers of two.
+    Ties go to the length of highest price for its size, then to the longest.
     """
     n = capacity
-    best, took = np.zeros(n + 1), np.zeros(n + 1, np.int64)
-    lengths = np.flatnonzero(prices[1:] > 0) + 1
-    worth = prices[lengths]
-    for room in range(1, n + 1):
-        k = np.searchsorted(lengths, room, "right")
-        if k:
-            totals = best[room - lengths[:k]] + worth[:k]
-            j = int(totals.argmax())
-            if totals[j] > best[room - 1]:
-                best[room], took[room] = totals[j], lengths[j]
-                continue
-        best[room], took[room] = best[room - 1], 0
+    best = np.zeros(n + 1)
+    parts: list[tuple[int, int, np.ndarray]] = []
+    lengths = np.flatnonzero((prices[1:] > 0) & (limits[1:] > 0)) + 1
+    for length in lengths[np.lexsort((-lengths, -prices[lengths] / lengths))].tolist():
+        most, size = min(int(limits[length]), n // length), 1
+        while most:
+            size = min(size, most)
+            totals = best[: n + 1 - size * length] + size * prices[length]
+            more = totals > best[size * length :]
+            np.maximum(best[size * length :], totals, out=best[size * length :])
+            parts.append((length, size, more))
+            most -= size
+            size *= 2
     made, room = np.zeros(n + 1, np.int64), n
-    while room > 0:
-        if (length := int(took[room])) == 0:
-            room -= 1
-        else:
-            made[length] += 1
-            room -= length
-    return np.minimum(made, limits)
+    for length, size, more in reversed(parts):
+        if room >= size * length and more[room - size * length]:
+            made[length] += size
+            room -= size * length
+    return made
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: how often} with their number of uses; all pieces exactly once.
 
-    ``counts[l]`` is the number of pieces of length l (0..capacity).
+    ``counts[l]`` is the number of pieces of length l (0..capacity).  At most ``rounds``
+    rounds, if given; the rest is packed by best fit.
     """
-    counts = np.asarray(counts, np.int64)
-    plan: list[tuple[dict[int, int], int]] = []
-    left = counts.copy()
-    if left[capacity]:
-        plan.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    demand = left.astype(float)
-    present = demand > 0
-    uses: dict[bytes, float] = {}
-    covered = np.zeros(capacity + 1)  # share of each length's demand
+    uses, left = configurations(counts, capacity, rounds)
+    plans = []
+    for share in KEPT:  # the later ones go back to best fit if that needs fewer sequences
+        kept, rest = uses[: round(share * len(uses))], left.copy()
+        for contents, times in uses[len(kept) :]:
+            for length, each in contents.items():
+                rest[length] += each * times
+        plans.append(kept + best_fit(rest, capacity))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))  # the first of equal ones keeps most
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The configurations of ``solve`` before best fit, by first use, and the pieces left of each length."""
+    left = np.array(counts, np.int64)
+    uses: dict[bytes, int] = {}
     sizes = np.arange(capacity + 1)
-    for _ in range(rounds if present.any() else 0):
-        open_ = present & (covered < 1)
-        if not open_.any():
-            break
-        # a length's price: its size, raised while it lags behind the others
-        lag = np.exp(RATE * 8 * (covered[open_].min() - covered))
-        prices = np.where(open_, sizes * lag, 0.0)
+
+    def use(made: np.ndarray, times: int) -> None:
+        np.subtract(left, times * made, out=left)
+        uses[made.tobytes()] = uses.get(made.tobytes(), 0) + times
+
+    if left[capacity]:
+        use((sizes == capacity).astype(np.int64), int(left[capacity]))
+    demand = np.maximum(left, 1)
+    drawn = np.random.default_rng(0)
+    done = 0
+    while (rounds is None or done < rounds) and (open_ := np.flatnonzero(left[1:]) + 1).size:
+        done += 1
+        covered = 1 - left[open_] / demand[open_]
+        # a length's price: its size, more for long ones, which fewer others fit, and raised while it lags behind the others
+        priced = np.zeros(capacity + 1)
+        priced[open_] = open_ * (1 + LONG * open_ / capacity) * np.exp(RATE * (covered.min() - covered))
+        some = open_
+        if len(open_) > PRICED:
+            by_lag = open_[np.lexsort((drawn.random(len(open_)), covered))]
+            some = np.concatenate([by_lag[: PRICED // 2], drawn.choice(by_lag[PRICED // 2 :], PRICED // 2, replace=False)])
+        prices = np.zeros(capacity + 1)
+        prices[some] = priced[some]
         made = knapsack(prices, left, capacity)
-        if not made.any():
-            break
+        if int(made @ sizes) < FILLED * capacity:  # is there any that fills a sequence?
+            made = knapsack(np.where(left > 0, sizes, 0).astype(float), left, capacity)
+            if int(made @ sizes) < FILLED * capacity:
+                break
         inside = made > 0
-        # as far as the scarcest length in it lasts, or one step of the weights
-        rest = ((1 - covered[inside]) * demand[inside] / made[inside]).min()
-        step = max(1.0, min(rest, RATE * 0.1 * (demand[inside] / made[inside]).min() + 1))
-        uses[made.tobytes()] = uses.get(made.tobytes(), 0.0) + step
-        covered[inside] += step * made[inside] / demand[inside]
-    for key, amount in sorted(uses.items(), key=lambda x: (-x[1], x[0])):
+        share = int(STEP * (demand[inside] / made[inside]).min())
+        use(made, min(max(1, share), int((left[inside] // made[inside]).min())))
+    plan = []
+    for key, times in uses.items():
         made = np.frombuffer(key, np.int64)
-        inside = made > 0
-        if int((made * sizes).sum()) < FILLED * capacity:
-            continue  # trimmed by scarce lengths: best fit does better with what it holds
-        times = min(int(amount), int((left[inside] // made[inside]).min()))
-        if times:
-            left -= times * made
-            plan.append(({int(x): int(made[x]) for x in np.flatnonzero(inside)}, times))
-    plan.extend(best_fit(left, capacity))
-    return plan
+        plan.append(({int(x): int(made[x]) for x in np.flatnonzero(made)}, times))
+    return plan, left
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -190,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     for row in counted.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most `capacity` rows
         histogram[row["length"]] = row["n"]
     plan = placements(solve(histogram, capacity))
-    shared = spark.sparkContext.broadcast(plan)  # a few rows for each length: bounded by capacity and ROUNDS
+    shared = spark.sparkContext.broadcast(plan)  # a few rows for each length: each step covers a share of one's demand
 
     before = counted.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -301,6 +301,17 @@ def test_knapsack():
     assert made[3] == 2 and made[4] == 1  # 11, against 10.5 and 10
 
 
+@pytest.mark.parametrize("times", [1, 300])
+def test_configurations_hold_most_pieces(times):
+    rng = np.random.default_rng(5)
+    counts = np.bincount(np.minimum(rng.lognormal(4, 1, 5000).astype(int) + 1, 300), minlength=301) * times
+    uses, left = packing.configurations(counts, 300)
+    sizes = np.arange(301)
+    assert all(sum(k * v for k, v in contents.items()) >= packing.FILLED * 300 for contents, _ in uses)
+    assert (left >= 0).all() and left @ sizes <= 0.02 * (counts @ sizes)
+    assert sum(t for _, t in packing.solve(counts, 300)) <= 1.001 * -(-(counts @ sizes) // 300) + 1
+
+
 def test_packing(spark, documents, odd):
     for table, capacity in ((documents, 512), (odd, 2048)):
         rows = packing.pack(table, capacity=capacity).collect()
