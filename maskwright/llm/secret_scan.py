@@ -8,9 +8,9 @@ keyboard walks and brute-force stretches, and the product of their guesses is
 made as small as possible.  So ``password: sunshine2019`` is cheap and no
 secret, ``password is xK93..`` is one.
 
-Word ranks are those of the corpus: words are counted over all documents and the
-``DICTIONARY_WORDS`` most frequent are kept, after a fixed list of common
-passwords.
+Word ranks are those of the corpus: words are counted once for each distinct text,
+without values in a credential context, and the ``DICTIONARY_WORDS`` of the most
+texts are kept, after a fixed list of common passwords.
 
 Offsets are code points, ends exclusive.  Defined cases: null text is empty and
 has no span; values of any length are scored whole; repeated ids are scanned
@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,33 +137,26 @@ _WORD = re.compile(r"[^\W\d_]{3,32}")
 
 
 def word_ranks(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Rank of each dictionary word, from 1: common passwords, then the corpus's ``most`` most frequent words.
+    """Rank of each dictionary word, from 1: common passwords, then the corpus's ``most`` words in the most texts.
 
-    Counted over all documents: once in each task, then across tasks.
+    Texts of the same words count once, however many copies there are.  Values in a
+    credential context and of base spans are left out, so a secret is no word of its own.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for text in batch.column(0).to_pylist():
-                seen.update(text.split())
-            if len(seen) > 500_000:
-                yield from out(seen)
-                seen.clear()
-        yield from out(seen)
-
-    def out(seen: Counter[str]) -> Iterator[pa.RecordBatch]:
-        plain: Counter[str] = Counter()
-        for word, n in seen.items():
-            w = word.strip(".,;:!?\"'()").lower()
-            if 3 <= len(w) <= LONGEST_WORD and w.isalpha():
-                plain[w] += n
-        words = list(plain)
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "n": pa.array([plain[w] for w in part], pa.int64())})
-
-    counted = texts_of(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                for pattern in (CONTEXT, ASSIGN):
+                    text = pattern.sub(_without_value, text)
+                text = HEX.sub(" ", text)
+                plain = {word.strip(".,;:!?\"'()").lower() for word in set(text.split())}
+                found.append(" ".join(sorted(w for w in plain if 3 <= len(w) <= LONGEST_WORD and w.isalpha())))
+            yield pa.RecordBatch.from_pydict({"words": pa.array(found, pa.string())})
+
+    bounded_batches(docs.sparkSession)
+    texts = texts_of(docs).select("text").mapInArrow(bags, "words string").where("words <> ''").distinct()
+    counted = texts.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()  # at most `most` words
     ranks = {w: k + 1 for k, w in enumerate(COMMON)}
     for k, row in enumerate(top):
@@ -172,6 +164,11 @@ def word_ranks(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
     return ranks
 
 
+def _without_value(m: re.Match) -> str:
+    """A match with a sign, which no pattern takes, for its value, the last group."""
+    return m[0][: m.start(m.lastindex) - m.start()] + "\x01 "
+
+
 def scan(docs: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """doc_id and ``spans``, an array of (kind, start, end)."""
     bounded_batches(docs.sparkSession)

@@ -248,6 +248,15 @@ def test_secret_spans():
     assert secret_scan.spans_of("😀 login: Zq8!kd93Lm. ", {}) == [("guess", 9, 19)]
 
 
+def test_secret_is_no_word_of_its_own(spark):
+    copies = ["The password is Xkqjvbnmzwrt today"] * 50
+    others = ["password: Xkqjvbnmzwrt evening", "token = Xkqjvbnmzwrt evening", "mypassword=Qzxjkvwqhgfp here", "again mypassword=Qzxjkvwqhgfp there", "now password is Xkqjvbnmzwrt again"]
+    docs = docs_of(spark, [*copies, *others, None, ""])
+    ranks = secret_scan.word_ranks(docs)
+    assert "xkqjvbnmzwrt" not in ranks and "qzxjkvwqhgfp" not in ranks and "today" not in ranks and {"again", "evening"} <= set(ranks)
+    assert all(r["spans"] for r in secret_scan.scan(docs.where("text like '%Xkq%'"), ranks).collect())
+
+
 def test_secret_table(spark, odd):
     assert secret_scan.scan(odd, {}).count() == 11
     docs = docs_of(spark, ["my token = 0123456789abcdef0123 end", None, "fine"])
