@@ -124,7 +124,7 @@ def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int]]:
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         end = start + len(m[1].rstrip(".,;:!?)]}"))
-        if end - start >= 8 and not any(s < end and start < e for _, s, e in base) and log10_guesses(text[start:end], ranks) >= MIN_LOG10_GUESSES:
+        if end - start >= 8 and not any(s <= start and end <= e for _, s, e in base) and log10_guesses(text[start:end], ranks) >= MIN_LOG10_GUESSES:
             found.append(("guess", start, end))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -257,6 +257,14 @@ def test_secret_is_no_word_of_its_own(spark):
     assert all(r["spans"] for r in secret_scan.scan(docs.where("text like '%Xkq%'"), ranks).collect())
 
 
+def test_secrets_beside_base_spans(spark):
+    for text, base in (("password: Abcdefgh1234$Zq8!Lm2@Xw", ("assign", 0, 22)), ("pwd: Zk!Q#deadbeefdeadbeef00%Qx&7T", ("hex", 10, 28))):
+        start = text.index(" ") + 1
+        assert sorted(secret_scan.spans_of(text, {})) == sorted([base, ("guess", start, len(text))])
+        assert "[SECRET]" in (left := secret_scan.redact(docs_of(spark, [text]), {}).first()["text"]) and not any(x in left for x in ("Zq8", "Xw", "Zk!", "7T"))
+    assert secret_scan.spans_of("password: Abcdefgh1234Zq8Lm2Xw", {}) == [("assign", 0, 30)]  # the base span holds all of it
+
+
 def test_secret_table(spark, odd):
     assert secret_scan.scan(odd, {}).count() == 11
     docs = docs_of(spark, ["my token = 0123456789abcdef0123 end", None, "fine"])
