@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, remainder, stored, texts_of
+from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, remainder, stored, texts_of, worker_memory
 
 END = b""  # no word is empty
 MU = 2.0
@@ -67,10 +67,8 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
-@functools.cache
 def _hashes() -> WordHashes:
-    """Word hashes remembered by this worker."""
-    return WordHashes(300_000)
+    return worker_memory("words", lambda: WordHashes(300_000))
 
 
 def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

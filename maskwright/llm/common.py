@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +28,13 @@ _scratch: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Only in local mode (tests), where all share one machine, may that setting be absent; then a temporary folder is used.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="maskwright-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -58,6 +64,29 @@ def _clean() -> None:
             return
 
 
+_held: dict[str, Any] = {}
+
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker remembers under ``name`` from task to task.
+
+    A worker holds one such thing: what it remembered under another name goes
+    first, so the stages of a long job don't add up.
+    """
+    if name not in _held:
+        _held.clear()
+        give_back()
+        _held[name] = make()
+    return _held[name]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine, which allocators else keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
@@ -142,11 +171,28 @@ def ascii_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def most_frequent(counted: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """The rows of ``counted`` with the largest ``n``, ``least`` or more: whole levels of n, as many as come to at most ``most`` rows.
+
+    No rows are sorted, and only a histogram of n goes to the driver: exact counts up to 65,536 and powers of two beyond.
+    """
+    level = F.when(F.col("n") < 65536, F.col("n")).otherwise(F.lit(65536) + F.floor(F.log2("n")))
+    sizes = counted.where(F.col("n") >= least).groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("level")).collect()
+    total, bound = 0, 1 << 62
+    for r in sizes:
+        total += r["rows"]
+        if total > most:
+            break
+        bound = r["n"]
+    return counted.where(F.col("n") >= bound)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep: Column, bound: int) -> DataFrame:
     """Texts and 0/1 labels of at most ``bound`` labelled documents (doc_id, text, label).
 
     ``keep`` says which doc_ids may be learned from.  The smallest hashes of
-    doc_id are taken; a document with several labels counts as its largest.
+    doc_id are taken; a document with several labels counts as its largest.  Of
+    rows with one doc_id that with the least text hash counts, so the bound is one of rows.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
@@ -156,4 +202,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, keep: Colum
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return texts_of(docs).join(F.broadcast(picked), "doc_id")  # at most `bound` rows of 12 bytes
+    found = texts_of(docs).join(F.broadcast(picked), "doc_id")  # at most `bound` rows of 12 bytes
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r"))
+    return one.select("doc_id", "r.text", "r.label")

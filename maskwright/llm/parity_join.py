@@ -7,28 +7,37 @@ Jaccard similarity at least P/Q only if their symmetric difference is at most
 
 *Parity sketch*: every shingle flips one bit of a bit sketch, chosen by its
 hash; so the Hamming distance of two sketches never exceeds the symmetric
-difference of the sets.  *Pigeonhole*: of W > D words of a sketch, a qualifying
-pair has at least W - D in which the two agree.  Words are ``WORD_BITS`` wide and
-mostly blank, so they are kept as hashes of their set bits.  A set gives a key
-for each word that isn't blank; if more than W - D - 1 of its words are blank, for
-those as well.  Then any qualifying pair shares a key.  Sketch widths must agree, so sets are put in *size bands*; a set takes part in its own
-band and in the band below, where the partner may be.  Documents that share a
-(band, word number, word) key are candidates and are verified on their whole
-shingle sets.  No qualifying pair is lost.
+difference of the sets.  It is used twice.
+
+1. *Pigeonhole*: of W > D words of a sketch, a qualifying pair has at least W - D
+   in which the two agree.  These words are ``WORD_BITS`` wide and mostly blank, so
+   they are kept as hashes of their set bits.  A set gives a key for each word
+   that is neither blank nor *hot*; if more than W - D - 1 of its words are, for those
+   as well.  Then any qualifying pair shares a key.  Sketch widths must agree, so
+   sets are put in *size bands*; a set takes part in its own band and in the band
+   below, where the partner may be.
+2. *Hamming test*: a packed sketch of four to eight bits for each shingle (halved
+   until widths agree) goes with every candidate.  Pairs whose sketches differ in
+   more than D bits are gone before any set is read; the others are verified on
+   their whole shingle sets.
+
+No qualifying pair is lost.
 
 Skew: equal sets are one *class* first (the members of a class are linked with
-each other by definition).  Pairs within a key's group are never formed: in a
-*round* each member of the group is compared with the group's centre alone, and
-members that hang together already are not compared again.  The centre is the
-member with the least hash, salted by round, so groups of near copies come
-together in one or two rounds.  What then is left - members of one group in
-different components - is compared in full, which loses no link.
+each other by definition).  Keys that very many classes have are found on a share of
+the texts (``HOT_SHARE``) and are left out wherever the pigeonhole bound holds without
+them; what is left of such a group is dealt by salt.  Groups with equal members,
+as a family of near copies has by the hundred, are one group.  Pairs within
+a group are never formed: each member is compared with two centres of the group, those
+with the least salted hashes.  What then is left - members of one group in different
+components - is compared in blocks, which loses no link.
 
 Defined cases: null or empty text has no shingle and is linked with nothing
 (its component is its own id); fewer words than a shingle's are one
-shingle; rows with a null doc_id stay, as a class of their own set, and never
-name a component; repeated rows count as one document with one result row each;
-an empty table gives no rows; extra columns are ignored.
+shingle; rows with a null doc_id stay, with the component of a set equal to theirs if
+any, and never name a component; rows with one doc_id and unlike texts are
+rows of their own; repeated rows have one result row each; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,16 +51,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, stored, texts_of
+from .common import WordHashes, ascii_words, bounded_batches, give_back, in_portions, mix, most_frequent, stored, texts_of, worker_memory
 from .components import components
 
 _U = np.uint64
-#: Characters handled at once; rounds of comparing with centres.
-PORTION, ROUNDS = 2_000_000, 2
+#: Characters handled at once; keys that a task gathers.
+PORTION, TASK_KEYS = 2_000_000, 1_000_000
 WORD_BITS = 1 << 20
+#: One text in so many tells which keys are hot: those of so many of these texts; at most so many keys; parts of a hot group.
+HOT_SHARE, HOT_TEXTS, HOT_KEYS, HOT_PARTS = 64, 32, 100_000, 256
 
 
 def most_different(total: int | np.ndarray, threshold: Fraction) -> int | np.ndarray:
@@ -75,7 +86,7 @@ def _widths(threshold: Fraction) -> np.ndarray:
 
     D + 1 words, D being the largest difference of a pair whose smaller set lies
     in the band, and as many more as a set of the band may leave without a bit
-    (four standard deviations above what is expected).
+    (four standard deviations above what is expected) or have hot (a sixteenth).
     """
     ends = bands(threshold)
     out = []
@@ -85,7 +96,7 @@ def _widths(threshold: Fraction) -> np.ndarray:
         words = need
         while need > 1 and words < 4 * low:
             blank = words * math.exp(-low / words)
-            if words - blank - 4 * math.sqrt(blank) >= need:
+            if words - blank - 4 * math.sqrt(blank) - words // 16 >= need:
                 break
             words += max(1, words // 64)
         out.append((need, words))
@@ -98,9 +109,8 @@ def sketch_words(band: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.
     return both[..., 0], both[..., 1]
 
 
-@functools.cache
 def _hashes() -> WordHashes:
-    return WordHashes(300_000)
+    return worker_memory("words", lambda: WordHashes(300_000))
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -117,8 +127,11 @@ def shingle_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch_keys(sets: list[np.ndarray], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of every sketch word of these non-empty sets, in their own band and the one below."""
+def sketch_keys(sets: list[np.ndarray], threshold: Fraction, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of the sketch words of these non-empty sets, in their own band and the one below.
+
+    ``hot``: ascending keys that need not be given while words enough are left.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     elements = np.concatenate(sets)
     ends = bands(threshold)
@@ -144,22 +157,49 @@ def sketch_keys(sets: list[np.ndarray], threshold: Fraction) -> tuple[np.ndarray
         # a word's hash: exclusive or over its set bits; two flips of one bit undo each other
         value = np.bitwise_xor.reduceat(flips, first) if len(first) else flips
         number, place = at[first] >> 32, (at[first] & 0xFFFFFFFF).astype(_U)
-        clear = value == 0
-        number, place, value = number[~clear], place[~clear], value[~clear]
-        # blank words need no key while words enough are not blank
-        blank = count - np.bincount(number, minlength=len(sets))
-        for k in np.flatnonzero(use & (blank > count - need)):
+
+        def key_of(number: np.ndarray, place: np.ndarray, value: np.ndarray, band: np.ndarray = band) -> np.ndarray:
+            return mix(mix(value + _U(0x9E3779B97F4A7C15) * (place + _U(1))) ^ (band[number].astype(_U) * _U(0xBF58476D1CE4E5B9)))
+
+        key = key_of(number, place, value)
+        spare = value == 0
+        if hot is not None and len(hot):
+            spare |= hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        # blank and hot words need no key while words enough are neither
+        idle = count - np.bincount(number[~spare], minlength=len(sets))
+        all_of = use & (idle > count - need)
+        numbers.append(number[~spare | all_of[number]])
+        keys.append(key[~spare | all_of[number]])
+        for k in np.flatnonzero(all_of):
             gaps = np.setdiff1d(np.arange(count[k]), place[number == k].astype(np.int64))
-            number = np.r_[number, np.full(len(gaps), k)]
-            place = np.r_[place, gaps.astype(_U)]
-            value = np.r_[value, np.zeros(len(gaps), _U)]
-        numbers.append(number)
-        keys.append(mix(mix(value + _U(0x9E3779B97F4A7C15) * (place + _U(1))) ^ (band[number].astype(_U) * _U(0xBF58476D1CE4E5B9))))
+            numbers.append(np.full(len(gaps), k))
+            keys.append(key_of(numbers[-1], gaps.astype(_U), np.zeros(len(gaps), _U)))
     return np.concatenate(numbers), np.concatenate(keys)
 
 
+def packed_sketch(shingles: np.ndarray) -> bytes:
+    """The parity sketch of a set: a power of two of bits, four for each shingle at least."""
+    bits = max(256, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 256
+    flips = np.bincount((mix(shingles ^ _U(0x6A09E667F3BCC909)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of 64-bit words brought to ``words`` of them: the halves of a sketch give that of half the width."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """In how many bits two packed sketches differ: at most the sets' symmetric difference."""
+    a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the set's 128-bit fingerprint in two longs (null for the empty set) of every row."""
+    """doc_id, t (hash of the text), n_shingles and the set's 128-bit fingerprint in two longs (null for the empty set) of every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +210,15 @@ def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(s))
                 high.append(_print(s)[0] if len(s) else None)
                 low.append(_print(s)[1] if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": pa.array(sizes, pa.int64()), "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64())}
+            )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, high long, low long")
+    return _hashed(docs).mapInArrow(run, "doc_id long, t long, n_shingles long, high long, low long")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return texts_of(docs).withColumn("t", F.xxhash64("text"))
 
 
 def _print(shingles: np.ndarray) -> tuple[int, int]:
@@ -180,13 +226,10 @@ def _print(shingles: np.ndarray) -> tuple[int, int]:
     return high, low
 
 
-def shared_keys(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(key, low): sketch keys that sets of different fingerprints share.
-
-    A task names a set's keys once, however many copies of it it meets.
-    """
+def _keyed(n: int, threshold: Fraction, hot: np.ndarray | None):
+    """The task that turns texts into (key, low, salt); it names a set's keys once, however many copies of it it meets."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -195,81 +238,116 @@ def shared_keys(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 for text in texts[lo:hi]:
                     s = shingle_hashes(text, n)
                     if len(s) and (low := _print(s)[1]) not in seen:
+                        if len(seen) > TASK_KEYS:
+                            seen.clear()
                         seen.add(low)
                         sets.append(s)
                         lows.append(low)
                 if sets:
-                    number, keys = sketch_keys(sets, threshold)
+                    number, keys = sketch_keys(sets, threshold, hot)
                     owner = np.array(lows, np.int64)[number]
+                    salt = np.zeros(len(keys), np.int16)
+                    if hot is not None and len(hot):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                        salt[is_hot] = 1 + (owner[is_hot] & (HOT_PARTS - 1))
                     for a in range(0, len(keys), 200_000):
-                        yield pa.RecordBatch.from_pydict({"key": keys[a : a + 200_000].view(np.int64), "low": owner[a : a + 200_000]})
+                        yield pa.RecordBatch.from_pydict({"key": keys[a : a + 200_000].view(np.int64), "low": owner[a : a + 200_000], "salt": salt[a : a + 200_000]})
+
+    return run
+
+
+def hot_keys(docs: DataFrame, n: int, threshold: Fraction) -> np.ndarray:
+    """Ascending keys that many of a share of the texts have.  What is hot changes the work alone, not the result."""
+    share = texts_of(docs).where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).select("text")
+    counted = share.mapInArrow(_keyed(n, threshold, None), "key long, low long, salt short").select("key", "low").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    found = most_frequent(stored(counted.where(F.col("n") >= HOT_TEXTS), "hot"), HOT_KEYS).select("key").collect()  # HOT_KEYS rows at most
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(_U))
+
+
+def shared_keys(docs: DataFrame, n: int, threshold: Fraction, partitions: int | None = None) -> DataFrame:
+    """(key, low): groups of sets with different fingerprints that share a sketch key.  Groups with equal members are one."""
+    hot = hot_keys(docs, n, threshold)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("key").to_numpy(), b.column("low").to_numpy()) for b in batches if b.num_rows]
+        held = [(b.column("key").to_numpy(), b.column("low").to_numpy(), b.column("salt").to_numpy()) for b in batches if b.num_rows]
         if not held:
             return
-        key, low = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, low, salt = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
+        if (part := salt > 0).any():  # parts of hot groups stay as they are
+            yield from _batches(key[part], low[part])
+            key, low = key[~part], low[~part]
+        del salt, part
         order = np.lexsort((low, key))
         key, low = key[order], low[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])]
+        new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])][: len(key)]
         key, low = key[new], low[new]
-        same = np.r_[False, key[1:] == key[:-1]]
-        keep = same | np.r_[same[1:], False]
-        key, low = key[keep], low[keep]
-        for a in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_pydict({"key": key[a : a + 100_000], "low": low[a : a + 100_000]})
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts_of(docs).select("text").mapInArrow(keyed, "key long, low long").repartition(parts, "key")
-    return stored(dealt.mapInArrow(shared, "key long, low long"), "shared")
-
-
-def link_classes(docs: DataFrame, n: int, threshold: Fraction, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+        same = np.r_[False, key[1:] == key[:-1]][: len(key)]
+        keep = same | np.r_[same[1:], False][: len(key)]
+        key, low, same = key[keep], low[keep], same[keep]
+        del order, new, keep
+        if len(key):
+            first = np.flatnonzero(~same)
+            members = np.add.reduceat(mix(low.view(_U)), first)  # of equal members if the sums of their hashes are equal
+            _, one = np.unique(members, return_index=True)
+            sizes = np.diff(np.r_[first, len(key)])
+            take = np.zeros(len(first), bool)
+            take[one] = True
+            yield from _batches(np.repeat(members.view(np.int64), sizes)[np.repeat(take, sizes)], low[np.repeat(take, sizes)])
+        del key, low
+        give_back()
+
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts_of(docs).select("text").mapInArrow(_keyed(n, threshold, hot), "key long, low long, salt short").repartition(partitions, "key", "salt")
+    return dealt.mapInArrow(shared, "key long, low long").distinct()
+
+
+def _batches(key: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(key), 100_000):
+        yield pa.RecordBatch.from_pydict({"key": key[a : a + 100_000], "low": low[a : a + 100_000]})
+
+
+def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and how they hang together.
 
-    Returns every row with its class (doc_id, n_shingles, class: the least
-    doc_id of an equal set), and (node, component) of the classes that have a
-    link to another class.
+    Returns every row with its class (doc_id, t, n_shingles, class), and of each
+    class (class, doc_id, t, part): its least row, and the least class it hangs together with.
     """
-    spark = docs.sparkSession
     rows = stored(shingle_classes(docs, n), "rows")
+    tasks = _tasks(rows)
     # aggregated before they are exchanged, so thousands of copies are a row for each task
-    classes = stored(rows.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class")).coalesce(_tasks(rows)), "classes")
-    members = rows.join(classes, ["high", "low"], "left").select("doc_id", "n_shingles", "class")
-    groups = stored(shared_keys(docs, n, threshold).join(classes.select("low", F.col("class").alias("id")), "low").select("key", "id").coalesce(_tasks(rows)), "groups")
-    tasks = _tasks(groups)
-    sets = _sets(docs, groups.select(F.col("id").alias("doc_id")).distinct().coalesce(tasks), n)
-    links: DataFrame | None = None
-    parts: DataFrame | None = None  # components so far
-    for r in range(rounds):
-        open_ = _open(groups, parts, ["key"], tasks)
-        order = F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"), F.col("part").alias("part"))
-        centre = open_.groupBy("key").agg(F.min(order).alias("c")).coalesce(tasks)
-        pairs = open_.join(centre, "key").where("part <> c.part").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-        pairs = stored(pairs.coalesce(tasks).distinct().coalesce(tasks), f"pairs{r}")
-        if pairs.isEmpty():
-            break
-        good = stored(verified(pairs, sets, threshold), f"links{r}")
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            parts = components(links)
-    else:
-        good = stored(_rest(groups, parts, sets, threshold, tasks), "links-rest")
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            parts = components(links)
-    if parts is None:
-        parts = spark.createDataFrame([], "node long, component long")
-    return members, parts
-
-
-def _open(rows: DataFrame, parts: DataFrame | None, keys: list[str], tasks: int) -> DataFrame:
+    least = rows.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min(F.struct("doc_id", "t")).alias("r"), F.max("n_shingles").alias("size"))
+    classes = stored(least.coalesce(tasks).select("high", "low", "size", "r.doc_id", "r.t", F.monotonically_increasing_id().alias("class")), "classes")
+    members = rows.join(classes.select("high", "low", "class"), ["high", "low"], "left").select("doc_id", "t", "n_shingles", "class")
+    # a set has about a key for two shingles, bands and copies that tasks don't share included
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_KEYS)
+    found = shared_keys(docs, n, threshold, parts).join(classes.select("low", F.col("class").alias("id")), "low").select("key", "id")
+    groups = stored(found.coalesce(max(tasks, parts // 4)), "groups")
+    sets = _sets(docs, groups.select(F.col("id").alias("class")).distinct().join(classes, "class").select("doc_id", "t", "class").coalesce(tasks), n)
+    pairs = stored(_with_centres(groups, tasks), "pairs")
+    links = stored(verified(pairs, sets, threshold), "links")
+    joined = components(links)
+    more = stored(_rest(groups, joined, sets, threshold, tasks), "links-rest")
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
+    named = classes.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", "t", F.coalesce("component", "class").alias("part"))
+    return members, named
+
+
+def _with_centres(groups: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): each member of a group with the group's two centres."""
+    order = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("id"))).alias(f"c{r}") for r in (0, 1)]
+    centres = groups.groupBy("key").agg(*order).select("key", F.array_distinct(F.array("c0.id", "c1.id")).alias("centres")).coalesce(tasks)
+    pairs = groups.join(centres, "key").select("id", F.explode("centres").alias("centre")).where("id <> centre")
+    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct().coalesce(tasks)
+
+
+def _open(rows: DataFrame, parts: DataFrame, keys: list[str], tasks: int) -> DataFrame:
     """``rows`` (with id) of the groups by ``keys`` that hold more than one component, with ``part``."""
-    if parts is None:
-        return rows.withColumn("part", F.col("id"))
     known = rows.join(parts, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "id").alias("part")).coalesce(tasks)
-    mixed = known.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(*keys).coalesce(tasks)
+    mixed = known.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
+    mixed = mixed.where("p <> q and n > 2").select(*keys).coalesce(tasks)  # two members have met: one is the centre
     return known.join(mixed, keys, "left_semi").coalesce(tasks)
 
 
@@ -277,7 +355,7 @@ def _open(rows: DataFrame, parts: DataFrame | None, keys: list[str], tasks: int)
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 2048
 
 
-def _rest(groups: DataFrame, parts: DataFrame | None, sets: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
+def _rest(groups: DataFrame, parts: DataFrame, sets: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
     """Links between members of one group that are still in different components.
 
     All groups with the same centre are put together, since a family of near copies
@@ -286,24 +364,24 @@ def _rest(groups: DataFrame, parts: DataFrame | None, sets: DataFrame, threshold
     blocks is one task's work; pairs are never rows, only links are.
     """
     order = F.struct(F.xxhash64("id", F.lit(0)).alias("h"), F.col("id").alias("id"))
-    centre = groups.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre")).coalesce(tasks)
-    met = groups.join(centre, "key").select("centre", "id").coalesce(tasks).distinct().coalesce(tasks)
-    open_ = stored(_open(met, parts, ["centre"], tasks), "open")
+    open_ = stored(_open(groups, parts, ["key"], tasks), "open-groups")
+    centre = open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre")).coalesce(tasks)
+    met = stored(open_.join(centre, "key").select("centre", "id", "part").coalesce(tasks).distinct().coalesce(tasks), "open")
     # sets of a group have the centre's size or nearly so
-    size = sets.select(F.col("doc_id").alias("centre"), F.length("set").alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
-    blocks = open_.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select(
+    size = sets.select(F.col("class").alias("centre"), F.length("set").alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
+    blocks = met.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select(
         "centre", F.ceil(F.col("n") / F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))), F.lit(8))).cast("int").alias("blocks")
     )
-    dealt = open_.join(blocks.coalesce(tasks), "centre").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = met.join(blocks.coalesce(tasks), "centre").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     # block i meets block j for i <= j
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
-    rows = dealt.coalesce(tasks).join(sets.withColumnRenamed("doc_id", "id"), "id")
+    rows = dealt.join(sets.withColumnRenamed("class", "id"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _cross_links(group, threshold)
 
-    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(tasks).distinct().coalesce(tasks)
+    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
@@ -314,13 +392,11 @@ def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     ls, rs = ([np.frombuffer(x, _U) for x in side["set"]] for side in (left, right))
-    common = _intersections(ls, rs)
-    ln, rn = np.array([len(x) for x in ls])[:, None], np.array([len(x) for x in rs])[None, :]
-    apart = left["part"].to_numpy()[:, None] != right["part"].to_numpy()[None, :]
-    hit = apart & (common * threshold.denominator >= threshold.numerator * (ln + rn - common)) & (common > 0)
-    at, to = np.nonzero(hit)
-    a, b = left["id"].to_numpy()[at], right["id"].to_numpy()[to]
-    p, q = left["part"].to_numpy()[at], right["part"].to_numpy()[to]
+    words = min(len(x) for x in group["sketch"]) // 8
+    lw, rw = (np.stack([folded(np.frombuffer(x, _U), words) for x in side["sketch"]]) for side in (left, right))
+    ln, rn = (np.array([len(x) for x in side], np.int64) for side in (ls, rs))
+    lp, rp = left["part"].to_numpy(), right["part"].to_numpy()
+    li, ri = left["id"].to_numpy(), right["id"].to_numpy()
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -328,36 +404,25 @@ def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
             parent[x] = x = parent[parent[x]]
         return x
 
-    keep = []
-    for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:  # one link for two parts is enough
-            parent[x] = y
-            keep.append(k)
-    return pd.DataFrame({"a": np.minimum(a[keep], b[keep]), "b": np.maximum(a[keep], b[keep])})
-
-
-def _intersections(ls: list[np.ndarray], rs: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of the 0/1 matrices of the shingles that both sides have."""
-    out = np.zeros((len(ls), len(rs)), np.float32)
-    la, ra = np.concatenate(ls), np.concatenate(rs)
-    both = np.intersect1d(la, ra)
-    lw, rw = np.repeat(np.arange(len(ls)), [len(x) for x in ls]), np.repeat(np.arange(len(rs)), [len(x) for x in rs])
-    sides = []
-    for values, who in ((la, lw), (ra, rw)):
-        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
-        keep = both[at] == values if len(both) else np.zeros(len(values), bool)
-        order = np.argsort(at[keep], kind="stable")
-        sides.append((at[keep][order], who[keep][order]))
-    for lo in range(0, len(both), 1024):
-        m = []
-        for (at, who), n in zip(sides, (len(ls), len(rs)), strict=True):
-            a, b = np.searchsorted(at, [lo, lo + 1024])
-            x = np.zeros((n, 1024), np.float32)
-            x[who[a:b], at[a:b] - lo] = 1
-            m.append(x)
-        out += m[0] @ m[1].T
-    return out.astype(np.int64)
+    a, b = [], []
+    for k in range(len(ls)):
+        far = np.bitwise_count(rw ^ lw[k]).sum(1, dtype=np.int64)
+        for m in np.flatnonzero((far <= most_different(rn + ln[k], threshold)) & (rp != lp[k])).tolist():
+            x, y = find(int(lp[k])), find(int(rp[m]))
+            if x != y and similar_sets(ls[k], rs[m], threshold):  # one link for two parts is enough
+                parent[x] = y
+                a.append(min(li[k], ri[m]))
+                b.append(max(li[k], ri[m]))
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    """Whether two ascending sets have the similarity."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or len(small) * threshold.denominator < len(large) * threshold.numerator:
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return common * threshold.denominator >= threshold.numerator * (len(a) + len(b) - common)
 
 
 def _tasks(table: DataFrame, rows: int = 100_000) -> int:
@@ -365,64 +430,89 @@ def _tasks(table: DataFrame, rows: int = 100_000) -> int:
     return max(12, table.count() // rows)
 
 
-#: Ids that may be broadcast, 8 bytes each.
+#: Ids that may be broadcast, 24 bytes each.
 BROADCAST_IDS = 1_000_000
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, set) of the wanted documents."""
+    """(class, size, sketch, set) of the wanted classes, by their least rows (doc_id, t)."""
     wanted = stored(wanted, "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shingle_hashes(t, n).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "set": pa.array(out, pa.binary())})
+            found = [shingle_hashes(t, n) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict(
+                {"class": batch.column("class"), "size": pa.array([len(s) for s in found], pa.int64()), "sketch": pa.array(list(map(packed_sketch, found)), pa.binary()), "set": pa.array([s.tobytes() for s in found], pa.binary())}
+            )
 
-    found = texts_of(docs).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    found = _hashed(docs).join(wanted, ["doc_id", "t"]).select("class", "text").mapInArrow(run, "class long, size long, sketch binary, set binary")
     return stored(found, "sets")
 
 
+def near_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The (a, b) pairs whose sketches leave it open that their sets are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def near(m, x, n, y):
+        return pd.Series([hamming(a, b) <= most_different(k + l, threshold) for k, a, l, b in zip(m.tolist(), x, n.tolist(), y, strict=True)], dtype=bool)
+
+    p, q = threshold.numerator, threshold.denominator
+    one, two = (sets.select(F.col("class").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
+    return both.where(near("n_a", "s_a", "n_b", "s_b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The (a, b) pairs whose whole sets are similar enough.  A doc_id with several texts stands for each of them."""
+    """The (a, b) pairs whose whole sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(x, y):
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[place] == small).sum()) if len(large) else 0
-            out.append(common * threshold.denominator >= threshold.numerator * (len(a) + len(b) - common) > 0)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similar_sets(np.frombuffer(a, _U), np.frombuffer(b, _U), threshold) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    tasks = _tasks(pairs, 5_000)  # sets come along
-    return pairs.join(one, "a").join(two, "b").where(similar("x", "y")).select("a", "b").coalesce(tasks)
+    one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"x_{c}")) for c in "ab")
+    near = stored(near_pairs(pairs, sets, threshold), "near")
+    return near.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b")
+
+
+def _named(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Every row with its component (part), and the least row (doc_id, t) of each component."""
+    members, classes = link_classes(docs, n, threshold)
+    firsts = classes.groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("part", "first.doc_id", "first.t")
+    found = members.join(classes.select("class", "part"), "class", "left")
+    return found, firsts
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    members, parts = link_classes(docs, n, threshold)
-    out = members.join(parts, F.col("class") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+    found, firsts = _named(docs, n, threshold)
+    out = found.join(firsts.select("part", F.col("doc_id").alias("component")), "part", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """``docs``, all columns, with one document of each group: the least doc_id; of rows with that id, one.  Rows without an id stay."""
-    found = stored(jaccard_components(docs, n, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("rows")), "groups")
-    gone = found.where("c <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    again = found.where("c = doc_id and rows > 1").select(F.col("doc_id").alias("again_id"))
+    """``docs``, all columns, with one row of each group of similar texts: that of least doc_id, then of least text hash.
+
+    Rows with the same id and text count as one, that with the least hash of its other
+    columns; rows without words or without an id stay.
+    """
+    found, firsts = _named(docs, n, threshold)
+    firsts = firsts.select("part", F.struct("doc_id", "t").alias("first"))
+    rows = found.where("doc_id is not null and class is not null").groupBy("doc_id", "t", "part").agg(F.count("*").alias("rows")).join(firsts, "part")
+    decided = stored(rows.select("doc_id", "t", "rows", (F.struct("doc_id", "t") == F.col("first")).alias("stays")), "decided")
+    gone = decided.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
+    again = decided.where("stays and rows > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (text == gone["gone_t"]), "left_anti")
     if again.isEmpty():
         return left
-    one = left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, left["doc_id"] == again["again_id"], "left_anti").unionByName(one)
+    same = (left["doc_id"].cast("long") == again["again_id"]) & (F.xxhash64(F.coalesce(left["text"].cast("string"), F.lit(""))) == again["again_t"])
+    order = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns))
+    one = left.join(again, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return left.join(again, same, "left_anti").unionByName(one)
 
 
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

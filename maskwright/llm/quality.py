@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_portions, labelled_sample, remainder, texts_of
+from .common import bounded_batches, in_portions, labelled_sample, remainder, texts_of, worker_memory
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 4000
@@ -121,10 +121,8 @@ class PassageFeatures:
         return out, owner
 
 
-@functools.cache
 def _features() -> PassageFeatures:
-    """The features of this process; a worker keeps its word table from task to task."""
-    return PassageFeatures()
+    return worker_memory("quality", PassageFeatures)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -8,13 +8,14 @@ Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from struct import pack
 
 import numpy as np
 
+from .common import worker_memory
+
 #: End mark that each document gets.
 END_ID = 0
 #: Chunks remembered by one worker.
@@ -76,10 +77,9 @@ class ChunkEncoder:
         return self.first[first] + b"".join(map(self.later.__getitem__, rest))
 
 
-@functools.lru_cache(2)
 def encoder_of(path: str, word_ends: bool) -> ChunkEncoder:
     """The encoder of this process; a worker keeps it from task to task."""
-    return ChunkEncoder(path, word_ends)
+    return worker_memory(f"encoder {path} {word_ends}", lambda: ChunkEncoder(path, word_ends))
 
 
 class _Chunks(dict):

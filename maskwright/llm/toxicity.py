@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_portions, labelled_sample, remainder, texts_of
+from .common import bounded_batches, in_portions, labelled_sample, remainder, texts_of, worker_memory
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, own = Terms(), shared.value
+        terms, own = worker_memory("toxicity", Terms), shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             scores = np.zeros(len(texts))
