@@ -1,16 +1,17 @@
 """Secret scans: fixed patterns, and guess costs of values in a credential context.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``).  The
-method adds ``guess`` spans: values that follow a credential word, where the
-cheapest way to guess them costs at least ``MIN_LOG10_GUESSES``.  The cost is a
-dynamic program over the value: segments are dictionary words, dates, repeats,
+method adds ``guess`` spans: every value that follows a credential word is scored,
+whether or not a base span covers it, and is a span where the cheapest way to guess
+it costs at least ``MIN_LOG10_GUESSES``.  The cost is a dynamic program over the value: segments are dictionary words, dates, repeats,
 keyboard walks and brute-force stretches, and the product of their guesses is
 made as small as possible.  So ``password: sunshine2019`` is cheap and no
 secret, ``password is xK93..`` is one.
 
 Word ranks are those of the corpus: words are counted once for each distinct text,
-without values in a credential context, and the ``DICTIONARY_WORDS`` of the most
-texts are kept, after a fixed list of common passwords.
+without values in a credential context; those of the most texts are kept - all
+of a count or none, ``DICTIONARY_WORDS`` at most - after a fixed list of common
+passwords.
 
 Offsets are code points, ends exclusive.  Defined cases: null text is empty and
 has no span; values of any length are scored whole; repeated ids are scanned
@@ -19,16 +20,17 @@ each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, most_frequent, stored, texts_of, worker_memory
 
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns, and how long a match must be to count.
@@ -43,6 +45,8 @@ CONTEXT = re.compile(
     r"""["']?[ \t]*(?:is\b|:=|=>|[:=])[ \t]*["']?([^\s"'<>]{8,})""",
     re.I | re.A,
 )
+#: Every match of CONTEXT or ASSIGN holds one of these in some case.
+_CUES = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "login", "key")
 MIN_LOG10_GUESSES = 10.0
 DICTIONARY_WORDS = 20_000
 LONGEST_WORD = 32
@@ -53,10 +57,12 @@ COMMON = (
 ).split()
 # Rows of a keyboard.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_NEXT = {}
+#: key -> neighbour -> direction of the step: along the row, or to a row beside it.
+_NEXT: dict[str, dict[str, tuple[int, int]]] = {}
 for _r, _row in enumerate(KEYBOARD):
     for _c, _key in enumerate(_row):
-        _NEXT[_key] = {_row[x] for x in (_c - 1, _c + 1) if 0 <= x < len(_row)} | {KEYBOARD[r][c] for r in (_r - 1, _r + 1) if 0 <= r < 4 for c in (_c - 1, _c, _c + 1) if 0 <= c < len(KEYBOARD[r])}
+        _steps = [(0, -1), (0, 1), *((d, e) for d in (-1, 1) for e in (-1, 0, 1))]
+        _NEXT[_key] = {KEYBOARD[_r + d][_c + e]: (d, e) for d, e in _steps if 0 <= _r + d < len(KEYBOARD) and 0 <= _c + e < len(KEYBOARD[_r + d])}
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d)")
 _LEET = str.maketrans("@430157$", "aaeoists")
 
@@ -79,12 +85,15 @@ def log10_guesses(value: str, ranks: dict[str, int], min_word: int = 3) -> float
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     brute = math.inf  # least cost of what ends in an open brute-force stretch
-    # ends of repeats and walks by their start
-    run = [0] * (n + 1)
+    # lengths by their start: of keyboard walks, and of what repeats after 1 to 4 characters
+    step = [_NEXT.get(low[i], {}).get(low[i + 1]) for i in range(n - 1)]
+    turned = list(itertools.accumulate((a != b for a, b in zip(step, step[1:], strict=False)), initial=0))  # turns before each step
     walk = [0] * (n + 1)
+    same = {unit: [0] * (n + 1) for unit in (1, 2, 3, 4)}
     for i in range(n - 1, -1, -1):
-        run[i] = run[i + 1] + 1 if i + 1 < n and value[i] == value[i + 1] else 1
-        walk[i] = walk[i + 1] + 1 if i + 1 < n and low[i + 1] in _NEXT.get(low[i], ()) else 1
+        walk[i] = walk[i + 1] + 1 if i + 1 < n and step[i] else 1
+        for unit, length in same.items():
+            length[i] = length[i + 1] + 1 if i + unit < n and value[i] == value[i + unit] else 0
     turn = 0.5
     for i in range(n):
         here = best[i] + (turn if i else 0.0)
@@ -99,32 +108,33 @@ def log10_guesses(value: str, ranks: dict[str, int], min_word: int = 3) -> float
                 piece = value[i : i + size]
                 extra += 0.0 if piece.islower() else 0.3 if piece[0].isupper() and piece[1:].islower() or piece.isupper() else 1.0
                 best[i + size] = min(best[i + size], here + math.log10(rank + 1) + extra)
-        if run[i] >= 3:
-            best[i + run[i]] = min(best[i + run[i]], here + _alphabet(value[i]) + math.log10(run[i]))
-        for unit in (2, 3, 4):  # a short unit again and again
-            size = unit
-            while value.startswith(value[i : i + unit], i + size) and size < 64 * unit:
-                size += unit
-            if size >= 2 * unit and i + size <= n and size > 4:
+        for unit, length in same.items():  # a short unit again and again
+            size = unit + length[i] // unit * unit
+            if size >= 2 * unit and size > (2 if unit == 1 else 4):
                 best[i + size] = min(best[i + size], here + sum(map(_alphabet, value[i : i + unit])) + math.log10(size / unit))
         if walk[i] >= 4:
-            best[i + walk[i]] = min(best[i + walk[i]], here + math.log10(47) + 0.5 * walk[i])
+            best[i + walk[i]] = min(best[i + walk[i]], here + math.log10(47 * walk[i]) + 0.66 * (1 + turned[i + walk[i] - 2] - turned[i]))
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             best[m.end()] = min(best[m.end()], here + (2.0 if m.end() - i == 4 else 4.6))
     return best[n]
 
 
+def _cued(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in _CUES)
+
+
 def spans_of(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start and then kind as listed."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+    cued = _cued(text)
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE] if cued else []
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = sorted(found, key=lambda s: s[1])
-    for m in CONTEXT.finditer(text):
+    for m in CONTEXT.finditer(text) if cued else ():
         start, end = m.span(1)
         end = start + len(m[1].rstrip(".,;:!?)]}"))
-        if end - start >= 8 and not any(s <= start and end <= e for _, s, e in base) and log10_guesses(text[start:end], ranks) >= MIN_LOG10_GUESSES:
+        if end - start >= 8 and log10_guesses(text[start:end], ranks) >= MIN_LOG10_GUESSES:
             found.append(("guess", start, end))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -133,37 +143,65 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_WORD = re.compile(r"[^\W\d_]{3,32}")
+#: Words that a counting task gathers and that a worker remembers; text hashes that may be broadcast, 8 bytes each.
+TASK_WORDS, CACHE_WORDS, BROADCAST_HASHES = 300_000, 300_000, 1_000_000
+
+
+class _Words(dict):
+    """What stands between spaces -> the word it is, in lower case, or nothing."""
+
+    def __missing__(self, piece: str) -> str:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        word = piece.strip(".,;:!?\"'()").lower()
+        value = self[piece] = word if 3 <= len(word) <= LONGEST_WORD and word.isalpha() else ""
+        return value
 
 
 def word_ranks(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Rank of each dictionary word, from 1: common passwords, then the corpus's ``most`` words in the most texts.
+    """Rank of each dictionary word, from 1: common passwords, then the corpus's words of the most texts, ``most`` at most.
 
-    Texts of the same words count once, however many copies there are.  Values in a
-    credential context and of base spans are left out, so a secret is no word of its own.
+    Equal texts count once, however many copies there are.  Values in a credential
+    context and of base spans are left out, so a secret is no word of its own.
     """
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = worker_memory("words of secrets", _Words), Counter()
         for batch in batches:
-            found = []
             for text in batch.column(0).to_pylist():
-                for pattern in (CONTEXT, ASSIGN):
-                    text = pattern.sub(_without_value, text)
-                text = HEX.sub(" ", text)
-                plain = {word.strip(".,;:!?\"'()").lower() for word in set(text.split())}
-                found.append(" ".join(sorted(w for w in plain if 3 <= len(w) <= LONGEST_WORD and w.isalpha())))
-            yield pa.RecordBatch.from_pydict({"words": pa.array(found, pa.string())})
+                if _cued(text):
+                    for pattern in (CONTEXT, ASSIGN):
+                        text = pattern.sub(_without_value, text)
+                seen.update({words[piece] for piece in set(HEX.sub(" ", text).split())})
+                if len(seen) > TASK_WORDS:
+                    yield from _counted(seen)
+                    seen.clear()
+        yield from _counted(seen)
 
     bounded_batches(docs.sparkSession)
-    texts = texts_of(docs).select("text").mapInArrow(bags, "words string").where("words <> ''").distinct()
-    counted = texts.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()  # at most `most` words
+    texts = texts_of(docs).select("text", F.xxhash64("text").alias("h")).where("text <> ''")
+    # copies: a row for each text and task is exchanged, and texts alone that do repeat
+    repeated = stored(texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    if repeated.count() <= BROADCAST_HASHES:
+        repeated = F.broadcast(repeated)
+    once = texts.join(repeated, "h", "left_anti").select("text")
+    copies = texts.join(repeated, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).select("text")
+    counted = once.unionByName(copies).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = most_frequent(stored(counted.where("n > 1"), "words"), most).collect()  # at most `most` words
     ranks = {w: k + 1 for k, w in enumerate(COMMON)}
-    for k, row in enumerate(top):
+    for k, row in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"]))):
         ranks.setdefault(row["word"], len(COMMON) + k + 1)
     return ranks
 
 
+def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
+    seen.pop("", None)
+    words = list(seen)
+    for lo in range(0, len(words), 20_000):
+        part = words[lo : lo + 20_000]
+        yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "n": pa.array([seen[w] for w in part], pa.int64())})
+
+
 def _without_value(m: re.Match) -> str:
     """A match with a sign, which no pattern takes, for its value, the last group."""
     return m[0][: m.start(m.lastindex) - m.start()] + "\x01 "

@@ -1,5 +1,6 @@
 """Each training-data operator against brute force, a round trip or held-out labels, and its edge cases."""
 
+import itertools
 import math
 import random
 import re
@@ -262,7 +263,46 @@ def test_secrets_beside_base_spans(spark):
         start = text.index(" ") + 1
         assert sorted(secret_scan.spans_of(text, {})) == sorted([base, ("guess", start, len(text))])
         assert "[SECRET]" in (left := secret_scan.redact(docs_of(spark, [text]), {}).first()["text"]) and not any(x in left for x in ("Zq8", "Xw", "Zk!", "7T"))
-    assert secret_scan.spans_of("password: Abcdefgh1234Zq8Lm2Xw", {}) == [("assign", 0, 30)]  # the base span holds all of it
+    assert secret_scan.spans_of("password: Abcdefgh1234Zq8Lm2Xw", {}) == [("assign", 0, 30), ("guess", 10, 30)]  # values in a base span are scored as well
+
+
+def test_every_credential_value_is_scored(spark):
+    ranks = {w: k + 1 for k, w in enumerate([*secret_scan.COMMON, "sunny", "horse", "battery"])}
+    strong = ["xK93jf8Qz2Lp", "Vt7#mQ2z!Rk9", "zq8kd93lmw4t7b", "h7G-p2Q-x9Z-m4K"]
+    weak = ["sunshine2019", "P@ssw0rd2019", "qwertyuiopqwertyuiop", "aaaaaaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabcabcabc", "horsebattery", "2019-05-11", "ab" * 4000]
+    texts = [f"note {cue} {v}, then more" for v in strong + weak for cue in ("password:", "PASSWD =", "api_key =>", "token is")]
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs_of(spark, texts), ranks).collect()}
+    for k, text in enumerate(texts):
+        value = (strong + weak)[k // 4]
+        want = [(text.index(value), text.index(value) + len(value))] if value in strong else []
+        if "PASSWD" in text:  # no cue of its own in the list
+            continue
+        assert [(s["start"], s["end"]) for s in rows[k] if s["kind"] == "guess"] == want, text[:60]
+    assert rows[0] and [s["kind"] for s in rows[0]] == ["assign", "guess"]
+
+
+def test_guess_cost_equals_all_segmentations():
+    """The dynamic program against every way to cut a short value."""
+    ranks = {"cat": 1, "dog": 5, "catdog": 40}
+
+    def piece(v):  # the least cost of one segment
+        costs = [sum(map(secret_scan._alphabet, v))]
+        if v.lower() in ranks:
+            costs.append(math.log10(ranks[v.lower()] + 1) + (0 if v.islower() else 0.3 if v[0].isupper() and v[1:].islower() or v.isupper() else 1.0))
+        for unit in (1, 2, 3, 4):
+            if len(v) % unit == 0 and v == v[:unit] * (len(v) // unit) and len(v) >= 2 * unit and len(v) > (2 if unit == 1 else 4):
+                costs.append(sum(map(secret_scan._alphabet, v[:unit])) + math.log10(len(v) / unit))
+        return min(costs)
+
+    def brute(v):
+        return min(sum(piece(v[a:b]) for a, b in zip((0, *cuts), (*cuts, len(v)), strict=True)) + 0.5 * len(cuts) for r in range(len(v)) for cuts in itertools.combinations(range(1, len(v)), r))
+
+    rng = random.Random(4)
+    for _ in range(150):
+        value = "".join(rng.choice(["cat", "Dog", "x", "zz", "mm", "b", "vvv"]) for _ in range(rng.randint(1, 4)))[:10]
+        assert secret_scan.log10_guesses(value, ranks) <= brute(value) + 1e-9
+        if not any(b in secret_scan._NEXT.get(a, ()) for a, b in zip(value.lower(), value.lower()[1:], strict=False)):
+            assert secret_scan.log10_guesses(value, ranks) == pytest.approx(brute(value))
 
 
 def test_secret_table(spark, odd):
