@@ -10,7 +10,7 @@ from .common import delete_path, scratch_path
 #: Rounds after which something must be wrong: labels halve their distance each round.
 MOST_ROUNDS = 60
 #: Edges that a task of a round should get, and tasks at least: a small graph does not pay for every shuffle partition.
-EDGES_PER_TASK, TASKS = 200_000, 12
+EDGES_PER_TASK, TASKS = 200_000, 6
 
 
 def components(edges: DataFrame) -> DataFrame:

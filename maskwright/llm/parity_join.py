@@ -29,8 +29,8 @@ the texts (``HOT_SHARE``) and are left out wherever the pigeonhole bound holds w
 them; what is left of such a group is dealt by salt.  Groups with equal members,
 as a family of near copies has by the hundred, are one group.  Pairs within
 a group are never formed: each member is compared with two centres of the group, those
-with the least salted hashes.  What then is left - members of one group in different
-components - is compared in blocks, which loses no link.
+with the least salted hashes.  What then is left - members of one group without a centre in
+common - is compared in blocks, which loses no link.
 
 Defined cases: null or empty text has no shingle and is linked with nothing
 (its component is its own id); fewer words than a shingle's are one
@@ -327,10 +327,8 @@ def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFram
     sets = _sets(docs, groups.select(F.col("id").alias("class")).distinct().join(classes, "class").select("doc_id", "t", "class").coalesce(tasks), n)
     pairs = stored(_with_centres(groups, tasks), "pairs")
     links = stored(verified(pairs, sets, threshold), "links")
-    joined = components(links)
-    more = stored(_rest(groups, joined, sets, threshold, tasks), "links-rest")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    more = stored(_rest(groups, _labels(links).coalesce(tasks), sets, threshold, tasks), "links-rest")
+    joined = components(links.unionByName(more))
     named = classes.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", "t", F.coalesce("component", "class").alias("part"))
     return members, named
 
@@ -343,8 +341,16 @@ def _with_centres(groups: DataFrame, tasks: int) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct().coalesce(tasks)
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): of a node and its neighbours that with the least hash, which is the centre that a family was compared with."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    order = lambda c: F.struct(F.xxhash64(c, F.lit(0)).alias("h"), F.col(c).alias("id"))
+    least = both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least("m", order("a")).alias("m"))
+    return least.select(F.col("a").alias("node"), F.col("m.id").alias("component"))
+
+
 def _open(rows: DataFrame, parts: DataFrame, keys: list[str], tasks: int) -> DataFrame:
-    """``rows`` (with id) of the groups by ``keys`` that hold more than one component, with ``part``."""
+    """``rows`` (with id) of the groups by ``keys`` that hold more than one part by (node, component), with ``part``."""
     known = rows.join(parts, F.col("id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "id").alias("part")).coalesce(tasks)
     mixed = known.groupBy(*keys).agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
     mixed = mixed.where("p <> q and n > 2").select(*keys).coalesce(tasks)  # two members have met: one is the centre
@@ -381,7 +387,7 @@ def _rest(groups: DataFrame, parts: DataFrame, sets: DataFrame, threshold: Fract
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _cross_links(group, threshold)
 
-    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(_tasks(met, 5_000)).distinct().coalesce(tasks)
 
 
 def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
@@ -426,8 +432,8 @@ def similar_sets(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
 
 
 def _tasks(table: DataFrame, rows: int = 100_000) -> int:
-    """Tasks for what comes of a stored table: one for so many of its rows, 12 at least."""
-    return max(12, table.count() // rows)
+    """Tasks for what comes of a stored table: one for so many of its rows, 6 at least."""
+    return max(6, table.count() // rows)
 
 
 #: Ids that may be broadcast, 24 bytes each.
@@ -472,8 +478,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
         return pd.Series([similar_sets(np.frombuffer(a, _U), np.frombuffer(b, _U), threshold) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"x_{c}")) for c in "ab")
-    near = stored(near_pairs(pairs, sets, threshold), "near")
-    return near.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b")
+    # sketches, then sets come along: smaller tasks
+    near = stored(near_pairs(pairs, sets, threshold).coalesce(_tasks(pairs, 10_000)), "near")
+    return near.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b").coalesce(_tasks(near, 2_000))
 
 
 def _named(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
@@ -500,7 +507,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10))
     found, firsts = _named(docs, n, threshold)
     firsts = firsts.select("part", F.struct("doc_id", "t").alias("first"))
     rows = found.where("doc_id is not null and class is not null").groupBy("doc_id", "t", "part").agg(F.count("*").alias("rows")).join(firsts, "part")
-    decided = stored(rows.select("doc_id", "t", "rows", (F.struct("doc_id", "t") == F.col("first")).alias("stays")), "decided")
+    decided = rows.select("doc_id", "t", "rows", (F.struct("doc_id", "t") == F.col("first")).alias("stays")).where("not stays or rows > 1")
+    decided = stored(decided.coalesce(max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "decided")
     gone = decided.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
     again = decided.where("stays and rows > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
     if gone.count() <= BROADCAST_IDS:
