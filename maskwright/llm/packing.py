@@ -74,12 +74,45 @@ def knapsack(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarra
     return made
 
 
+def fullest(limits: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each length goes into a configuration that fills most, each at most ``limits`` times.
+
+    Subset sums as the bits of one integer; numbers of a length are made of powers of two, longest lengths first.
+    """
+    reach, mask, steps = 1, (1 << (capacity + 1)) - 1, []
+    for length in (np.flatnonzero(limits[1:] > 0)[::-1] + 1).tolist():
+        most, size = min(int(limits[length]), capacity // length), 1
+        while most:
+            size = min(size, most)
+            steps.append((length, size, reach))
+            reach |= (reach << (size * length)) & mask
+            most -= size
+            size *= 2
+        if reach >> capacity:
+            break
+    made, room = np.zeros(capacity + 1, np.int64), reach.bit_length() - 1
+    for length, size, before in reversed(steps):
+        if not before >> room & 1:  # not reached without these
+            made[length] += size
+            room -= size * length
+    return made
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: how often} with their number of uses; all pieces exactly once.
 
     ``counts[l]`` is the number of pieces of length l (0..capacity).  At most ``rounds``
     rounds, if given; the rest is packed by best fit.
     """
+    return solved(counts, capacity, rounds)["plan"]
+
+
+def solved(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> dict:
+    """The ``plan`` of ``solve`` and how good it is.
+
+    ``bound``: sequences that any packing needs, by tokens; ``sequences``; ``gap`` between them;
+    ``by_configurations`` and ``by_best_fit``: sequences by where they come from.
+    """
     uses, left = configurations(counts, capacity, rounds)
     plans = []
     for share in KEPT:  # the later ones go back to best fit if that needs fewer sequences
@@ -87,8 +120,12 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = Non
         for contents, times in uses[len(kept) :]:
             for length, each in contents.items():
                 rest[length] += each * times
-        plans.append(kept + best_fit(rest, capacity))
-    return min(plans, key=lambda plan: sum(times for _, times in plan))  # the first of equal ones keeps most
+        plans.append((kept, best_fit(rest, capacity)))
+    made = lambda plan: sum(times for _, times in plan)
+    kept, rest = min(plans, key=lambda both: made(both[0]) + made(both[1]))  # the first of equal ones keeps most
+    bound = -(-int(np.asarray(counts, np.int64) @ np.arange(capacity + 1)) // capacity)
+    n = made(kept) + made(rest)
+    return {"plan": kept + rest, "bound": bound, "sequences": n, "gap": n - bound, "by_configurations": made(kept), "by_best_fit": made(rest)}
 
 
 def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
@@ -120,7 +157,7 @@ def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | N
         prices[some] = priced[some]
         made = knapsack(prices, left, capacity)
         if int(made @ sizes) < FILLED * capacity:  # is there any that fills a sequence?
-            made = knapsack(np.where(left > 0, sizes, 0).astype(float), left, capacity)
+            made = fullest(left, capacity)
             if int(made @ sizes) < FILLED * capacity:
                 break
         inside = made > 0

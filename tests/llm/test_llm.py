@@ -369,6 +369,29 @@ def test_configurations_hold_most_pieces(times):
     assert sum(t for _, t in packing.solve(counts, 300)) <= 1.001 * -(-(counts @ sizes) // 300) + 1
 
 
+def test_fullest_equals_all_subsets():
+    rng = random.Random(3)
+    for _ in range(300):
+        capacity = rng.randint(1, 30)
+        limits = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.randint(0, 4)):
+            limits[rng.randint(1, capacity)] = rng.randint(0, 3)
+        lengths = np.flatnonzero(limits).tolist()
+        sums = [sum(k * x for k, x in zip(lengths, some, strict=True)) for some in itertools.product(*(range(int(limits[x]) + 1) for x in lengths))]
+        made = packing.fullest(limits, capacity)
+        assert (made <= limits).all() and int(made @ np.arange(capacity + 1)) == max(s for s in sums if s <= capacity)
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_configurations_pack_most_sequences(times):
+    """Sequences come from the configuration program, few from best fit, and the gap to the bound is small."""
+    rng = np.random.default_rng(8)
+    counts = np.bincount(np.minimum(rng.lognormal(6, 0.8, 6000).astype(int) + 1, 2048), minlength=2049) * times
+    found = packing.solved(counts)
+    assert found["sequences"] == sum(t for _, t in found["plan"]) == found["by_configurations"] + found["by_best_fit"]
+    assert found["by_configurations"] >= 0.9 * found["sequences"] and 0 <= found["gap"] <= 1 + 0.002 * found["bound"]
+
+
 def test_packing(spark, documents, odd):
     for table, capacity in ((documents, 512), (odd, 2048)):
         rows = packing.pack(table, capacity=capacity).collect()
