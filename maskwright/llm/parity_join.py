@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, give_back, in_portions, mix, most_frequent, stored, texts_of, worker_memory
+from .common import WordHashes, ascii_words, bounded_batches, give_back, in_portions, mix, most_frequent, release, stored, texts_of, worker_memory
 from .components import components
 
 _U = np.uint64
@@ -322,8 +322,9 @@ def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFram
     # a set has about a key for two shingles, bands and copies that tasks don't share included
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_KEYS)
-    found = shared_keys(docs, n, threshold, parts).join(classes.select("low", F.col("class").alias("id")), "low").select("key", "id")
-    groups = stored(found.coalesce(max(tasks, parts // 4)), "groups")
+    ids = classes.select("low", F.col("class").alias("id"))
+    groups = stored(shared_keys(docs, n, threshold, parts).join(ids, "low").select("key", "id").coalesce(max(tasks, parts // 4)), "groups")
+    release(docs.sparkSession)
     sets = _sets(docs, groups.select(F.col("id").alias("class")).distinct().join(classes, "class").select("doc_id", "t", "class").coalesce(tasks), n)
     pairs = stored(_with_centres(groups, tasks), "pairs")
     links = stored(verified(pairs, sets, threshold), "links")
@@ -357,7 +358,7 @@ def _open(rows: DataFrame, parts: DataFrame, keys: list[str], tasks: int) -> Dat
     return known.join(mixed, keys, "left_semi").coalesce(tasks)
 
 
-#: Bytes of sets, and sets at most, in one block of a group.
+#: Bytes of sets or sketches, and members at most, in one block of a group.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 2048
 
 
@@ -367,40 +368,75 @@ def _rest(groups: DataFrame, parts: DataFrame, sets: DataFrame, threshold: Fract
     All groups with the same centre are put together, since a family of near copies
     shares most of its centres; whoever shares a key with whom then meets in the
     group of that key's centre.  A group is dealt into blocks and every pair of
-    blocks is one task's work; pairs are never rows, only links are.
+    blocks is one task's work; pairs are never rows, only links are.  First the
+    sketches tell who may be near anybody of another part, then the sets of those
+    are compared.
     """
     order = F.struct(F.xxhash64("id", F.lit(0)).alias("h"), F.col("id").alias("id"))
     open_ = stored(_open(groups, parts, ["key"], tasks), "open-groups")
     centre = open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre")).coalesce(tasks)
     met = stored(open_.join(centre, "key").select("centre", "id", "part").coalesce(tasks).distinct().coalesce(tasks), "open")
-    # sets of a group have the centre's size or nearly so
-    size = sets.select(F.col("class").alias("centre"), F.length("set").alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
-    blocks = met.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select(
-        "centre", F.ceil(F.col("n") / F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))), F.lit(8))).cast("int").alias("blocks")
-    )
+    members = sets.withColumnRenamed("class", "id")
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        return _near_members(group, threshold)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return _cross_links(group, threshold)
+
+    blocks = _block_pairs(met, members, "sketch", tasks).join(members.select("id", "size", "sketch"), "id")
+    found = blocks.groupBy("centre", "i", "j").applyInPandas(near, "centre long, id long").coalesce(_tasks(met, 10_000)).distinct().coalesce(tasks)
+    met = met.join(stored(found, "open-near"), ["centre", "id"], "left_semi").coalesce(tasks)
+    blocks = _block_pairs(met, members, "set", tasks).join(members, "id")
+    return blocks.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _block_pairs(met: DataFrame, members: DataFrame, column: str, tasks: int) -> DataFrame:
+    """(centre, i, j, own, id, part): each member of a group in every pair of blocks of which its own is one."""
+    # what members of a group hold has the centre's size or nearly so
+    size = members.select(F.col("id").alias("centre"), F.length(column).alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
+    each = F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))), F.lit(8))
+    blocks = met.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select("centre", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
     dealt = met.join(blocks.coalesce(tasks), "centre").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     # block i meets block j for i <= j
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
-    rows = dealt.join(sets.withColumnRenamed("class", "id"), "id")
+    return dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return _cross_links(group, threshold)
 
-    return rows.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(_tasks(met, 5_000)).distinct().coalesce(tasks)
+def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    return (group, group) if i == j else (group[group["own"] == i], group[group["own"] == j])
+
+
+def _near(left: pd.DataFrame, right: pd.DataFrame, threshold: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``left`` those of ``right`` of another part that the sketches leave open."""
+    if not len(left) or not len(right):
+        return
+    words = min(min(map(len, side["sketch"])) for side in (left, right)) // 8
+    lw, rw = (np.stack([folded(np.frombuffer(x, _U), words) for x in side["sketch"]]) for side in (left, right))
+    ln, rn = left["size"].to_numpy(), right["size"].to_numpy()
+    lp, rp = left["part"].to_numpy(), right["part"].to_numpy()
+    for k in range(len(left)):
+        far = np.bitwise_count(rw ^ lw[k]).sum(1, dtype=np.int64)
+        yield k, np.flatnonzero((far <= most_different(rn + ln[k], threshold)) & (rp != lp[k]))
+
+
+def _near_members(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
+    """Members of a pair of blocks that may be near one of another part."""
+    left, right = _sides(group)
+    li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+    ids: set[int] = set()
+    for k, hits in _near(left, right, threshold):
+        if len(hits):
+            ids.add(int(li[k]))
+            ids.update(ri[hits].tolist())
+    return pd.DataFrame({"centre": np.full(len(ids), int(group["centre"].iloc[0]), np.int64), "id": np.array(sorted(ids), np.int64)})
 
 
 def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
     """Links between different parts of a pair of blocks, those that join parts not joined yet."""
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    left = group if i == j else group[group["own"] == i]
-    right = group if i == j else group[group["own"] == j]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    left, right = _sides(group)
     ls, rs = ([np.frombuffer(x, _U) for x in side["set"]] for side in (left, right))
-    words = min(len(x) for x in group["sketch"]) // 8
-    lw, rw = (np.stack([folded(np.frombuffer(x, _U), words) for x in side["sketch"]]) for side in (left, right))
-    ln, rn = (np.array([len(x) for x in side], np.int64) for side in (ls, rs))
     lp, rp = left["part"].to_numpy(), right["part"].to_numpy()
     li, ri = left["id"].to_numpy(), right["id"].to_numpy()
     parent: dict[int, int] = {}
@@ -411,9 +447,8 @@ def _cross_links(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
         return x
 
     a, b = [], []
-    for k in range(len(ls)):
-        far = np.bitwise_count(rw ^ lw[k]).sum(1, dtype=np.int64)
-        for m in np.flatnonzero((far <= most_different(rn + ln[k], threshold)) & (rp != lp[k])).tolist():
+    for k, hits in _near(left, right, threshold):
+        for m in hits.tolist():
             x, y = find(int(lp[k])), find(int(rp[m]))
             if x != y and similar_sets(ls[k], rs[m], threshold):  # one link for two parts is enough
                 parent[x] = y
@@ -477,9 +512,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     def similar(x, y):
         return pd.Series([similar_sets(np.frombuffer(a, _U), np.frombuffer(b, _U), threshold) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"x_{c}")) for c in "ab")
     # sketches, then sets come along: smaller tasks
     near = stored(near_pairs(pairs, sets, threshold).coalesce(_tasks(pairs, 10_000)), "near")
+    ids = near.select("a").union(near.select("b")).distinct()
+    if 2 * near.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = sets.join(ids.withColumnRenamed("a", "class"), "class", "left_semi")
+    one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"x_{c}")) for c in "ab")
     return near.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b").coalesce(_tasks(near, 2_000))
 
 
