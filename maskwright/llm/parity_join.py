@@ -325,10 +325,14 @@ def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFram
     ids = classes.select("low", F.col("class").alias("id"))
     groups = stored(shared_keys(docs, n, threshold, parts).join(ids, "low").select("key", "id").coalesce(max(tasks, parts // 4)), "groups")
     release(docs.sparkSession)
-    sets = _sets(docs, groups.select(F.col("id").alias("class")).distinct().join(classes, "class").select("doc_id", "t", "class").coalesce(tasks), n)
+    sketches = _described(docs, classes, groups.select("id").distinct(), n, "sketch")
     pairs = stored(_with_centres(groups, tasks), "pairs")
-    links = stored(verified(pairs, sets, threshold), "links")
-    more = stored(_rest(groups, _labels(links).coalesce(tasks), sets, threshold, tasks), "links-rest")
+    near = stored(near_pairs(pairs, sketches, threshold).coalesce(_tasks(pairs, 10_000)), "near")
+    sets = _described(docs, classes, near.select("a").union(near.select("b")).distinct(), n, "set")
+    links = stored(verified(near, sets, threshold), "links")
+    met = stored(_left_open(groups, _labels(links).coalesce(tasks), sketches, threshold, tasks), "left-open")
+    sets = _described(docs, classes, met.select("id").distinct(), n, "set").join(sketches.select("class", "sketch"), "class")
+    more = stored(_rest(met, sets, threshold, tasks), "links-rest")
     joined = components(links.unionByName(more))
     named = classes.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", "t", F.coalesce("component", "class").alias("part"))
     return members, named
@@ -362,31 +366,37 @@ def _open(rows: DataFrame, parts: DataFrame, keys: list[str], tasks: int) -> Dat
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 2048
 
 
-def _rest(groups: DataFrame, parts: DataFrame, sets: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
-    """Links between members of one group that are still in different components.
+def _left_open(groups: DataFrame, parts: DataFrame, sketches: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
+    """(centre, id, part): members of groups that their sketches leave near a member of another part.
 
     All groups with the same centre are put together, since a family of near copies
     shares most of its centres; whoever shares a key with whom then meets in the
-    group of that key's centre.  A group is dealt into blocks and every pair of
-    blocks is one task's work; pairs are never rows, only links are.  First the
-    sketches tell who may be near anybody of another part, then the sets of those
-    are compared.
+    group of that key's centre.
     """
     order = F.struct(F.xxhash64("id", F.lit(0)).alias("h"), F.col("id").alias("id"))
     open_ = stored(_open(groups, parts, ["key"], tasks), "open-groups")
     centre = open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre")).coalesce(tasks)
     met = stored(open_.join(centre, "key").select("centre", "id", "part").coalesce(tasks).distinct().coalesce(tasks), "open")
-    members = sets.withColumnRenamed("class", "id")
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
         return _near_members(group, threshold)
 
+    members = sketches.withColumnRenamed("class", "id")
+    blocks = _block_pairs(met, members, "sketch", tasks).join(members, "id")
+    found = blocks.groupBy("centre", "i", "j").applyInPandas(near, "centre long, id long").coalesce(_tasks(met, 10_000)).distinct().coalesce(tasks)
+    return met.join(found, ["centre", "id"], "left_semi").coalesce(tasks)
+
+
+def _rest(met: DataFrame, sets: DataFrame, threshold: Fraction, tasks: int) -> DataFrame:
+    """Links between members (centre, id, part) of one group in different parts.
+
+    A group is dealt into blocks and every pair of blocks is one task's work; pairs are never rows, only links are.
+    """
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _cross_links(group, threshold)
 
-    blocks = _block_pairs(met, members, "sketch", tasks).join(members.select("id", "size", "sketch"), "id")
-    found = blocks.groupBy("centre", "i", "j").applyInPandas(near, "centre long, id long").coalesce(_tasks(met, 10_000)).distinct().coalesce(tasks)
-    met = met.join(stored(found, "open-near"), ["centre", "id"], "left_semi").coalesce(tasks)
+    members = sets.withColumnRenamed("class", "id")
     blocks = _block_pairs(met, members, "set", tasks).join(members, "id")
     return blocks.groupBy("centre", "i", "j").applyInPandas(compare, "a long, b long").coalesce(tasks).distinct().coalesce(tasks)
 
@@ -394,9 +404,9 @@ def _rest(groups: DataFrame, parts: DataFrame, sets: DataFrame, threshold: Fract
 def _block_pairs(met: DataFrame, members: DataFrame, column: str, tasks: int) -> DataFrame:
     """(centre, i, j, own, id, part): each member of a group in every pair of blocks of which its own is one."""
     # what members of a group hold has the centre's size or nearly so
-    size = members.select(F.col("id").alias("centre"), F.length(column).alias("bytes")).groupBy("centre").agg(F.max("bytes").alias("bytes"))
-    each = F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.col("bytes"))), F.lit(8))
-    blocks = met.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre").select("centre", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
+    size = members.select(F.col("id").alias("centre"), F.length(column).alias("bytes"))
+    each = F.greatest(F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / F.coalesce("bytes", F.lit(64 << 10)))), F.lit(8))
+    blocks = met.groupBy("centre").agg(F.count("*").alias("n")).join(size, "centre", "left").select("centre", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
     dealt = met.join(blocks.coalesce(tasks), "centre").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     # block i meets block j for i <= j
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -475,24 +485,26 @@ def _tasks(table: DataFrame, rows: int = 100_000) -> int:
 BROADCAST_IDS = 1_000_000
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(class, size, sketch, set) of the wanted classes, by their least rows (doc_id, t)."""
-    wanted = stored(wanted, "wanted")
+def _described(docs: DataFrame, classes: DataFrame, ids: DataFrame, n: int, column: str) -> DataFrame:
+    """(class, size, ``sketch`` or ``set``) of the classes in ``ids``, made anew from the text of their least rows (doc_id, t).
+
+    A text is read once more, so that the sets of those alone are written that are compared.
+    """
+    wanted = stored(classes.join(ids.toDF("class"), "class").select("doc_id", "t", "class").coalesce(_tasks(classes)), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, n) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {"class": batch.column("class"), "size": pa.array([len(s) for s in found], pa.int64()), "sketch": pa.array(list(map(packed_sketch, found)), pa.binary()), "set": pa.array([s.tobytes() for s in found], pa.binary())}
-            )
+            values = [packed_sketch(s) if column == "sketch" else s.tobytes() for s in found]
+            yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "size": pa.array([len(s) for s in found], pa.int64()), column: pa.array(values, pa.binary())})
 
-    found = _hashed(docs).join(wanted, ["doc_id", "t"]).select("class", "text").mapInArrow(run, "class long, size long, sketch binary, set binary")
-    return stored(found, "sets")
+    found = _hashed(docs).join(wanted, ["doc_id", "t"]).select("class", "text").mapInArrow(run, f"class long, size long, {column} binary")
+    return stored(found, column)
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def near_pairs(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
     """The (a, b) pairs whose sketches leave it open that their sets are similar enough."""
 
     @F.pandas_udf("boolean")
@@ -500,7 +512,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFr
         return pd.Series([hamming(a, b) <= most_different(k + l, threshold) for k, a, l, b in zip(m.tolist(), x, n.tolist(), y, strict=True)], dtype=bool)
 
     p, q = threshold.numerator, threshold.denominator
-    one, two = (sets.select(F.col("class").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    one, two = (sketches.select(F.col("class").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
     return both.where(near("n_a", "s_a", "n_b", "s_b")).select("a", "b")
 
@@ -512,14 +524,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     def similar(x, y):
         return pd.Series([similar_sets(np.frombuffer(a, _U), np.frombuffer(b, _U), threshold) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    # sketches, then sets come along: smaller tasks
-    near = stored(near_pairs(pairs, sets, threshold).coalesce(_tasks(pairs, 10_000)), "near")
-    ids = near.select("a").union(near.select("b")).distinct()
-    if 2 * near.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = sets.join(ids.withColumnRenamed("a", "class"), "class", "left_semi")
     one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"x_{c}")) for c in "ab")
-    return near.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b").coalesce(_tasks(near, 2_000))
+    return pairs.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b").coalesce(_tasks(pairs, 2_000))
 
 
 def _named(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
