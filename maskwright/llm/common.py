@@ -96,6 +96,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_tasks(spark: SparkSession) -> int:
+    """Tasks that small results are brought to at least: a task then sorts in 12 shuffle partitions at most, each of which holds memory to its end."""
+    return max(6, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 12))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than whenever the driver collects garbage."""
     gc.collect()

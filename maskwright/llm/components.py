@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, scratch_path
+from .common import delete_path, least_tasks, scratch_path
 
 #: Rounds after which something must be wrong: labels halve their distance each round.
 MOST_ROUNDS = 60
-#: Edges that a task of a round should get, and tasks at least: a small graph does not pay for every shuffle partition.
-EDGES_PER_TASK, TASKS = 200_000, 6
+#: Edges that a task of a round should get; a small graph does not pay for every shuffle partition.
+EDGES_PER_TASK = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     paths: list[str] = []
-    tasks = TASKS
+    tasks = least_tasks(spark)
 
     def kept(df: DataFrame) -> DataFrame:
         paths.append(scratch_path(spark, "edges"))
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     # from larger to smaller node
     graph = kept(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
-    tasks = max(TASKS, graph.count() // EDGES_PER_TASK)
+    tasks = max(tasks, graph.count() // EDGES_PER_TASK)
     before = None
     for _ in range(MOST_ROUNDS):
         both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, give_back, in_portions, mix, most_frequent, release, stored, texts_of, worker_memory
+from .common import WordHashes, ascii_words, bounded_batches, give_back, in_portions, least_tasks, mix, most_frequent, release, stored, texts_of, worker_memory
 from .components import components
 
 _U = np.uint64
@@ -477,8 +477,8 @@ def similar_sets(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
 
 
 def _tasks(table: DataFrame, rows: int = 100_000) -> int:
-    """Tasks for what comes of a stored table: one for so many of its rows, 6 at least."""
-    return max(6, table.count() // rows)
+    """Tasks for what comes of a stored table: one for so many of its rows, and no more than 12 shuffle partitions in one."""
+    return max(least_tasks(table.sparkSession), table.count() // rows)
 
 
 #: Ids that may be broadcast, 24 bytes each.
@@ -553,7 +553,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10))
     firsts = firsts.select("part", F.struct("doc_id", "t").alias("first"))
     rows = found.where("doc_id is not null and class is not null").groupBy("doc_id", "t", "part").agg(F.count("*").alias("rows")).join(firsts, "part")
     decided = rows.select("doc_id", "t", "rows", (F.struct("doc_id", "t") == F.col("first")).alias("stays")).where("not stays or rows > 1")
-    decided = stored(decided.coalesce(max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "decided")
+    decided = stored(decided.coalesce(least_tasks(docs.sparkSession)), "decided")
     gone = decided.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
     again = decided.where("stays and rows > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
     if gone.count() <= BROADCAST_IDS:
