@@ -23,18 +23,42 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Numbers that are added up in one go; a long text is many such pieces.
+PIECE = 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(sizes: Column) -> Column:
+    """Running totals of an array of one number or more, inside the row: nothing is exchanged, and repeated keys do no harm."""
+
+    def totals(numbers: Column, start: Column) -> Column:
+        return F.aggregate(numbers, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def pieces(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PIECE).cast("int")), lambda k: F.slice(s, k * PIECE + 1, PIECE))
+
+    def whole(p: Column) -> Column:
+        before = totals(F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y)), F.lit(0))
+        return F.flatten(F.zip_with(p, F.slice(before, 1, F.size(p)), lambda x, start: F.slice(totals(x, start), 2, PIECE)))
+
+    return bound(sizes, lambda s: bound(pieces(s), whole))
+
+
 def with_matches(df: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
     """A row for every match of ``pattern``: ``keep``, ord, match, gap (what lies before it), start, end.
 
     Offsets are code points and come from running lengths, since positions that
-    regular expressions report count UTF-16 units.  ``keep`` must identify a row.
+    regular expressions report count UTF-16 units.
     """
     parts = df.select(*keep, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    rows = parts.where(F.size("m") > 0).select(*keep, F.posexplode(F.arrays_zip("m", F.slice("g", 1, F.size("m")).alias("g"))).alias("ord", "z"))
-    rows = rows.select(*keep, "ord", F.col("z.m").alias("match"), F.col("z.g").alias("gap"))
-    size = F.length("match") + F.length("gap")
-    end = F.sum(size).over(W.partitionBy(*keep).orderBy("ord")).cast("int")
-    return rows.select(*keep, "ord", "match", "gap", (end - F.length("match")).alias("start"), end.alias("end"))
+    parts = parts.where(F.size("m") > 0).withColumn("g", F.slice("g", 1, F.size("m")))
+    parts = parts.withColumn("e", running(F.zip_with("g", "m", lambda g, m: F.length(g) + F.length(m))))
+    rows = parts.select(*keep, F.posexplode(F.arrays_zip("m", "g", "e")).alias("ord", "z"))
+    return rows.select(*keep, "ord", F.col("z.m").alias("match"), F.col("z.g").alias("gap"), (F.col("z.e") - F.length("z.m")).alias("start"), F.col("z.e").alias("end"))
 
 
 def scorer_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -43,16 +67,17 @@ def scorer_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
     A text of separators alone gives one empty token at its end; the empty text too.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(*keep, F.regexp_extract_all(t, F.lit(f"({ALNUM})"), F.lit(1)).alias("m"), F.split(t, ALNUM, -1).alias("g"), F.length(t).alias("n"))
+    rows = df.select(*keep, F.regexp_extract_all(t, F.lit(f"({ALNUM})"), F.lit(1)).alias("m"), F.split(t, ALNUM, -1).alias("g"))
     # one row at least: the empty token
     rows = rows.withColumn("m", F.when(F.size("m") == 0, F.array(F.lit(""))).otherwise(F.col("m"))).withColumn(
         "g", F.when(F.size("g") == 1, F.concat("g", F.array(F.lit("")))).otherwise(F.col("g"))
     )
-    zipped = F.arrays_zip("m", F.slice("g", 1, F.size("m")).alias("pre"), F.slice("g", 2, F.size("m")).alias("post"))
-    rows = rows.select(*keep, F.posexplode(zipped).alias("idx", "z"))
-    rows = rows.select(*keep, "idx", F.col("z.m").alias("token"), F.col("z.pre").alias("pre_ws"), F.col("z.post").alias("post_ws"))
-    end = F.sum(F.length("pre_ws") + F.length("token")).over(W.partitionBy(*keep).orderBy("idx")).cast("int")
-    return rows.withColumns({"start": end - F.length("token"), "end": end})
+    rows = rows.select(*keep, "m", F.slice("g", 1, F.size("m")).alias("pre"), F.slice("g", 2, F.size("m")).alias("post"))
+    rows = rows.withColumn("e", running(F.zip_with("pre", "m", lambda g, m: F.length(g) + F.length(m))))
+    rows = rows.select(*keep, F.posexplode(F.arrays_zip("m", "pre", "post", "e")).alias("idx", "z"))
+    return rows.select(
+        *keep, "idx", F.col("z.m").alias("token"), F.col("z.pre").alias("pre_ws"), F.col("z.post").alias("post_ws"), (F.col("z.e") - F.length("z.m")).alias("start"), F.col("z.e").alias("end")
+    )
 
 
 def rendered(tokens: DataFrame, *keep: str) -> DataFrame:
@@ -127,23 +152,24 @@ def split_sentences(tokens: DataFrame, doc: str = "doc_id", order: str = "ord")
     return full.withColumn("tok_idx", F.row_number().over(W.partitionBy(doc, "grp").orderBy(order)) - 1).drop("grp", "done")
 
 
-CASE_CLASSES = ("PADDING", "NUMERIC", "MOSTLY_NUMERIC", "ALL_LOWER", "ALL_UPPER", "INITIAL_UPPER", "CONTAINS_DIGIT", "OTHER")
+# The classes by number, which is their place in the one-hot vector.
+CASE_CLASSES = ("OTHER", "NUMERIC", "MAINLY_NUMERIC", "ALL_LOWER", "ALL_UPPER", "INITIAL_UPPER", "CONTAINS_DIGIT")
 
 
 def case_class(c: str | Column) -> Column:
-    """Class of a token by the look of it, 1..7, tests in this order; the empty token is OTHER (7)."""
+    """Class of a token by the look of it, a number from 0 to 6, tests in this order; the empty token is OTHER (0)."""
     c = _col(c)
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
-    letters = c.rlike(r"\p{L}")
+    cased = c.rlike(r"[\p{Ll}\p{Lu}\p{Lt}]")
     return (
-        F.when(F.length(c) == 0, 7)
+        F.when(F.length(c) == 0, 0)
         .when(digits == F.length(c), 1)
         .when(digits > F.length(c) / 2, 2)
-        .when(letters & (F.lower(c) == c), 3)
-        .when(letters & (F.upper(c) == c), 4)
+        .when(cased & (F.lower(c) == c), 3)
+        .when(cased & (F.upper(c) == c), 4)
         .when(c.rlike(r"^\p{Lu}"), 5)
         .when(digits > 0, 6)
-        .otherwise(7)
+        .otherwise(0)
     )
 
 
@@ -153,7 +179,7 @@ def one_hot(index: str | Column, size: int) -> Column:
 
 def case_feature(c: str | Column) -> Column:
     """One-hot of the case class, seven places."""
-    return one_hot(case_class(c) - 1, 7)
+    return one_hot(case_class(c), 7)
 
 
 def constant_feature(_: str | Column) -> Column:

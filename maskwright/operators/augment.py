@@ -63,13 +63,13 @@ def pseudonyms(tokens: DataFrame, options: DataFrame, alternatives: int = 1, con
 def random_digits(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """``words`` (word) with ``new_word``: for words of digits, one of the vocabulary's words of digits."""
     digits = vocab.where(F.col("word").rlike("^[0-9]+$")).select("word").distinct()
-    ordered = _numbered(digits)
+    ordered = numbered_words(digits)
     n = digits.agg(F.count("*").alias("n"))  # one row
     rows = words.join(F.broadcast(n)).withColumn("i", F.when(is_digits("word") & (F.col("n") > 0), pick(F.col("n"), F.col("word"))))
     return rows.join(ordered.select("i", F.col("word").alias("new")), "i", "left").withColumn("new_word", F.coalesce("new", "word")).drop("i", "n", "new")
 
 
-def _numbered(words: DataFrame) -> DataFrame:
+def numbered_words(words: DataFrame) -> DataFrame:
     """Words numbered from 0 in order, in two steps: within first characters, then before them."""
     first = F.substring("word", 1, 2)
     own = words.withColumn("b", first).withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("word")) - 1)

@@ -86,27 +86,34 @@ def counts(docs: DataFrame, gold: DataFrame, system: DataFrame, which: list[Vari
     out = merged.groupBy("variant", "doc_id").agg(
         F.sum(F.col("g") * F.col("s")).alias("tp"), F.sum(F.col("s") * (1 - F.col("g"))).alias("fp"), F.sum(F.col("g") * (1 - F.col("s"))).alias("fn")
     )
-    for v in which:
-        if v.fuzzy:
-            out = out.unionByName(relaxed_counts(docs, gold, system, v, user))
-    return out
+    fuzzy = [v for v in which if v.fuzzy]
+    return out.unionByName(relaxed_counts(docs, gold, system, fuzzy, user)) if fuzzy else out
+
+
+def of_every(found: DataFrame, which: list[Variant] | None = None) -> DataFrame:
+    """``found`` by variant with a row for each variant, nulls where there is none; 42 rows at most, so the join may broadcast."""
+    names = found.sparkSession.createDataFrame([(v.name,) for v in which or variants()], "variant string")
+    return names.join(F.broadcast(found), "variant", "left")
+
 
+def relaxed_counts(docs: DataFrame, gold: DataFrame, system: DataFrame, which: list[Variant], user: Column | None = None) -> DataFrame:
+    """Counts when ends may differ by ``FUZZY``: a side's span counts as matched if any of the other's fits.
 
-def relaxed_counts(docs: DataFrame, gold: DataFrame, system: DataFrame, v: Variant, user: Column | None = None) -> DataFrame:
-    """Counts when ends may differ by ``FUZZY``: a side's span counts as matched if any of the other's fits."""
+    Spans of both sides that start together meet in one aggregate, as two sets of ends; all variants come from it.
+    """
     ids = docs.select("doc_id")
 
-    def side(spans: DataFrame) -> DataFrame:
-        rows = spans.join(ids, "doc_id", "left_semi").where(is_hipaa() if v.hipaa else F.lit(True))
+    def side(spans: DataFrame, flag: int) -> DataFrame:
+        rows = spans.join(ids, "doc_id", "left_semi")
         rows = rows.where(user) if user is not None else rows
-        return rows.select("doc_id", "tag_name", F.upper("tag_type").alias("tag_type"), "start", "end").distinct()
+        return rows.select("doc_id", "tag_name", F.upper("tag_type").alias("tag_type"), "start", "end", F.lit(flag).alias("gold"))
 
-    g, s = side(gold).alias("g"), side(system).alias("s")
-    same = [F.col(f"g.{c}") == F.col(f"s.{c}") for c in ("doc_id", "tag_name", "tag_type", "start")] + [F.abs(F.col("g.end") - F.col("s.end")) <= FUZZY]
-    tp = s.join(g, same, "left_semi").select("doc_id", F.lit(1).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"))
-    fp = s.join(g, same, "left_anti").select("doc_id", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn"))
-    fn = g.join(s, same, "left_anti").select("doc_id", F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("fn"))
-    return tp.unionByName(fp).unionByName(fn).groupBy(F.lit(v.name).alias("variant"), "doc_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    ends = lambda flag: F.collect_set(F.when(F.col("gold") == flag, F.col("end")))
+    met = side(gold, 1).unionByName(side(system, 0)).groupBy("doc_id", "tag_name", "tag_type", "start").agg(ends(1).alias("g"), ends(0).alias("s"))
+    lone = lambda own, other: F.size(F.filter(own, lambda x: ~F.exists(other, lambda y: F.abs(x - y) <= FUZZY)))
+    names = F.array_compact(F.array(*(F.when(F.coalesce(is_hipaa(), F.lit(False)) if v.hipaa else F.lit(True), F.lit(v.name)) for v in which)))
+    counted = met.select("doc_id", F.explode(names).alias("variant"), F.size("s").alias("n"), lone("s", "g").alias("fp"), lone("g", "s").alias("fn"))
+    return counted.groupBy("variant", "doc_id").agg(F.sum(F.col("n") - F.col("fp")).alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -123,14 +130,14 @@ def per_document(found: DataFrame) -> DataFrame:
     return found.select("variant", "doc_id", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"))
 
 
-def micro(found: DataFrame) -> DataFrame:
-    """variant, tp, fp, fn, precision, recall, f1 over all documents."""
-    sums = found.groupBy("variant").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+def micro(found: DataFrame, which: list[Variant] | None = None) -> DataFrame:
+    """variant, tp, fp, fn, precision, recall, f1 over all documents; a row of zeros for a variant without spans."""
+    sums = of_every(found.groupBy("variant").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn"))), which).fillna(0)
     p, r = ratio(F.col("tp"), F.col("fp")), ratio(F.col("tp"), F.col("fn"))
     return sums.withColumns({"precision": p, "recall": r}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def macro(found: DataFrame, docs: DataFrame) -> DataFrame:
+def macro(found: DataFrame, docs: DataFrame, which: list[Variant] | None = None) -> DataFrame:
     """variant, mean and population deviation of precision and recall over all documents, and F1 of the means.
 
     Documents without a span count as 0; so sums over those that have some suffice.
@@ -138,9 +145,9 @@ def macro(found: DataFrame, docs: DataFrame) -> DataFrame:
     n = docs.select("doc_id").distinct().agg(F.count("*").alias("n"))
     each = per_document(found)
     sums = each.groupBy("variant").agg(*(F.sum(c).alias(c) for c in ("precision", "recall")), *(F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in ("precision", "recall")))
-    both = sums.join(F.broadcast(n))  # one row
-    mean = {c: F.col(c) / F.col("n") for c in ("precision", "recall")}
-    sd = {c: F.sqrt(F.greatest(F.col(f"{c}2") / F.col("n") - mean[c] * mean[c], F.lit(0.0))) for c in mean}
+    both = of_every(sums, which).fillna(0.0).join(F.broadcast(n))  # one row
+    mean = {c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0)) for c in ("precision", "recall")}
+    sd = {c: F.sqrt(F.greatest(F.coalesce(F.try_divide(F.col(f"{c}2"), F.col("n")), F.lit(0.0)) - mean[c] * mean[c], F.lit(0.0))) for c in mean}
     return both.select("variant", mean["precision"].alias("precision"), sd["precision"].alias("precision_sd"), mean["recall"].alias("recall"), sd["recall"].alias("recall_sd")).withColumn(
         "f1", f1(F.col("precision"), F.col("recall"))
     )
@@ -153,6 +160,27 @@ def difference_report(gold: DataFrame, system: DataFrame) -> DataFrame:
     return g.subtract(s).withColumn("side", F.lit("gold")).unionByName(s.subtract(g).withColumn("side", F.lit("system")))
 
 
+def text_differences(gold: DataFrame, system: DataFrame) -> DataFrame:
+    """(doc_id, n_gold, n_system, first_difference) of documents that both sides have with unlike texts, whose offsets then don't agree.
+
+    Lengths and the first place that differs are code points; a null text is unlike any but null.
+    """
+    both = gold.select("doc_id", F.col("text").alias("g")).join(system.select("doc_id", F.col("text").alias("s")), "doc_id").where(~F.col("g").eqNullSafe(F.col("s")))
+    # by halves: a prefix agrees or not, and 31 steps cover any length
+    step = lambda acc, k: F.when(F.substring("g", 1, acc + k) == F.substring("s", 1, acc + k), acc + k).otherwise(acc)
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    shorter = F.least(F.length("g"), F.length("s"))
+    same = F.aggregate(powers, F.lit(0), lambda acc, k: F.when(acc + k <= shorter, step(acc, k)).otherwise(acc))
+    return both.select("doc_id", F.length("g").alias("n_gold"), F.length("s").alias("n_system"), same.alias("first_difference"))
+
+
+def document_report(found: DataFrame, docs: DataFrame, variant: str = "Strict") -> DataFrame:
+    """(doc_id, tp, fp, fn, precision, recall, f1) of every document for one variant; documents without spans have zeros."""
+    own = per_document(found.where(F.col("variant") == variant)).drop("variant")
+    rows = docs.select("doc_id").distinct().join(own, "doc_id", "left").fillna(0, ["tp", "fp", "fn"]).fillna(0.0, ["precision", "recall"])
+    return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
+
+
 def missing_documents(gold: DataFrame, system: DataFrame) -> DataFrame:
     """Documents that one side alone has; scoring leaves them out."""
     g, s = gold.select("doc_id").distinct(), system.select("doc_id").distinct()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pick
 
-#: Rows are numbered in two steps over so many first digits of the order key, so no task numbers all rows.
-PREFIX = 2
+#: Rows are numbered in two steps over so many first digits of the order key (65,536 groups), so no task numbers all rows.
+PREFIX = 4
 
 
 def shuffled(key: str, epoch: int = 0) -> Column:
@@ -20,7 +20,7 @@ def numbered(rows: DataFrame, order: Column, tie: str, name: str = "n") -> DataF
     """``rows`` with their place (from 0) in the order of a hexadecimal key.
 
     Rows are counted and numbered within the key's first digits; what lies before
-    each such group is a running sum over at most 256 rows.
+    each such group is a running sum over at most 65,536 rows.
     """
     own = rows.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, PREFIX))
     own = own.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_o", tie)) - 1)

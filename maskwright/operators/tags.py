@@ -15,13 +15,13 @@ CLINICAL = {
     "SMOKER": {"status": ("current", "past", "ever", "never", "unknown")},
     "OBESE": {"time": _TIMES, "indicator": ("mention", "bmi", "waist circum.")},
     "HYPERTENSION": {"time": _TIMES, "indicator": ("mention", "high bp")},
-    "HYPERLIPIDEMIA": {"time": _TIMES, "indicator": ("mention", "high chol.", "high ldl")},
+    "HYPERLIPIDEMIA": {"time": _TIMES, "indicator": ("mention", "high chol.", "high ldl", "high-ldl", "high-chol")},
     "DIABETES": {"time": _TIMES, "indicator": ("mention", "a1c", "glucose")},
     "CAD": {"time": _TIMES, "indicator": ("mention", "event", "test", "symptom")},
     "MEDICATION": {
         "time": _TIMES,
-        "type1": ("ace inhibitor", "amylin", "anti diabetes", "arb", "aspirin", "beta blocker", "calcium channel blocker", "diuretic", "dpp4 inhibitors", "ezetimibe", "fibrate", "glp1 agonist",
-                  "insulin", "meglitinide", "metformin", "niacin", "nitrate", "statin", "sulfonylureas", "thiazolidinedione", "thienopyridine"),
+        "type1": ("ace inhibitor", "amylin", "anti diabetes", "arb", "aspirin", "beta blocker", "calcium channel blocker", "diuretic", "dpp4 inhibitors", "ezetimibe", "fibrate", "glp1 agonists",
+                  "meglitinides", "insulin", "metformin", "niacin", "nitrate", "obesity", "statin", "sulfonylureas", "thiazolidinedione", "thienopyridine"),
     },
 }
 ATTRIBUTES = ("time", "indicator", "status", "type1", "type2")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: Vectors that may be broadcast, and pairs above which neighbours are found block by block in numpy.
 BROADCAST_VECTORS, NATIVE_PAIRS = 200_000, 20_000_000
 BLOCK = 4096
@@ -24,11 +26,6 @@ def norm(a: str | Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once for a row, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def normalised(a: str | Column) -> Column:
     """Unit length; null for the zero vector."""
     c = F.col(a) if isinstance(a, str) else a

@@ -119,6 +119,7 @@ def _counts_sql() -> str:
     )
 
 
+_ALL = "v AS (SELECT unnest([" + ", ".join(f"'{v.name}'" for v in evaluation.variants()) + "]) AS variant)"
 _P, _R = "coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0)", "coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0)"
 _F1 = "coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0)"
 
@@ -132,7 +133,7 @@ def _rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
 
 @query(
     "eval_micro_by_variant",
-    f"WITH {_counts_sql()}, m AS (SELECT variant, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counts GROUP BY 1), "
+    f"WITH {_counts_sql()}, {_ALL}, m AS (SELECT variant, coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn FROM v LEFT JOIN counts USING (variant) GROUP BY 1), "
     f"r AS (SELECT *, {_P} AS precision, {_R} AS recall FROM m) SELECT variant, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round({_F1}, 9) AS f1 FROM r",
 )
 def eval_micro_by_variant(spark, sf_dir):
@@ -141,7 +142,7 @@ def eval_micro_by_variant(spark, sf_dir):
 
 @query(
     "eval_macro",
-    f"WITH {_counts_sql()}, n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), e AS (SELECT variant, {_P} AS p, {_R} AS r FROM counts), "
+    f"WITH {_counts_sql()}, {_ALL}, n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), e AS (SELECT variant, coalesce({_P}, 0) AS p, coalesce({_R}, 0) AS r FROM v LEFT JOIN counts USING (variant)), "
     "a AS (SELECT variant, sum(p) / max(n) AS precision, sqrt(greatest(sum(p * p) / max(n) - (sum(p) / max(n)) ** 2, 0)) AS precision_sd, sum(r) / max(n) AS recall, "
     "sqrt(greatest(sum(r * r) / max(n) - (sum(r) / max(n)) ** 2, 0)) AS recall_sd FROM e, n GROUP BY variant) "
     f"SELECT variant, round(precision, 7) AS precision, round(precision_sd, 7) AS precision_sd, round(recall, 7) AS recall, round(recall_sd, 7) AS recall_sd, round({_F1}, 7) AS f1 FROM a",
@@ -157,11 +158,12 @@ def eval_per_document(spark, sf_dir):
 
 
 _RELAXED = evaluation.Variant("Relaxed", "tag", fuzzy=True)
+_STRICT = evaluation.Variant("Strict", "tag")
 
 
 @query("eval_relaxed", f"WITH {_SIDES} SELECT variant, doc_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn FROM ({_relaxed(_RELAXED)})")
 def eval_relaxed(spark, sf_dir):
-    return evaluation.relaxed_counts(*_both(spark, sf_dir), _RELAXED)
+    return evaluation.relaxed_counts(*_both(spark, sf_dir), [_RELAXED])
 
 
 @query(
@@ -171,7 +173,7 @@ def eval_relaxed(spark, sf_dir):
 )
 def eval_filtered(spark, sf_dir):
     user = tags.combined([tags.compile_filter("CONTACT")])
-    return evaluation.micro(evaluation.counts(*_both(spark, sf_dir), [evaluation.Variant("Strict", "tag")], user)).select("variant", "tp", "fp", "fn")
+    return evaluation.micro(evaluation.counts(*_both(spark, sf_dir), [evaluation.Variant("Strict", "tag")], user), [evaluation.Variant("Strict", "tag")]).select("variant", "tp", "fp", "fn")
 
 
 @query("eval_missing_docs", "SELECT missing_in, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'system' ELSE 'gold' END AS missing_in FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL) GROUP BY 1")
@@ -179,6 +181,19 @@ def eval_missing_docs(spark, sf_dir):
     return evaluation.missing_documents(_documents(spark, sf_dir), table(spark, sf_dir, "labels")).groupBy("missing_in").agg(F.count("*").alias("n"))
 
 
+@query("document_report", f"WITH {_counts_sql()}, e AS (SELECT doc_id, tp, fp, fn, {_P} AS precision, {_R} AS recall FROM counts WHERE variant = 'Strict'), f AS (SELECT d.doc_id, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, coalesce(fn, 0)::BIGINT AS fn, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN e USING (doc_id)) SELECT doc_id, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round({_F1}, 9) AS f1 FROM f")
+def document_report(spark, sf_dir):
+    docs, gold, system = _both(spark, sf_dir)
+    return _rounded(evaluation.document_report(evaluation.counts(docs, gold, system, [_STRICT]), docs), "precision", "recall", "f1")
+
+
+@query("text_differences", "WITH b AS (SELECT doc_id, text AS g, regexp_replace(text, '[0-9]', '0', 'g') AS s FROM documents) SELECT doc_id, length(g)::INT AS n_gold, length(s)::INT AS n_system, (length(regexp_extract(g, '^(?s:[^1-9]*)')))::INT AS first_difference FROM b WHERE g <> s")
+def text_differences(spark, sf_dir):
+    """Gold texts against those of a system that has every digit as 0."""
+    docs = _documents(spark, sf_dir)
+    return evaluation.text_differences(docs, docs.withColumn("text", F.regexp_replace("text", "[0-9]", "0")))
+
+
 _COLS = 'doc_id, tag_type, "start", "end", text'
 
 
@@ -252,19 +267,18 @@ def html_entities(spark, sf_dir):
     return found.groupBy("entity", T.unescape_html("entity").alias("plain")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 
-@query("case_feature_hist", f"WITH {_SCORER}, c AS (SELECT CASE WHEN length(token) = 0 THEN 7 WHEN d = length(token) THEN 1 WHEN d > length(token) / 2 THEN 2 WHEN lower(token) = token AND token ~ '.*[A-Za-z].*' THEN 3 "
-       "WHEN upper(token) = token AND token ~ '.*[A-Za-z].*' THEN 4 WHEN token ~ '[A-Z].*' THEN 5 WHEN d > 0 THEN 6 ELSE 7 END AS class FROM (SELECT token, length(regexp_replace(token, '[^0-9]', '', 'g')) AS d FROM tok)) SELECT class::INT AS class, count(*) AS n FROM c GROUP BY 1")
+@query("case_feature_hist", f"WITH {_SCORER}, c AS (SELECT CASE WHEN length(token) = 0 THEN 0 WHEN d = length(token) THEN 1 WHEN d > length(token) / 2 THEN 2 WHEN lower(token) = token AND token ~ '.*[A-Za-z].*' THEN 3 "
+       "WHEN upper(token) = token AND token ~ '.*[A-Za-z].*' THEN 4 WHEN token ~ '[A-Z].*' THEN 5 WHEN d > 0 THEN 6 ELSE 0 END AS class FROM (SELECT token, length(regexp_replace(token, '[^0-9]', '', 'g')) AS d FROM tok)) SELECT class::INT AS class, count(*) AS n FROM c GROUP BY 1")
 def case_feature_hist(spark, sf_dir):
     tokens = T.scorer_tokens(_documents(spark, sf_dir), "text", "doc_id")
     return tokens.groupBy(T.case_class("token").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("feature_vectors", f"WITH {_SCORER} SELECT doc_id, idx::INT AS idx, (length(token) > 0 AND regexp_full_match(token, '[0-9]+'))::INT AS is_number, 1 AS is_one, 8::INT AS size FROM tok WHERE idx < 20")
+@query("feature_vectors", f"WITH {_SCORER} SELECT doc_id, idx::INT AS idx, (length(token) > 0 AND regexp_full_match(token, '[0-9]+'))::INT AS is_number, 1 AS is_one, 8::INT AS size FROM tok")
 def feature_vectors(spark, sf_dir):
-    """All tokens; the SQL beside it stops at the first 20 of each document."""
     tokens = T.scorer_tokens(_documents(spark, sf_dir), "text", "doc_id")
     f = T.features("token", ["case", "useless_one"])
-    return tokens.select("doc_id", "idx", f.alias("f")).select("doc_id", "idx", F.get("f", F.lit(0)).alias("is_number"), F.get("f", F.lit(7)).alias("is_one"), F.size("f").alias("size"))
+    return tokens.select("doc_id", "idx", f.alias("f")).select("doc_id", "idx", F.get("f", F.lit(1)).alias("is_number"), F.get("f", F.lit(7)).alias("is_one"), F.size("f").alias("size"))
 
 
 # --- alignment, assembly, masking ---------------------------------------------------------------
@@ -486,7 +500,7 @@ def vocab_difference(spark, sf_dir):
 )
 def oov_cascade(spark, sf_dir):
     bench = labels.vocabulary(_words(table(spark, sf_dir, "benchmark")))
-    index = bench.withColumn("ind", (F.row_number().over(W.orderBy("word")) + 1).cast("int"))
+    index = augment.numbered_words(bench).select("word", (F.col("i") + 2).cast("int").alias("ind"))
     found = labels.word_index(labels.vocabulary(_words(table(spark, sf_dir, "documents"))), index)
     return found.groupBy("priority").agg(F.count("*").alias("n"), F.sum("ind").alias("ind_sum"))
 
@@ -634,12 +648,12 @@ def epoch_batches_whole(spark, sf_dir):
     return sampling.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32, keep_tail=False)
 
 
-_SIZES = sampling.compounding(1, 20, 1.1, 60)
+# sizes are int(1.1^i) while below 20, and 20 from the 32nd batch on
+_SIZES = "z0 AS (SELECT i, least(floor(1.1 ** i), 20)::BIGINT AS size FROM range(33) r(i)), z AS (SELECT i, size, sum(size) OVER (ORDER BY i) - size AS first, i = 32 AS last FROM z0)"
 
 
-@query("compounding_batches", f"WITH {_ORDERED}, z AS (SELECT * FROM (VALUES {', '.join(f'({i}, {s}, {sum(_SIZES[:i])})' for i, s in enumerate(_SIZES))}) t(batch, size, first)) SELECT doc_id, batch::INT AS batch, (n - first)::BIGINT AS place FROM o JOIN z ON n >= first AND n < first + size")
+@query("compounding_batches", f"WITH {_ORDERED}, {_SIZES} SELECT doc_id, (i + CASE WHEN last THEN (n - first) // size ELSE 0 END)::INT AS batch, ((n - first) % size)::BIGINT AS place FROM o JOIN z ON n >= first AND (last OR n < first + size)")
 def compounding_batches(spark, sf_dir):
-    """All documents; the SQL beside it stops after 60 batches."""
     sizes = sampling.compounding_sizes(spark, 1, 20, 1.1)
     return sampling.growing_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", sizes)
 

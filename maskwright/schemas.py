@@ -23,8 +23,8 @@ PHI_TYPES = {
 }
 # The types that HIPAA protects.  IDNUM is not among them unless asked for.
 HIPAA_TYPES = (
-    "PATIENT", "STREET", "CITY", "ZIP", "ORGANIZATION", "DATE", "AGE", "PHONE", "FAX", "EMAIL", "SSN", "MEDICALRECORD", "HEALTHPLAN", "ACCOUNT",
-    "LICENSE", "VEHICLE", "DEVICE", "BIOID",
+    "PATIENT", "CITY", "STREET", "ZIP", "ORGANIZATION", "DATE", "PHONE", "FAX", "EMAIL", "SSN", "MEDICALRECORD", "HEALTHPLAN", "ACCOUNT", "LICENSE",
+    "VEHICLE", "DEVICE", "BIOID", "AGE",
 )
 CATEGORIES = ("NAME", "PROFESSION", "LOCATION", "AGE", "DATE", "CONTACT", "ID", "OTHER")
 BINARY_TYPE = "PATIENT"

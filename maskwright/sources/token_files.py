@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.vectors import normalised
@@ -21,8 +22,6 @@ def read_token_csv(spark: SparkSession, path: str, limit: int | None = None) ->
     Spark promises no order of rows, so ``ord`` is made from offsets: at equal
     places ``<s>`` comes first and ``</s>`` last.
     """
-    from pyspark.sql import Window as W
-
     rows = spark.read.csv(path, schema=CSV_SCHEMA, header=True, quote='"', escape='"', multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
     rows = rows.select(_stem().alias("doc_id"), "text", "type", "start", "end")
     if limit is not None:
@@ -51,15 +50,17 @@ def read_word_vectors(spark: SparkSession, path: str, header: bool = False, most
     numbered by their task first.  A word that comes twice is an error.
     """
     lines = spark.read.text(path).where(F.length("value") > 0)
-    parts = lines.select(F.split("value", " ").alias("p"), F.monotonically_increasing_id().alias("at"))
     if header:
-        parts = parts.where(F.size("p") > 2)
-    rows = parts.select(F.get("p", F.lit(0)).alias("word"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x.cast("float")).alias("vec"), "at")
+        lines = lines.where(F.size(F.split("value", " ")) > 2)
+    # 31 bits of task, 33 bits of the line in it
+    parts = lines.select(F.split("value", " ").alias("p"), F.monotonically_increasing_id().alias("at"))
+    rows = parts.select(F.get("p", F.lit(0)).alias("word"), F.transform(F.slice("p", 2, F.size("p")), lambda x: x.cast("float")).alias("vec"), F.shiftright("at", 33).alias("task"), (F.col("at") % (1 << 33)).alias("line"))
+    sizes = rows.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task of the scan
+    sizes = sizes.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("before"))
+    rows = rows.join(F.broadcast(sizes), "task").withColumn("n", F.col("before") + F.col("line"))
     if most is not None:
-        rows = rows.orderBy("at").limit(most - 1)
+        rows = rows.where(F.col("n") < most - 1)
     twice = rows.groupBy("word").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0]['word']!r} comes more than once")
-    from ..operators.sampling import numbered
-
-    return numbered(rows, F.lpad(F.hex("at"), 16, "0"), "word", "n").select("word", (F.col("n") + 2).cast("int").alias("ind"), normalised("vec").alias("vec"))
+    return rows.select("word", (F.col("n") + 2).cast("int").alias("ind"), normalised("vec").alias("vec"))

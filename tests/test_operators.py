@@ -27,7 +27,8 @@ def test_variants():
 def test_self_evaluation_is_perfect(spark):
     docs, gold, _ = _sides(spark)
     found = evaluation.counts(docs, gold, gold)
-    assert all(r["f1"] == 1.0 for r in evaluation.micro(found).collect())
+    rows = evaluation.micro(found).collect()
+    assert all(r["f1"] == (1.0 if r["tp"] else 0.0) and r["fp"] == r["fn"] == 0 for r in rows) and sum(r["tp"] > 0 for r in rows) == 18
 
 
 def test_counts(spark):
@@ -38,9 +39,35 @@ def test_counts(spark):
     assert got["Binary Strict"] == (1, 1, 1) and got["HIPAA Strict"] == (0, 1, 2) and got["CONTACT Token"] == (1, 1, 1)
 
 
+def test_every_variant_has_a_row(spark):
+    docs, gold, system = _sides(spark)
+    found = evaluation.counts(docs, gold, system)
+    rows = {r["variant"]: r for r in evaluation.micro(found).collect()}
+    assert set(rows) == {v.name for v in evaluation.variants()} and (rows["AGE Token"]["tp"], rows["AGE Token"]["f1"]) == (0, 0.0)
+    assert {r["variant"] for r in evaluation.macro(found, docs).collect()} == set(rows)
+    empty = evaluation.micro(evaluation.counts(docs, gold.limit(0), system.limit(0))).collect()
+    assert len(empty) == 42 and all(r["tp"] == r["fp"] == r["fn"] == 0 for r in empty)
+
+
+def test_text_differences_and_report(spark):
+    gold = spark.createDataFrame([("1", "ab 😀 cd"), ("2", "same"), ("3", None), ("4", "abc"), ("5", "x")], "doc_id string, text string")
+    system = spark.createDataFrame([("1", "ab 😀 xd"), ("2", "same"), ("3", None), ("4", "abcdef"), ("6", "x")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_gold"], r["n_system"], r["first_difference"]) for r in evaluation.text_differences(gold, system).collect()}
+    assert got == {"1": (7, 7, 5), "4": (3, 6, 3)}
+    docs, g, s = _sides(spark)
+    rows = {r["doc_id"]: r.asDict() for r in evaluation.document_report(evaluation.counts(docs, g, g), docs).collect()}
+    assert rows["1"]["f1"] == 1.0 and rows["2"] == {"doc_id": "2", "tp": 0, "fp": 0, "fn": 0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+
+
+def test_clinical_values(spark):
+    rows = [(1, "MEDICATION", "glp1 agonists", "Meglitinides", None), (2, "MEDICATION", "obesity", "", None), (3, "HYPERLIPIDEMIA", None, None, "high-ldl"), (4, "HYPERLIPIDEMIA", None, None, "High-Chol"), (5, "MEDICATION", "glp1 agonist", None, None)]
+    df = spark.createDataFrame([(i, n, None, ind, None, a, b) for i, n, a, b, ind in rows], "doc_id int, tag_name string, time string, indicator string, status string, type1 string, type2 string")
+    assert [(r["doc_id"], r["value"]) for r in tags.clinical_violations(df).collect()] == [(5, "glp1 agonist")]
+
+
 def test_macro_counts_documents_without_spans(spark):
     docs, gold, _ = _sides(spark)
-    row = evaluation.macro(evaluation.counts(docs, gold, gold, [evaluation.Variant("Strict", "tag")]), docs).first()
+    row = evaluation.macro(evaluation.counts(docs, gold, gold, which := [evaluation.Variant("Strict", "tag")]), docs, which).first()
     assert row["precision"] == 0.5 and row["precision_sd"] == 0.5
 
 

@@ -50,12 +50,28 @@ def test_scorer_tokens(spark):
     assert back[1] == "  ab-c 😀 d9!" and back[3] == "??"
 
 
+def test_offsets_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (1, "xyz q"), (1, "ab cd")], "doc_id int, text string")
+    rows = T.scorer_tokens(docs, "text", "doc_id")
+    assert sorted((r["token"], r["start"], r["end"]) for r in rows.collect()) == [("ab", 0, 2)] * 2 + [("cd", 3, 5)] * 2 + [("q", 4, 5), ("xyz", 0, 3)]
+    found = T.with_matches(docs, "text", "[a-z]+", "doc_id")
+    assert sorted((r["match"], r["start"]) for r in found.collect()) == [("ab", 0)] * 2 + [("cd", 3)] * 2 + [("q", 4), ("xyz", 0)]
+    for df in (rows, found):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_totals_of_long_texts(spark):
+    text = "".join(f"{'w' * (i % 7 + 1)} " for i in range(3 * T.PIECE + 5)) + "😀 z"
+    rows = T.scorer_tokens(spark.createDataFrame([(1, text)], "doc_id int, text string"), "text", "doc_id").collect()
+    assert len(rows) == 3 * T.PIECE + 6 and all(text[r["start"] : r["end"]] == r["token"] for r in rows)
+
+
 def test_case_feature(spark):
     words = ["1234", "123a", "ok4y", "OKAY", "Okay", "!4", "", "?!"]
     got = {r["w"]: r["c"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.case_class("w").alias("c")).collect()}
-    assert [got[w] for w in words[:5]] == [1, 2, 3, 4, 5] and got[""] == 7 and got["?!"] == 7
+    assert [got[w] for w in words[:5]] == [1, 2, 3, 4, 5] and got[""] == 0 and got["?!"] == 0
     hot = spark.createDataFrame([("OKAY",)], "w string").select(T.features("w", ["case", "useless_one"]).alias("f")).first()["f"]
-    assert hot == [0, 0, 0, 1, 0, 0, 0, 1] and T.feature_size(["case", "useless_one"]) == 8
+    assert hot == [0, 0, 0, 0, 1, 0, 0, 1] and T.feature_size(["case", "useless_one"]) == 8
 
 
 def test_split_sentences(spark):
