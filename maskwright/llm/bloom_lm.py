@@ -6,9 +6,12 @@ and kept in Bloom filters: a key with level q is present as (key, 1) .. (key, q)
 A filter answers a count by probing levels upwards until one is absent, so an
 error only ever raises a count.  Probabilities are smoothed towards the unigram:
 
-    P(w | h) = (c(h w) + MU * P(w)) / (c(h) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = (low(h w) + MU * P(w)) / (high(h) + MU),   P(w) = (low(w) + 1) / (N + V + 1)
 
-and a level stands for the geometric middle of its counts.
+where low and high are the least and the greatest count of a level.  So, for every
+history h, the probabilities of all words add up to at most 1 as far as the filter
+tells counts truly.  What it tells wrongly (one absent bigram in about 60 is taken for
+one seen once) comes on top, as in any model of this kind.
 
 Every worker loads the filters from the shared folder, so they pass through no
 driver.  Their size grows with the number of distinct n-grams;
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, remainder, stored, texts_of, worker_memory
 
 END = b""  # no word is empty
-MU = 2.0
+MU = 300.0
 #: Bits for each level of a key, probes for each level, and the most bytes of one filter.
 BITS_PER_LEVEL, PROBES, FILTER_BYTES = 9, 4, 128 << 20
 #: Exact counts that every worker holds, 16 bytes each.
@@ -94,9 +97,23 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def level_count(levels: np.ndarray) -> np.ndarray:
-    """The count a level stands for: 0, 1, and the geometric middle from there."""
-    return np.where(levels <= 0, 0.0, np.where(levels == 1, 1.0, np.sqrt(2.0 ** (levels - 1) * (2.0**levels - 1))))
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level, 0 for level 0."""
+    return np.where(levels <= 0, 0.0, 2.0 ** (levels - 1.0))
+
+
+def greatest_count(levels: np.ndarray) -> np.ndarray:
+    return 2.0**levels - 1.0
+
+
+_LOW_OF, _HIGH_OF = least_count(np.arange(64)), greatest_count(np.arange(64))
+
+
+def probabilities(bigram: np.ndarray, history: np.ndarray, word: np.ndarray, n_all: int, n_words: int) -> np.ndarray:
+    """P(w | h) from the levels of h w, h and w."""
+    smoothed = (_LOW_OF[word] + 1) / (n_all + n_words + 1)
+    # a bigram cannot have been seen more often than its history
+    return (np.minimum(_LOW_OF[bigram], _HIGH_OF[history]) + MU * smoothed) / (_HIGH_OF[history] + MU)
 
 
 class LogBloom:
@@ -154,7 +171,7 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
     rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     return pa.RecordBatch.from_pydict(
-        {"range": at[cuts[:-1]].astype(np.int32), "keys": pa.array([keys[a:b].tobytes() for a, b in rows], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in rows], pa.binary())}
+        {"range": at[cuts[:-1]].astype(np.int32), "keys": pa.array([keys[a:b].tobytes() for a, b in rows], pa.binary()), "counts": pa.array([counts[a:b].astype("<u8").tobytes() for a, b in rows], pa.binary())}
     )
 
 
@@ -236,7 +253,7 @@ def build_filter(docs: DataFrame, words: DataFrame, levels: int) -> dict:
                 held.setdefault(r, []).append((k, n))
         for r in sorted(held):
             own = held.pop(r)
-            keys, counts = _summed(np.frombuffer(b"".join(k for k, _ in own), _U), np.frombuffer(b"".join(n for _, n in own), "<u4").astype(np.int64))
+            keys, counts = _summed(np.frombuffer(b"".join(k for k, _ in own), _U), np.frombuffer(b"".join(n for _, n in own), "<u8").astype(np.int64))
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": pa.array([LogBloom.fill(keys, level(counts), range_bytes)], pa.binary())})
 
     kind = "range int, keys binary, counts binary"
@@ -355,12 +372,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                         for c, empty in (("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("score", 0.0), ("rest", [])):
                             out[c] += [empty] * n
                         continue
-                    smoothed = (level_count(np.arange(256))[lu] + 1) / (n_all + n_words + 1)
                     context = np.empty(len(lu), np.uint8)
                     context[1:] = lu[:-1]
                     context[ends - sizes] = lu[ends[0] - 1] if n else 0  # the end before the first word
-                    count = level_count(np.arange(256))
-                    p = (np.minimum(count[lb], np.maximum(count[context], 1)) + MU * smoothed) / (np.maximum(count[context], count[lb]) + MU)
+                    p = probabilities(lb, context, lu, n_all, n_words)
                     out["score"] += np.bincount(owner, np.log10(p), n).tolist()
                     hashes, exact = _load_head(head_files)
                     words, back = np.unique(uni, return_inverse=True)

@@ -544,6 +544,27 @@ def brute_lm(rows, keep):
     return {i: (len(ws), sum(uni[w] > 0 for w in ws), base[i]) for i, ws in words.items()}, total
 
 
+def test_probabilities_add_up_to_one_at_most():
+    """For every history, over all words, with the levels that a filter without errors gives."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=rng.randint(0, 80))) for _ in range(120)]
+    words = [[*words_of(t), None] for t in texts]
+    uni = Counter(w for ws in words for w in ws)
+    bi = Counter((h, w) for ws in words for h, w in zip([None, *ws], ws, strict=False))
+    level = lambda c: bloom_lm.level(np.array(c)) * (np.array(c) > 0)
+    vocabulary = list(uni)
+    lw = level([uni[w] for w in vocabulary])
+    for h in vocabulary:
+        p = bloom_lm.probabilities(level([bi[h, w] for w in vocabulary]), np.full(len(vocabulary), level([uni[h]])[0]), lw, sum(uni.values()), len(uni))
+        assert (p > 0).all() and p.sum() <= 1 + 1e-9
+
+
+def test_counts_beyond_32_bits():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5, dtype=np.uint64))
+    row = bloom_lm._blobs(keys, np.full(5, (1 << 33) + 7), 1).to_pylist()[0]
+    assert np.frombuffer(row["counts"], "<u8").tolist() == [(1 << 33) + 7] * 5
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_language_model(spark, documents, monkeypatch, small):
     if small:  # several segments, and most words joined by word
