@@ -260,7 +260,7 @@ def hot_keys(docs: DataFrame, n: int, threshold: Fraction) -> np.ndarray:
     """Ascending keys that many of a share of the texts have.  What is hot changes the work alone, not the result."""
     share = texts_of(docs).where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).select("text")
     counted = share.mapInArrow(_keyed(n, threshold, None), "key long, low long, salt short").select("key", "low").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    found = most_frequent(stored(counted.where(F.col("n") >= HOT_TEXTS), "hot"), HOT_KEYS).select("key").collect()  # HOT_KEYS rows at most
+    found = most_frequent(stored(counted.where(F.col("n") >= HOT_TEXTS).coalesce(least_tasks(docs.sparkSession)), "hot"), HOT_KEYS).select("key").collect()  # HOT_KEYS rows at most
     return np.sort(np.array([r["key"] for r in found], np.int64).view(_U))
 
 
@@ -501,6 +501,8 @@ def _described(docs: DataFrame, classes: DataFrame, ids: DataFrame, n: int, colu
             yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "size": pa.array([len(s) for s in found], pa.int64()), column: pa.array(values, pa.binary())})
 
     found = _hashed(docs).join(wanted, ["doc_id", "t"]).select("class", "text").mapInArrow(run, f"class long, size long, {column} binary")
+    if column == "set":  # few of the texts: tasks that take in several splits write as many fewer small files
+        found = found.coalesce(max(least_tasks(docs.sparkSession), found.rdd.getNumPartitions() // 4))
     return stored(found, column)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, most_frequent, stored, texts_of, worker_memory
+from .common import bounded_batches, least_tasks, most_frequent, stored, texts_of, worker_memory
 
 KINDS = ("assign", "access", "hex", "guess")
 # The base patterns, and how long a match must be to count.
@@ -181,13 +181,14 @@ def word_ranks(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int]:
     bounded_batches(docs.sparkSession)
     texts = texts_of(docs).select("text", F.xxhash64("text").alias("h")).where("text <> ''")
     # copies: a row for each text and task is exchanged, and texts alone that do repeat
-    repeated = stored(texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    tasks = least_tasks(docs.sparkSession)
+    repeated = stored(texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").coalesce(tasks), "repeated")
     if repeated.count() <= BROADCAST_HASHES:
         repeated = F.broadcast(repeated)
     once = texts.join(repeated, "h", "left_anti").select("text")
     copies = texts.join(repeated, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")).select("text")
     counted = once.unionByName(copies).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = most_frequent(stored(counted.where("n > 1"), "words"), most).collect()  # at most `most` words
+    top = most_frequent(stored(counted.where("n > 1").coalesce(tasks), "words"), most).collect()  # at most `most` words
     ranks = {w: k + 1 for k, w in enumerate(COMMON)}
     for k, row in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"]))):
         ranks.setdefault(row["word"], len(COMMON) + k + 1)
