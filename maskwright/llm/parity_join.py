@@ -310,8 +310,8 @@ def _batches(key: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
 def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and how they hang together.
 
-    Returns every row with its class (doc_id, t, n_shingles, class), and of each
-    class (class, doc_id, t, part): its least row, and the least class it hangs together with.
+    Returns every row with its class (doc_id, t, n_shingles, class), and for each
+    class (class, first) the least row (doc_id, t) of all classes that it hangs together with.
     """
     rows = stored(shingle_classes(docs, n), "rows")
     tasks = _tasks(rows)
@@ -334,7 +334,11 @@ def link_classes(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFram
     sets = _described(docs, classes, met.select("id").distinct(), n, "set").join(sketches.select("class", "sketch"), "class")
     more = stored(_rest(met, sets, threshold, tasks), "links-rest")
     joined = components(links.unionByName(more))
-    named = classes.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", "t", F.coalesce("component", "class").alias("part"))
+    firsts = classes.join(joined, F.col("class") == F.col("node")).groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    if links.count() + more.count() <= BROADCAST_IDS:  # no more components than links; a large one then doesn't meet in a task
+        firsts = F.broadcast(firsts)
+    own = F.struct("doc_id", "t")
+    named = classes.join(joined, F.col("class") == F.col("node"), "left").join(firsts, "component", "left").select("class", F.coalesce("first", own).alias("first"))
     return members, named
 
 
@@ -530,19 +534,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return pairs.join(one, "a").join(two, "b").where(similar("x_a", "x_b")).select("a", "b").coalesce(_tasks(pairs, 2_000))
 
 
-def _named(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Every row with its component (part), and the least row (doc_id, t) of each component."""
+def _named(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Every row (doc_id, t, n_shingles, class) with the least row of its component (first); null for the empty set."""
     members, classes = link_classes(docs, n, threshold)
-    firsts = classes.groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("part", "first.doc_id", "first.t")
-    found = members.join(classes.select("class", "part"), "class", "left")
-    return found, firsts
+    return members.join(classes, "class", "left")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    found, firsts = _named(docs, n, threshold)
-    out = found.join(firsts.select("part", F.col("doc_id").alias("component")), "part", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return _named(docs, n, threshold).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
@@ -551,9 +551,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10))
     Rows with the same id and text count as one, that with the least hash of its other
     columns; rows without words or without an id stay.
     """
-    found, firsts = _named(docs, n, threshold)
-    firsts = firsts.select("part", F.struct("doc_id", "t").alias("first"))
-    rows = found.where("doc_id is not null and class is not null").groupBy("doc_id", "t", "part").agg(F.count("*").alias("rows")).join(firsts, "part")
+    rows = _named(docs, n, threshold).where("doc_id is not null and first is not null").groupBy("doc_id", "t").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
     decided = rows.select("doc_id", "t", "rows", (F.struct("doc_id", "t") == F.col("first")).alias("stays")).where("not stays or rows > 1")
     decided = stored(decided.coalesce(least_tasks(docs.sparkSession)), "decided")
     gone = decided.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
