@@ -38,6 +38,7 @@ each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -76,14 +77,17 @@ def _hashes() -> WordHashes:
 
 def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigram keys, bigram keys (each token with the one before it, the end before the first) and the text of each."""
-    split = [tokens_of(t) for t in texts]
+    return keys_of_tokens([tokens_of(t) for t in texts])
+
+
+def keys_of_tokens(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(s) for s in split])
     hashes = _hashes()
-    uni = np.fromiter((hashes[w] for s in split for w in s), _U, int(sizes.sum()))
+    uni = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(split)), _U, int(sizes.sum()))
     before = np.empty_like(uni)
     before[1:] = uni[:-1]
     before[np.cumsum(sizes) - sizes] = hashes[END]
-    return uni, mix(before * _U(0x9E3779B97F4A7C15) + uni), np.repeat(np.arange(len(texts)), sizes)
+    return uni, mix(before * _U(0x9E3779B97F4A7C15) + uni), np.repeat(np.arange(len(split)), sizes)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +188,12 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in in_portions(map(len, texts), PORTION):
-                for t in texts[lo:hi]:
-                    seen.update(tokens_of(t))
-                _, bi, _ = keys_of(texts[lo:hi])
-                keys, n = _summed(bi[bi < _U(_ALL // SHARE)], np.ones(int((bi < _U(_ALL // SHARE)).sum()), np.int64))
+                split = [tokens_of(t) for t in texts[lo:hi]]
+                for words in split:
+                    seen.update(words)
+                _, bi, _ = keys_of_tokens(split)
+                bi = bi[bi < _U(_ALL // SHARE)]
+                keys, n = _summed(bi, np.ones(len(bi), np.int64))
                 sampled.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
             if len(seen) > MERGE // 4:
                 yield from _rows(seen, "w")
@@ -338,14 +344,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     ranges, range_bytes, whole = shape["ranges"], shape["range_bytes"], model["least"] <= 1
     total = math.log10(n_all + n_words + 1)
 
-    def probe(texts: list[str], uni: np.ndarray, bi: np.ndarray, at: int, before: np.ndarray) -> np.ndarray:
-        """Levels (unigrams, then bigrams) with those of segment ``at`` filled in."""
+    def probe(keys: np.ndarray, at: int) -> np.ndarray:
+        """Levels of distinct keys as far as segment ``at`` has them, else 0."""
         bloom = _load_filter(files, at, ranges, range_bytes)
-        keys, back = np.unique(np.r_[unigram_key(uni), bi], return_inverse=True)
+        if segments == 1:
+            return bloom(keys)
         own = LogBloom.range_of(keys, ranges) // _U(RANGES) == _U(at)
         got = np.zeros(len(keys), np.uint8)
         got[own] = bloom(keys[own])
-        return np.maximum(before, got[back])
+        return got
 
     def one_pass(at: int):
         last = at == segments - 1
@@ -360,13 +367,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     n = hi - lo
                     sizes = np.bincount(owner, minlength=n)
                     ends = np.cumsum(sizes)
+                    words, back = np.unique(uni, return_inverse=True)
+                    pairs, place = np.unique(bi, return_inverse=True)
+                    lu, lb = probe(unigram_key(words), at)[back], probe(pairs, at)[place]
                     if at:
                         parts = [np.frombuffer(b, np.uint8) for b in held[lo:hi]]
-                        before = np.concatenate([b[: len(b) // 2] for b in parts] + [b[len(b) // 2 :] for b in parts])
-                    else:
-                        before = np.zeros(2 * len(uni), np.uint8)
-                    levels = probe(texts[lo:hi], uni, bi, at, before)
-                    lu, lb = levels[: len(uni)], levels[len(uni) :]
+                        lu = np.maximum(lu, np.concatenate([b[: len(b) // 2] for b in parts]))
+                        lb = np.maximum(lb, np.concatenate([b[len(b) // 2 :] for b in parts]))
                     if not last:
                         out["levels"] += [lu[e - s : e].tobytes() + lb[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
                         for c, empty in (("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("score", 0.0), ("rest", [])):
@@ -378,7 +385,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     p = probabilities(lb, context, lu, n_all, n_words)
                     out["score"] += np.bincount(owner, np.log10(p), n).tolist()
                     hashes, exact = _load_head(head_files)
-                    words, back = np.unique(uni, return_inverse=True)
                     place = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
                     found = (hashes[place] == words) if len(hashes) else np.zeros(len(words), bool)
                     c = np.where(found, exact[place] if len(hashes) else 0, 0)[back]
