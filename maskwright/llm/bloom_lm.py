@@ -91,7 +91,7 @@ def keys_of_tokens(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -238,7 +238,7 @@ def build_filter(docs: DataFrame, words: DataFrame, levels: int) -> dict:
             texts = batch.column("text").to_pylist()
             for lo, hi in in_portions(map(len, texts), PORTION):
                 _, bi, _ = keys_of(texts[lo:hi])
-                held.append(_summed(bi, np.ones(len(bi), np.int64)))
+                held.append(np.unique(bi, return_counts=True))
                 size += len(held[-1][0])
                 if size > MERGE:
                     yield _blobs(*_summed(*map(np.concatenate, zip(*held, strict=True))), ranges)

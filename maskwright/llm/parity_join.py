@@ -151,7 +151,7 @@ def sketch_keys(sets: list[np.ndarray], threshold: Fraction, hot: np.ndarray | N
         owner = who[inside]
         word = (((h[inside] >> _U(32)) * count[owner].astype(_U)) >> _U(32)).astype(np.int64)
         at = owner << 32 | word
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         at, flips = at[order], bit[inside][order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
         # a word's hash: exclusive or over its set bits; two flips of one bit undo each other
