@@ -20,9 +20,10 @@ their hash into as many *segments* as are needed, and documents are scored once
 for each segment, each pass adding the terms whose key is in it - the same
 sum, with bounded memory.
 
-Counts are made once in each task (merged in memory up to ``MERGE`` keys), then
-exchanged by key range, so a word or bigram that makes up much of the corpus
-arrives as one row from each task.
+Words and bigrams are counted in one pass: each task merges what it counts (up to
+``MERGE`` bigram keys and ``WORDS`` words at a time) and writes it to the shared folder;
+words are added up from there, and bigrams are exchanged by key range, so a word or
+bigram that makes up much of the corpus arrives as a few rows from each task.
 
 The base score uses exact unigram counts: those of the most frequent words, at
 most ``HEAD_WORDS``, go to every worker by 64-bit hash; others are joined by word.
@@ -37,18 +38,18 @@ each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
-from collections import Counter
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, in_portions, mix, remainder, stored, texts_of, worker_memory
+from .common import WordHashes, ascii_words, bounded_batches, delete_path, give_back, in_portions, mix, remainder, stored, texts_of, worker_memory
 
 END = b""  # no word is empty
 MU = 300.0
@@ -56,12 +57,12 @@ MU = 300.0
 BITS_PER_LEVEL, PROBES, FILTER_BYTES = 9, 4, 128 << 20
 #: Exact counts that every worker holds, 16 bytes each.
 HEAD_WORDS = 6_000_000
-#: Keys a counting task merges before it hands them on; characters handled at once.
-MERGE, PORTION = 2_000_000, 4_000_000
+#: Bigram keys a counting task merges before it hands them on; words a task remembers at once; characters handled at once.
+MERGE, WORDS, PORTION = 2_000_000, 300_000, 2_000_000
 RANGES = 1024
 _U = np.uint64
 _STEP, _LOW, _ALL = 0xD1B54A32D192ED03, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
-#: One in so many bigram keys is counted beforehand, to size the filters.
+#: One in so many bigram keys is counted one by one, to size the filters.
 SHARE = 1024
 
 
@@ -71,23 +72,34 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
-def _hashes() -> WordHashes:
-    return worker_memory("words", lambda: WordHashes(300_000))
+class Vocabulary(dict):
+    """word -> its place among the words seen, for up to ``WORDS`` words, with their hashes in ``hashes``."""
 
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+        self.hashes = np.zeros(0, _U)
 
-def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram keys, bigram keys (each token with the one before it, the end before the first) and the text of each."""
-    return keys_of_tokens([tokens_of(t) for t in texts])
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self.words)
+        self.words.append(word)
+        return place
 
+    def places(self, split: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
+        """Places of all tokens, one text after the other; ``hashes`` grows by the new words."""
+        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        new = self.words[len(self.hashes) :]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), _U, len(new))])
+        return at
 
-def keys_of_tokens(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in split])
-    hashes = _hashes()
-    uni = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(split)), _U, int(sizes.sum()))
+
+def bigram_keys(uni: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys of each token with the one before it, the end before the first, from the tokens' hashes."""
     before = np.empty_like(uni)
     before[1:] = uni[:-1]
-    before[np.cumsum(sizes) - sizes] = hashes[END]
-    return uni, mix(before * _U(0x9E3779B97F4A7C15) + uni), np.repeat(np.arange(len(split)), sizes)
+    ends = np.cumsum(sizes)
+    before[ends - sizes] = uni[ends - 1]  # a text's last token is the end
+    return mix(before * _U(0x9E3779B97F4A7C15) + uni)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,36 +185,58 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Ascending keys as one row for each range: range, keys, counts."""
     at = LogBloom.range_of(keys, ranges).astype(np.int64)
     cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
-    rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return pa.RecordBatch.from_pydict(
-        {"range": at[cuts[:-1]].astype(np.int32), "keys": pa.array([keys[a:b].tobytes() for a, b in rows], pa.binary()), "counts": pa.array([counts[a:b].astype("<u8").tobytes() for a, b in rows], pa.binary())}
-    )
+    offsets = pa.py_buffer((cuts * 8).astype(np.int32))  # MERGE keys at most, so below 2^31 bytes
 
+    def cut(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values, "<u8"))])
 
-def count_words(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(word, n) of all tokens, and sizes: N, V, and the levels of distinct bigrams as estimated from a fixed share of the key space."""
+    return pa.RecordBatch.from_pydict({"range": at[cuts[:-1]].astype(np.int32), "keys": cut(keys), "counts": cut(counts)})
+
+
+_TALLY = "kind string, word string, n long, range int, keys binary, counts binary"
+
+
+def tally(docs: DataFrame) -> DataFrame:
+    """What tasks counted, in one pass over the texts: words (kind ``w``), bigram keys by coarse range (``p``),
+    and one by one the bigram keys of a fixed share of the key space (``b``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        sampled: Counter[int] = Counter()
+        worker_memory("tally", dict)  # an earlier model goes
+        vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in in_portions(map(len, texts), PORTION):
                 split = [tokens_of(t) for t in texts[lo:hi]]
-                for words in split:
-                    seen.update(words)
-                _, bi, _ = keys_of_tokens(split)
-                bi = bi[bi < _U(_ALL // SHARE)]
-                keys, n = _summed(bi, np.ones(len(bi), np.int64))
-                sampled.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-            if len(seen) > MERGE // 4:
-                yield from _rows(seen, "w")
-                seen.clear()
-        yield from _rows(seen, "w")
-        yield from _rows({str(k).encode(): n for k, n in sampled.items()}, "b")
-
-    counted = docs.select("text").mapInArrow(count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    table = stored(counted, "words")
+                sizes = np.array([len(s) for s in split])
+                at = vocabulary.places(split, sizes)
+                del split
+                n = np.bincount(at, minlength=len(vocabulary.words))
+                n[: len(seen)] += seen
+                seen = n
+                held.append(np.unique(bigram_keys(vocabulary.hashes[at], sizes), return_counts=True))
+                size += len(held[-1][0])
+                if size > MERGE:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                if size > MERGE // 2:
+                    yield from _pairs(held)
+                    size = 0
+                if len(seen) > WORDS:
+                    yield from _words(vocabulary.words, seen)
+                    vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
+        yield from _words(vocabulary.words, seen)
+        if size:
+            yield from _pairs(held)
+        give_back()
+
+    return docs.select("text").mapInArrow(count, _TALLY)
+
+
+def summed(table: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(word, n) of all tokens, and sizes: N, V, and the levels of distinct bigrams as estimated from a fixed share of the key space."""
+    table = stored(table.where("kind <> 'p'").groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
     words = table.where("kind = 'w'").select("word", "n")
     levels = F.floor(F.log2("n")) + 1
     size = table.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(levels).alias("levels")).collect()
@@ -212,39 +246,49 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     return words, {"N": by["w"]["n"], "V": by["w"]["v"], "levels": int(by["w"]["levels"] + (by["b"]["levels"] * SHARE if "b" in by else 0))}
 
 
-def _rows(counts, kind: str) -> Iterator[pa.RecordBatch]:
-    words = list(counts)
+def _tallied(kind: str, **columns) -> pa.RecordBatch:
+    """A batch of ``tally``; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    types = {"word": pa.string(), "n": pa.int64(), "range": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.string())} | {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()})
+
+
+def _words(words: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(words), 20_000):
-        part = words[lo : lo + 20_000]
-        yield pa.RecordBatch.from_pydict({"kind": [kind] * len(part), "word": pa.array(part, pa.binary()).cast(pa.string()), "n": pa.array([counts[w] for w in part], pa.int64())})
+        yield _tallied("w", word=pa.array(words[lo : lo + 20_000], pa.binary()).cast(pa.string()), n=pa.array(n[lo : lo + 20_000], pa.int64()))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``held`` as one, which is emptied."""
+    keys, n = map(np.concatenate, zip(*held, strict=True))
+    held.clear()
+    return _summed(keys, n)
+
+
+def _pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    keys, n = _merged(held)
+    blobs = _blobs(keys, n, RANGES)
+    yield _tallied("p", **{c: blobs.column(c) for c in ("range", "keys", "counts")})
+    few = int(np.searchsorted(keys, _U(_ALL // SHARE)))
+    yield _tallied("b", word=pa.array(list(map(str, keys[:few].tolist())), pa.string()), n=pa.array(n[:few], pa.int64()))
 
 
 def unigram_key(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ _U(0xA0761D6478BD642F))
 
 
-def build_filter(docs: DataFrame, words: DataFrame, levels: int) -> dict:
-    """Fill the filters in the shared folder; returns where they are and their shape."""
-    spark = docs.sparkSession
+def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
+    """Fill the filters in the shared folder from a tally; returns where they are and their shape."""
+    spark = table.sparkSession
     total = max(1 << 16, levels * BITS_PER_LEVEL // 8)
     segments = -(-total // FILTER_BYTES)
     ranges = RANGES * segments
     range_bytes = -(-total // ranges)
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in in_portions(map(len, texts), PORTION):
-                _, bi, _ = keys_of(texts[lo:hi])
-                held.append(np.unique(bi, return_counts=True))
-                size += len(held[-1][0])
-                if size > MERGE:
-                    yield _blobs(*_summed(*map(np.concatenate, zip(*held, strict=True))), ranges)
-                    held, size = [], 0
-        if size:
-            yield _blobs(*_summed(*map(np.concatenate, zip(*held, strict=True))), ranges)
+            for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                yield _blobs(np.frombuffer(k, _U), np.frombuffer(n, "<u8"), ranges)
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +297,7 @@ def build_filter(docs: DataFrame, words: DataFrame, levels: int) -> dict:
                 yield _blobs(*_summed(keys, batch.column("n").to_numpy().astype(np.int64)), ranges)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("fill", dict)
         held: dict[int, list] = {}
         for batch in batches:
             for r, k, n in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "counts")), strict=True):
@@ -264,13 +309,15 @@ def build_filter(docs: DataFrame, words: DataFrame, levels: int) -> dict:
 
     kind = "range int, keys binary, counts binary"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments * 16)
+    pairs = table.where("kind = 'p'").select("range", "keys", "counts")
+    if segments > 1:  # a coarse range is so many neighbouring ranges
+        pairs = pairs.mapInArrow(finer, kind)
     # keys are hashes, so ranges are even; one row for each task and range
-    dealt = docs.select("text").mapInArrow(bigrams, kind).unionByName(words.mapInArrow(unigrams, kind)).repartition(parts, "range")
+    dealt = pairs.unionByName(words.mapInArrow(unigrams, kind)).repartition(parts, "range")
     table = stored(dealt.mapInArrow(fill, "range int, bits binary").withColumn("segment", F.floor(F.col("range") / RANGES).cast("int")), "filter")
     return {"path": table.inputFiles(), "ranges": ranges, "range_bytes": range_bytes, "segments": segments}
 
 
-@functools.lru_cache(1)
 def _load_filter(files: tuple[str, ...], segment: int, ranges: int, range_bytes: int) -> LogBloom:
     """One segment in this worker's memory."""
     import pyarrow.parquet as pq
@@ -289,7 +336,6 @@ def _load_filter(files: tuple[str, ...], segment: int, ranges: int, range_bytes:
     return LogBloom(bits, ranges, segment * RANGES)
 
 
-@functools.lru_cache(1)
 def _load_head(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Ascending word hashes and their exact counts."""
     import pyarrow.parquet as pq
@@ -326,13 +372,40 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int
     return stored(words.where(F.col("n") >= least).mapInArrow(hashed, "h long, n long"), "head"), least
 
 
+class Known(Vocabulary):
+    """Words that a worker has met, with the filter's level and the exact count of each (0 where the head has none)."""
+
+    def __init__(self, probe: Callable[[np.ndarray], np.ndarray], head: tuple[np.ndarray, np.ndarray]):
+        super().__init__()
+        self.probe, self.head = probe, head
+        self.levels, self.counts = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+
+    def places(self, split: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
+        if len(self.words) > WORDS:
+            self.clear()
+            self.__init__(self.probe, self.head)
+        at = super().places(split, sizes)
+        new = self.hashes[len(self.levels) :]
+        self.levels = np.concatenate([self.levels, self.probe(unigram_key(new))])
+        hashes, exact = self.head
+        if len(hashes):
+            place = np.minimum(np.searchsorted(hashes, new), len(hashes) - 1)
+            self.counts = np.concatenate([self.counts, np.where(hashes[place] == new, exact[place], 0)])
+        else:
+            self.counts = np.zeros(len(self.levels), np.int64)
+        return at
+
+
 def train(docs: DataFrame) -> dict:
     """A model of all these texts."""
     bounded_batches(docs.sparkSession)
     docs = texts_of(docs)
-    words, sizes = count_words(docs)
+    table = stored(tally(docs), "tally")
+    words, sizes = summed(table)
     head, least = head_words(words)
-    return {"words": words, **sizes, "least": least, "head": tuple(sorted(head.inputFiles())), "filter": build_filter(docs, words, sizes["levels"])}
+    bloom = build_filter(table, words, sizes["levels"])
+    delete_path(docs.sparkSession, os.path.dirname(table.inputFiles()[0]))  # nothing reads the tally after this
+    return {"words": words, **sizes, "least": least, "head": tuple(sorted(head.inputFiles())), "filter": bloom}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -344,15 +417,24 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     ranges, range_bytes, whole = shape["ranges"], shape["range_bytes"], model["least"] <= 1
     total = math.log10(n_all + n_words + 1)
 
-    def probe(keys: np.ndarray, at: int) -> np.ndarray:
-        """Levels of distinct keys as far as segment ``at`` has them, else 0."""
-        bloom = _load_filter(files, at, ranges, range_bytes)
-        if segments == 1:
-            return bloom(keys)
-        own = LogBloom.range_of(keys, ranges) // _U(RANGES) == _U(at)
-        got = np.zeros(len(keys), np.uint8)
-        got[own] = bloom(keys[own])
-        return got
+    def known(at: int) -> Known:
+        """Segment ``at`` and the head in this worker's memory."""
+
+        def load() -> Known:
+            bloom = _load_filter(files, at, ranges, range_bytes)
+
+            def probe(keys: np.ndarray) -> np.ndarray:
+                """Levels of distinct keys as far as the segment has them, else 0."""
+                if segments == 1:
+                    return bloom(keys)
+                own = LogBloom.range_of(keys, ranges) // _U(RANGES) == _U(at)
+                got = np.zeros(len(keys), np.uint8)
+                got[own] = bloom(keys[own])
+                return got
+
+            return Known(probe, _load_head(head_files))
+
+        return worker_memory(f"{files[:1]} {at}", load)
 
     def one_pass(at: int):
         last = at == segments - 1
@@ -363,13 +445,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 held = batch.column("levels").to_pylist()
                 out: dict[str, list] = {c: [] for c in ("levels", "n_tokens", "n_known", "base", "score", "rest")}
                 for lo, hi in in_portions(map(len, texts), PORTION):
-                    uni, bi, owner = keys_of(texts[lo:hi])
                     n = hi - lo
-                    sizes = np.bincount(owner, minlength=n)
-                    ends = np.cumsum(sizes)
-                    words, back = np.unique(uni, return_inverse=True)
-                    pairs, place = np.unique(bi, return_inverse=True)
-                    lu, lb = probe(unigram_key(words), at)[back], probe(pairs, at)[place]
+                    split = [tokens_of(t) for t in texts[lo:hi]]
+                    sizes = np.array([len(s) for s in split])
+                    ends, owner = np.cumsum(sizes), np.repeat(np.arange(n), sizes)
+                    memory = known(at)
+                    token = memory.places(split, sizes)
+                    pairs, place = np.unique(bigram_keys(memory.hashes[token], sizes), return_inverse=True)
+                    lu, lb = memory.levels[token], memory.probe(pairs)[place]
                     if at:
                         parts = [np.frombuffer(b, np.uint8) for b in held[lo:hi]]
                         lu = np.maximum(lu, np.concatenate([b[: len(b) // 2] for b in parts]))
@@ -384,20 +467,17 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     context[ends - sizes] = lu[ends[0] - 1] if n else 0  # the end before the first word
                     p = probabilities(lb, context, lu, n_all, n_words)
                     out["score"] += np.bincount(owner, np.log10(p), n).tolist()
-                    hashes, exact = _load_head(head_files)
-                    place = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
-                    found = (hashes[place] == words) if len(hashes) else np.zeros(len(words), bool)
-                    c = np.where(found, exact[place] if len(hashes) else 0, 0)[back]
-                    inside = found[back] | whole
+                    c, inside = memory.counts[token], memory.counts[token] > 0
+                    inside |= whole
                     out["base"] += np.bincount(owner, np.where(inside, np.log10(c + 1.0) - total, 0.0), n).tolist()
                     out["n_known"] += np.bincount(owner, c > 0, n).astype(np.int64).tolist()
                     out["n_tokens"] += sizes.tolist()
                     if whole or inside.all():
                         out["rest"] += [[]] * n
                     else:
-                        for k, t in enumerate(texts[lo:hi]):
+                        for k, words in enumerate(split):
                             a = ends[k] - sizes[k]
-                            out["rest"].append([w.decode() for w, here in zip(tokens_of(t), inside[a : ends[k]], strict=True) if not here])
+                            out["rest"].append([w.decode() for w, here in zip(words, inside[a : ends[k]], strict=True) if not here])
                 if last:
                     out["levels"] = [b""] * len(texts)
                 kept = texts if not last else [""] * len(texts)
