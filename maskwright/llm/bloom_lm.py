@@ -62,6 +62,8 @@ MERGE, WORDS, PORTION = 2_000_000, 300_000, 2_000_000
 RANGES = 1024
 _U = np.uint64
 _STEP, _LOW, _ALL = 0xD1B54A32D192ED03, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+#: Bytes of a row group of what is tallied: a task holds one in memory while it writes.
+TALLY_GROUP = 16 << 20
 #: One in so many bigram keys is counted one by one, to size the filters.
 SHARE = 1024
 
@@ -342,16 +344,19 @@ def _load_head(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
 
     from .token_files import filesystem
 
-    hashes, counts = [], []
-    for file in files:
-        system, path = filesystem(file)
+    sources = [filesystem(file) for file in files]
+    total = sum(pq.read_metadata(path, filesystem=system).num_rows for system, path in sources)
+    h, n, at = np.zeros(total, _U), np.zeros(total, np.int64), 0  # filled in place: the head is large
+    for system, path in sources:
         with system.open_input_file(path) as f:
             for batch in pq.ParquetFile(f).iter_batches(columns=["h", "n"]):
-                hashes.append(batch.column("h").to_numpy().view(_U))
-                counts.append(batch.column("n").to_numpy())
-    h = np.concatenate(hashes) if hashes else np.zeros(0, _U)
-    order = np.argsort(h)
-    return h[order], (np.concatenate(counts) if counts else np.zeros(0, np.int64))[order]
+                h[at : at + batch.num_rows] = batch.column("h").to_numpy().view(_U)
+                n[at : at + batch.num_rows] = batch.column("n").to_numpy()
+                at += batch.num_rows
+    n = n[np.argsort(h)]
+    h.sort()
+    give_back()
+    return h, n
 
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int]:
@@ -400,7 +405,7 @@ def train(docs: DataFrame) -> dict:
     """A model of all these texts."""
     bounded_batches(docs.sparkSession)
     docs = texts_of(docs)
-    table = stored(tally(docs), "tally")
+    table = stored(tally(docs), "tally", TALLY_GROUP)
     words, sizes = summed(table)
     head, least = head_words(words)
     bloom = build_filter(table, words, sizes["levels"])

@@ -88,11 +88,11 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+def stored(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in row groups of ``group_bytes``, and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
