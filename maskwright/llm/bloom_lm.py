@@ -338,25 +338,50 @@ def _load_filter(files: tuple[str, ...], segment: int, ranges: int, range_bytes:
     return LogBloom(bits, ranges, segment * RANGES)
 
 
-def _load_head(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending word hashes and their exact counts."""
+def _load_head(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes of words counted once; those of other words, and their exact counts."""
     import pyarrow.parquet as pq
 
     from .token_files import filesystem
 
     sources = [filesystem(file) for file in files]
     total = sum(pq.read_metadata(path, filesystem=system).num_rows for system, path in sources)
-    h, n, at = np.zeros(total, _U), np.zeros(total, np.int64), 0  # filled in place: the head is large
+    # filled and sorted in place, for the head is large; pages that stay empty take no memory
+    ones, h, n = np.zeros(total, _U), np.zeros(total, _U), np.zeros(total, np.int64)
+    a = b = 0
     for system, path in sources:
         with system.open_input_file(path) as f:
             for batch in pq.ParquetFile(f).iter_batches(columns=["h", "n"]):
-                h[at : at + batch.num_rows] = batch.column("h").to_numpy().view(_U)
-                n[at : at + batch.num_rows] = batch.column("n").to_numpy()
-                at += batch.num_rows
-    n = n[np.argsort(h)]
-    h.sort()
+                hashes, counts = batch.column("h").to_numpy().view(_U), batch.column("n").to_numpy()
+                once = counts == 1
+                few = int(once.sum())
+                ones[a : a + few] = hashes[once]
+                a += few
+                many = len(counts) - few
+                h[b : b + many], n[b : b + many] = hashes[~once], counts[~once]
+                b += many
+    ones, h, n = ones[:a], h[:b], n[:b]
+    ones.sort()
+    order = np.argsort(h)
     give_back()
-    return h, n
+    return ones, h[order], n[order]
+
+
+def _exact(head: tuple[np.ndarray, np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Counts of these word hashes in the head, 0 where it has none."""
+    ones, h, n = head
+
+    def place_in(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return place, own[place] == hashes
+
+    found = np.zeros(len(hashes), np.int64)
+    if len(ones):
+        found[place_in(ones)[1]] = 1
+    if len(h):
+        place, same = place_in(h)
+        found[same] = n[place[same]]
+    return found
 
 
 def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int]:
@@ -380,24 +405,19 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int
 class Known(Vocabulary):
     """Words that a worker has met, with the filter's level and the exact count of each (0 where the head has none)."""
 
-    def __init__(self, probe: Callable[[np.ndarray], np.ndarray], head: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, probe: Callable[[np.ndarray], np.ndarray], head: tuple[np.ndarray, np.ndarray, np.ndarray]):
         super().__init__()
         self.probe, self.head = probe, head
         self.levels, self.counts = np.zeros(0, np.uint8), np.zeros(0, np.int64)
 
     def places(self, split: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
-        if len(self.words) > WORDS:
+        if len(self.words) > WORDS // 2:  # the filter and the head are in memory too
             self.clear()
             self.__init__(self.probe, self.head)
         at = super().places(split, sizes)
         new = self.hashes[len(self.levels) :]
         self.levels = np.concatenate([self.levels, self.probe(unigram_key(new))])
-        hashes, exact = self.head
-        if len(hashes):
-            place = np.minimum(np.searchsorted(hashes, new), len(hashes) - 1)
-            self.counts = np.concatenate([self.counts, np.where(hashes[place] == new, exact[place], 0)])
-        else:
-            self.counts = np.zeros(len(self.levels), np.int64)
+        self.counts = np.concatenate([self.counts, _exact(self.head, new)])
         return at
 
 
