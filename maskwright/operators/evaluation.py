@@ -195,3 +195,19 @@ def reported(names: Column, binary: bool = False, hipaa: bool = False) -> Column
     if hipaa:
         shown = shown & names.contains("HIPAA")
     return shown
+
+
+def subsequences(inner: DataFrame, outer: DataFrame, *keys: str) -> DataFrame:
+    """(keys, subsequence): whether every scoring token of ``inner`` is one of ``outer``, for keys that ``inner`` has.
+
+    Both are (keys, start, end).  Tokens are compared by place; no group is collected.
+    """
+    known = outer.select(*keys, "start", "end").distinct().withColumn("_known", F.lit(True))
+    rows = inner.join(known, [*keys, "start", "end"], "left")
+    return rows.groupBy(*keys).agg(F.coalesce(F.min(F.col("_known").isNotNull()), F.lit(True)).alias("subsequence"))
+
+
+def token_places(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Scoring tokens of each span with ``place``, the token's number in its document, null where the document has no such token."""
+    own = scorer_tokens(docs, "text", "doc_id").select("doc_id", F.col("idx").alias("place"), "start", "end")
+    return span_tokens(docs, spans).join(own, ["doc_id", "start", "end"], "left").select("doc_id", "tag_name", "tag_type", "start", "end", "place")

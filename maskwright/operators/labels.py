@@ -122,3 +122,11 @@ def is_unknown(ind: str = "ind") -> Column:
 def split_reuse(rows: DataFrame, split: str = "split") -> DataFrame:
     """(doc_id, n_splits, splits) of documents that more than one split has."""
     return rows.groupBy("doc_id").agg(F.countDistinct(split).alias("n_splits"), F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits")).where("n_splits > 1")
+
+
+def sentence_sizes(tokens: DataFrame) -> DataFrame:
+    """One row: n_documents, n_sentences, n_tokens and max_length, the tokens of the longest sentence (0 without any)."""
+    each = tokens.groupBy("doc_id", "sent_idx").agg(F.count("*").alias("n"))
+    return each.agg(
+        F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n_sentences"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.coalesce(F.max("n"), F.lit(0)).alias("max_length")
+    )

@@ -38,6 +38,11 @@ def batches(rows: DataFrame, key: str, size: int, epoch: int = 0, keep_tail: boo
     return out.join(F.broadcast(total)).where("n < whole").drop("n", "whole")
 
 
+def batches_with_features(rows: DataFrame, key: str, extra: DataFrame, size: int, epoch: int = 0) -> DataFrame:
+    """``batches`` with the columns of ``extra`` (key and features), null where it has none; ``extra`` has a key once."""
+    return batches(rows, key, size, epoch).join(extra, key, "left")
+
+
 def compounding(start: float, stop: float, factor: float, n: int) -> list[int]:
     """Batch sizes that grow by ``factor`` up to ``stop``, truncated to integers."""
     return [int(min(start * factor**i, stop)) for i in range(n)]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import augment, evaluation, labels, sampling, spans, tags, vectors
+from ..operators import augment, evaluation, labels, lookup, sampling, spans, tags, vectors
 from ..schemas import HIPAA_TYPES, PHI_TYPES, label_index
 from ..sources import sinks
 
@@ -373,7 +373,27 @@ def standoff_dicts(spark, sf_dir):
     return spans.to_dicts(_both(spark, sf_dir)[2], ["tag_type", "start", "end", "comment"])
 
 
-@query("prediction_xml")
+def _escaped_sql(column: str) -> str:
+    for plain, mark in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("chr(34)", "&quot;"), ("chr(10)", "&#10;")):
+        column = f"replace({column}, {plain}, '{mark}')"
+    return column
+
+
+_ELEMENT = "'<' || tag_name || ' id=\"' || id || '\" start=\"' || \"start\" || '\" end=\"' || \"end\" || '\" text=\"' || " + _escaped_sql("text") + " || '\" TYPE=\"' || tag_type || '\" comment=\"\"/>'"
+
+
+@query("tag_xml", f"WITH {_SIDES}, tags AS ({_TAGS}) SELECT doc_id, id, {_ELEMENT} AS xml FROM tags")
+def tag_xml(spark, sf_dir):
+    docs, _, system = _both(spark, sf_dir)
+    return sinks.prediction_tags(docs, system).select("doc_id", "id", sinks.tag_xml().alias("xml"))
+
+
+@query(
+    "prediction_xml",
+    f"WITH {_SIDES}, tags AS ({_TAGS}), lists AS (SELECT doc_id, string_agg({_ELEMENT}, chr(10) ORDER BY \"start\", \"end\", {_ELEMENT}) AS body FROM tags GROUP BY 1) "
+    "SELECT doc_id, '<?xml version=\"1.0\" encoding=\"UTF-8\" ?>' || chr(10) || '<deIdi2b2>' || chr(10) || '<TEXT><![CDATA[' || replace(text, ']]>', ']]]]><![CDATA[>') || ']]></TEXT>' || chr(10) || '<TAGS>' || chr(10) "
+    "|| coalesce(body, '') || chr(10) || '</TAGS>' || chr(10) || '</deIdi2b2>' || chr(10) AS xml FROM documents LEFT JOIN lists USING (doc_id)",
+)
 def prediction_xml(spark, sf_dir):
     docs, _, system = _both(spark, sf_dir)
     return sinks.to_xml(docs, system)
@@ -633,6 +653,84 @@ def random_digits(spark, sf_dir):
     return augment.random_digits(words.where(augment.is_digits("word")), words)
 
 
+# --- lookup and padded sequences ---------------------------------------------------------------------
+
+
+@query("word_vector_lookup", "SELECT vec_id, (vec_id % 3 <> 0)::INT AS source, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * (1 + (vec_id % 3 = 0)::INT))), 6) AS total FROM embeddings")
+def word_vector_lookup(spark, sf_dir):
+    """A cache of every third word, whose vectors are doubled to tell them apart, before the whole table."""
+    words = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("word"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    cache = words.where("vec_id % 3 = 0").select("word", F.transform("vec", lambda x: x * 2).alias("vec"))
+    found = lookup.word_vectors(words.select("vec_id", "word"), cache, words.select("word", "vec"))
+    return found.select("vec_id", "source", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("sentence_vectors", "SELECT vec_id // 10 AS doc_id, count(*)::INT AS n, round(sum(embedding[1]::DOUBLE * (1 + vec_id % 10)), 6) AS weighted FROM embeddings GROUP BY 1")
+def sentence_vectors(spark, sf_dir):
+    """Sentences of ten words that are vector ids; the weights show the order of the rows."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
+    tokens = e.select(F.floor(F.col("vec_id") / 10).alias("doc_id"), F.lit(0).alias("sent_idx"), (F.col("vec_id") % 10).cast("int").alias("tok_idx"), "word")
+    found = lookup.sentence_matrix(tokens, e.select("word", "vec"))
+    weighted = F.aggregate(F.transform("matrix", lambda v, i: F.get(v, F.lit(0)).cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return found.select("doc_id", F.size("matrix").alias("n"), F.round(weighted, 6).alias("weighted"))
+
+
+_SPLIT = "regexp_extract_all(text, '[^ ]+')"
+
+
+@query("sentence_cache", f"SELECT item_id, md5(array_to_string({_SPLIT}, ' ')) AS value FROM benchmark")
+def sentence_cache(spark, sf_dir):
+    """Sentences found in a cache of their own by their words joined with spaces."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("words"))
+    cache = rows.select(F.array_join("words", " ").alias("sentence")).distinct().withColumn("value", F.md5("sentence"))
+    return lookup.cached_sentences(rows, cache).select("item_id", "value")
+
+
+@query("padded_sequences", f"WITH w AS (SELECT item_id, {_SPLIT} AS words FROM benchmark) SELECT item_id, len(words)::INT AS n_words, (SELECT max(len(words)) FROM w)::INT AS n_padded, md5(array_to_string(words, ' ')) AS back FROM w")
+def padded_sequences(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("words"))
+    out = lookup.padded(rows)
+    return out.select("item_id", "n_words", F.size("padded").alias("n_padded"), F.md5(F.array_join(lookup.unpadded(), " ")).alias("back"))
+
+
+@query("chunked_sequences", f"WITH w AS (SELECT doc_id, {_SPLIT} AS words FROM documents), c AS (SELECT doc_id, words, unnest(range((len(words) + 49) // 50)) AS chunk FROM w) SELECT doc_id, chunk::INT AS chunk, len(words[chunk * 50 + 1 : chunk * 50 + 50])::INT AS n, md5(array_to_string(words[chunk * 50 + 1 : chunk * 50 + 50], ' ')) AS words FROM c")
+def chunked_sequences(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("words"))
+    return lookup.chunked(rows, 50).select("doc_id", "chunk", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("words"))
+
+
+@query("unpadded_vectors", "SELECT vec_id, 3 AS n_rows, 3 AS n_predictions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def unpadded_vectors(spark, sf_dir):
+    """Three vectors behind two of zeros, cut back."""
+    zero = F.transform("embedding", lambda x: x * 0)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(zero, zero, "embedding", "embedding", "embedding").alias("m"), F.array(*(F.lit(k) for k in range(5))).alias("p"))
+    matrix, predictions = lookup.unpadded_matrix("m", "p")
+    return rows.select("vec_id", F.size(matrix).alias("n_rows"), F.size(predictions).alias("n_predictions"), F.round(F.get(F.get(matrix, F.lit(0)), F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("sentence_sizes", f"WITH {_BIO}, n AS (SELECT doc_id, count(*) AS n FROM bio GROUP BY 1) SELECT count(*) AS n_documents, count(*) AS n_sentences, sum(n)::BIGINT AS n_tokens, max(n) AS max_length FROM n")
+def sentence_sizes(spark, sf_dir):
+    return labels.sentence_sizes(_bio_tokens(spark, sf_dir))
+
+
+@query(
+    "token_places",
+    f"WITH {_SIDES}, gold_tok AS ({_token_units('gold')}), {_SCORER} SELECT g.doc_id, g.tag_type, g.\"start\"::INT AS \"start\", g.\"end\"::INT AS \"end\", t.idx::INT AS place FROM gold_tok g LEFT JOIN tok t ON t.doc_id = g.doc_id AND t.\"start\" = g.\"start\" AND t.\"end\" = g.\"end\"",
+)
+def token_places(spark, sf_dir):
+    docs, gold, _ = _both(spark, sf_dir)
+    return evaluation.token_places(docs, gold).select("doc_id", "tag_type", "start", "end", "place")
+
+
+@query(
+    "span_subsequences",
+    f"WITH {_SIDES}, gold_tok AS ({_token_units('gold')}), sys_tok AS ({_token_units('sys')}) SELECT s.doc_id, s.tag_type, bool_and(EXISTS (SELECT 1 FROM gold_tok g WHERE g.doc_id = s.doc_id AND g.tag_type = s.tag_type AND g.\"start\" = s.\"start\" AND g.\"end\" = s.\"end\")) AS subsequence FROM sys_tok s GROUP BY 1, 2",
+)
+def span_subsequences(spark, sf_dir):
+    docs, gold, system = _both(spark, sf_dir)
+    return evaluation.subsequences(evaluation.span_tokens(docs, system), evaluation.span_tokens(docs, gold), "doc_id", "tag_type")
+
+
 # --- batches, splits, pairs ---------------------------------------------------------------------
 
 _ORDERED = "o AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|0'), doc_id) - 1 AS n FROM documents)"
@@ -643,6 +741,12 @@ def epoch_batches(spark, sf_dir):
     return sampling.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32)
 
 
+@query("batches_with_features", f"WITH {_ORDERED} SELECT doc_id, n // 32 AS batch, n % 32 AS place, quality FROM o LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)")
+def batches_with_features(spark, sf_dir):
+    extra = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return sampling.batches_with_features(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", extra, 32)
+
+
 @query("epoch_batches_whole", f"WITH {_ORDERED} SELECT doc_id, n // 32 AS batch, n % 32 AS place FROM o WHERE n < (SELECT count(*) // 32 * 32 FROM o)")
 def epoch_batches_whole(spark, sf_dir):
     return sampling.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32, keep_tail=False)

@@ -43,13 +43,18 @@ def prediction_tags(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return numbered(rows).withColumn("tag_name", tag_name("tag_type"))
 
 
-def to_xml(docs: DataFrame, spans: DataFrame, root: str = "deIdi2b2", phi: bool = True) -> DataFrame:
-    """(doc_id, xml): each document with its tags; documents without any have an empty list."""
-    tags = prediction_tags(docs, spans)
-    element = F.concat(
+def tag_xml() -> Column:
+    """One tag as an XML element, from id, tag_name, tag_type, start, end and text."""
+    return F.concat(
         F.lit("<"), "tag_name", F.lit(' id="'), "id", F.lit('" start="'), F.col("start").cast("string"), F.lit('" end="'), F.col("end").cast("string"),
         F.lit('" text="'), escaped("text"), F.lit('" TYPE="'), "tag_type", F.lit('" comment=""/>'),
     )
+
+
+def to_xml(docs: DataFrame, spans: DataFrame, root: str = "deIdi2b2", phi: bool = True) -> DataFrame:
+    """(doc_id, xml): each document with its tags; documents without any have an empty list."""
+    tags = prediction_tags(docs, spans)
+    element = tag_xml()
     lists = tags.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", element.alias("e")))).alias("l"))
     joined = docs.select("doc_id", "text").join(lists, "doc_id", "left")
     body = F.array_join(F.transform(F.coalesce("l", F.array().cast("array<struct<start: int, end: int, e: string>>")), lambda x: x["e"]), "\n") if phi else F.lit("")
