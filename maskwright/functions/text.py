@@ -15,6 +15,9 @@ MAIN = r"<[bB][rR]/?>|&[a-z]{2,3};|&#[0-9]{2,4};|\s+|[\p{L}\p{M}]+|[0-9]+|\.\.+|
 DIGITS = "^[0-9]*$"
 PUNCTUATION = r"^[.,:;/+\-*=\\]*$"
 
+#: What ends a sentence of scoring tokens, in the separator before the next token.
+SENTENCE_END = r"[.!?][ \t\r]|\n"
+
 # Entities that text carries after markup was stripped.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
@@ -23,8 +26,8 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-#: Numbers that are added up in one go; a long text is many such pieces.
-PIECE = 256
+#: Numbers that are added up in one go; a long text is pieces of so many pieces of so many numbers.
+PIECE = 16
 
 
 def bound(value: Column, use) -> Column:
@@ -33,7 +36,10 @@ def bound(value: Column, use) -> Column:
 
 
 def running(sizes: Column) -> Column:
-    """Running totals of an array of one number or more, inside the row: nothing is exchanged, and repeated keys do no harm."""
+    """Running totals of an array of one number or more, inside the row: nothing is exchanged, and repeated keys do no harm.
+
+    A total copies those before it, so arrays are cut in pieces, and their sums once more.
+    """
 
     def totals(numbers: Column, start: Column) -> Column:
         return F.aggregate(numbers, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
@@ -41,11 +47,14 @@ def running(sizes: Column) -> Column:
     def pieces(s: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PIECE).cast("int")), lambda k: F.slice(s, k * PIECE + 1, PIECE))
 
-    def whole(p: Column) -> Column:
-        before = totals(F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y)), F.lit(0))
-        return F.flatten(F.zip_with(p, F.slice(before, 1, F.size(p)), lambda x, start: F.slice(totals(x, start), 2, PIECE)))
+    def before(p: Column, levels: int) -> Column:
+        sums = F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y))
+        return totals(sums, F.lit(0)) if not levels else F.concat(F.array(F.lit(0)), bound(sums, lambda s: bound(pieces(s), lambda q: whole(q, levels - 1))))
 
-    return bound(sizes, lambda s: bound(pieces(s), whole))
+    def whole(p: Column, levels: int) -> Column:
+        return F.flatten(F.zip_with(p, F.slice(before(p, levels), 1, F.size(p)), lambda x, start: F.slice(totals(x, start), 2, PIECE)))
+
+    return bound(sizes, lambda s: bound(pieces(s), lambda p: whole(p, 1)))
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
@@ -80,6 +89,22 @@ def scorer_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
     )
 
 
+def scorer_sentences(df: DataFrame, text: str, *keep: str, most: int = 256) -> DataFrame:
+    """Scoring tokens with ``sent_idx``: a sentence ends where a separator has a line break or one of ``.!?`` before a blank, and every ``most`` tokens.
+
+    Numbered inside the row, so a very long text is no long window: keep, sent_idx, tok_idx (that of the text), token, pre_ws, post_ws, start, end.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keep, F.regexp_extract_all(t, F.lit(f"({ALNUM})"), F.lit(1)).alias("m"), F.split(t, ALNUM, -1).alias("g")).where(F.size("m") > 0)
+    rows = rows.select(*keep, "m", F.slice("g", 1, F.size("m")).alias("pre"), F.slice("g", 2, F.size("m")).alias("post"))
+    cut = F.transform("pre", lambda g, i: ((i > 0) & (g.rlike(SENTENCE_END) | (i % most == 0))).cast("int"))
+    rows = rows.withColumns({"s": running(cut), "e": running(F.zip_with("pre", "m", lambda g, m: F.length(g) + F.length(m)))})
+    rows = rows.select(*keep, F.posexplode(F.arrays_zip("m", "pre", "post", "e", "s")).alias("tok_idx", "z"))
+    return rows.select(
+        *keep, F.col("z.s").alias("sent_idx"), "tok_idx", F.col("z.m").alias("token"), F.col("z.pre").alias("pre_ws"), F.col("z.post").alias("post_ws"), (F.col("z.e") - F.length("z.m")).alias("start"), F.col("z.e").alias("end")
+    )
+
+
 def rendered(tokens: DataFrame, *keep: str) -> DataFrame:
     """Text rebuilt from scoring tokens."""
     parts = F.array_sort(F.collect_list(F.struct("idx", F.concat("pre_ws", "token").alias("s"), "post_ws")))

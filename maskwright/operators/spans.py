@@ -71,7 +71,9 @@ def bio_align(tokens: DataFrame, spans: DataFrame) -> DataFrame:
         return F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor((F.greatest(F.col(b) - 1, F.col(a))) / BUCKET)))
 
     keys = ["doc_id", "sent_idx", "tok_idx"]
-    near = tokens.select(*keys, "start", "end").withColumn("bucket", buckets("start", "end")).join(own.withColumn("bucket", buckets("s", "e")), ["doc_id", "bucket"])
+    # documents without spans, mostly nearly all, go no further
+    touched = tokens.select(*keys, "start", "end").join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = touched.withColumn("bucket", buckets("start", "end")).join(own.withColumn("bucket", buckets("s", "e")), ["doc_id", "bucket"])
     hit = near.where("start < e and end > s")
     first = hit.groupBy(*keys).agg(F.min(F.struct("ord", "tag_type", "s", "e", "start", "end")).alias("h"))
     first = first.select(*keys, "h.*")
