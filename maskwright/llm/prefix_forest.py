@@ -8,7 +8,9 @@ its place in each array, then ascends all trees together: the level falls from t
 longest common prefix until the strings that share ``level`` signs with it come to
 ``wanted`` candidates over all trees.  That level is a range of each sorted array,
 which the query visits block by block, and every vector of the range is compared by
-its inner product in double precision.  Nothing cuts a range short.
+its inner product in double precision.  Nothing cuts a range short.  The blocks that
+hold the query's own place come first, and their ``k + 1`` best are the floor that a
+vector of the other blocks must reach to be sent on.
 
 ``wanted`` is calibrated for each search: at most ``CALIBRATION`` query rows (least
 hash) are answered exactly in one pass over all vectors, and the least number is
@@ -215,7 +217,8 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, trees: int = TREES,
         known, _ = shared.value
         for batch in batches:
             rows_, blocks, lows, highs = [], [], [], []
-            for i, (tree, string, level) in enumerate(zip(batch.column("tree").to_pylist(), batch.column("hash").to_pylist(), batch.column("level").to_pylist(), strict=True)):
+            own = (batch.column(c).to_pylist() for c in ("tree", "hash", "level"))
+            for i, (tree, string, level) in enumerate(zip(*own, strict=True)):
                 low, high = _range(string, level)
                 names, firsts, lasts = known[tree]
                 for b in names[int(np.searchsorted(lasts, low)) : int(np.searchsorted(firsts, high, side="right"))].tolist():
@@ -225,22 +228,33 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, trees: int = TREES,
                     highs.append(high)
             taken = pa.array(rows_, pa.int64())
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array(blocks, pa.int64()), "id": batch.column("id").take(taken), "dim": batch.column("dim").take(taken), "raw": batch.column("raw").take(taken), "low": pa.array(lows, pa.binary()), "high": pa.array(highs, pa.binary())}
+                {"block": pa.array(blocks, pa.int64()), "home": batch.column("block").take(taken), "id": batch.column("id").take(taken), "dim": batch.column("dim").take(taken), "raw": batch.column("raw").take(taken), "low": pa.array(lows, pa.binary()), "high": pa.array(highs, pa.binary())}
             )
 
-    visited = asked_at.join(chosen, "id").select("id", "tree", "hash", "dim", "raw", "level")
-    visited = stored(visited.mapInArrow(visits, "block long, id long, dim int, raw binary, low binary, high binary"), "visits")
-    chunks = F.broadcast(stored(visited.groupBy("block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("chunks")), "chunks"))  # a row for each block
-    held = arrays.where("side = 0").join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "dim", "raw", F.col("hash").alias("low"), F.lit(None).cast("binary").alias("high"))
-    come = visited.join(chunks, "block").select("block", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "dim", "raw", "low", "high")
-    near = held.unionByName(come).groupBy("block", "chunk").applyInPandas(lambda group: _compared(group, k + 1), "query long, vec_id long, score double")
-    # several trees find one vector with one product
-    near = near.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    visited = asked_at.join(chosen, "id").select("id", "tree", "hash", "dim", "raw", "level", "block")
+    visited = stored(visited.mapInArrow(visits, "block long, home long, id long, dim int, raw binary, low binary, high binary"), "visits")
+
+    def compared(some: DataFrame, name: str) -> DataFrame:
+        """query, vec_id, score of what visits (with ``floor``) find in their blocks."""
+        chunks = F.broadcast(stored(some.groupBy("block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("chunks")), "chunks"))  # a row for each block
+        none = F.lit(None)
+        held = arrays.where("side = 0").join(chunks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "dim", "raw", F.col("hash").alias("low"), none.cast("binary").alias("high"), none.cast("double").alias("floor"))
+        come = some.join(chunks, "block").select("block", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "dim", "raw", "low", "high", "floor")
+        return stored(held.unionByName(come).groupBy("block", "chunk").applyInPandas(lambda group: _compared(group, k + 1), "query long, vec_id long, score double"), name)
+
+    def ranked(found_: DataFrame) -> DataFrame:
+        best = found_.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+
+    first = compared(visited.where("block = home").withColumn("floor", F.lit(float("-inf"))), "first")
+    floors = ranked(first).where(F.col("n") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("floor"))
+    others = visited.where("block <> home").join(stored(floors, "floors"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    near = ranked(first.unionByName(compared(others, "rest")))
     lists = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))  # k + 1 at most
     lists = stored(queries.select("h", "g", "query").join(lists, "query"), "lists")
     out = rows.where("asks").select("vec_id", "h", "g").distinct().join(lists.drop("query"), ["h", "g"])
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
-    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("place", "hit"))
+    listed = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
+    out = out.select(F.col("vec_id").alias("query_id"), F.posexplode(listed).alias("place", "hit"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
@@ -386,14 +400,16 @@ def _compared(group: pd.DataFrame, k: int) -> pd.DataFrame:
     qx = np.stack([_vector(r, dim) for r in q["raw"]])
     lows = np.searchsorted(y_hash, np.array(q["low"].tolist(), kind))
     highs = np.searchsorted(y_hash, np.array(q["high"].tolist(), kind), side="right")
-    names = q["id"].to_numpy()
+    names, floors = q["id"].to_numpy(), q["floor"].to_numpy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(q), 256):
         products = qx[start : start + 256] @ yx.T
         for i in range(start, min(start + 256, len(q))):
             a, b = int(lows[i]), int(highs[i])
-            if a < b:
-                near, scores = _best(products[i - start, a:b], yx[a:b], ids[a:b], qx[i], k)
+            line = products[i - start, a:b]
+            at = np.flatnonzero(line >= floors[i] - 1e-9 * max(1.0, abs(floors[i]))) if np.isfinite(floors[i]) else np.arange(b - a)
+            if len(at):
+                near, scores = _best(line[at], yx[a:b][at], ids[a:b][at], qx[i], k)
                 found.append((np.full(len(near), names[i]), near, scores))
     if not found:
         return _compared(group.iloc[:0], k)
