@@ -86,14 +86,15 @@ class Strategy:
     amount: float | None = None
     unit_length: bool = True
 
-    def vector(self, column: str, seed: int = 0) -> Column:
+    def vector(self, column: str, seed: int = 0, key: Column | None = None) -> Column:
+        """``key`` tells rows apart; without it equal vectors get equal noise."""
         if self.name == "zeros":
-            return F.transform(F.zip_with(gaussian_noise(column, 1.0, seed), column, lambda a, b: a - b), lambda x: x * 1e-6)
+            return F.transform(F.zip_with(gaussian_noise(column, 1.0, seed, key=key), column, lambda a, b: a - b), lambda x: x * 1e-6)
         if self.name == "additive_noise":
-            return normalised(gaussian_noise(column, self.amount or 0.0, seed))
+            return normalised(gaussian_noise(column, self.amount or 0.0, seed, key=key))
         if self.name == "random_embedding":
             zero = F.transform(column, lambda x: x.cast("double") * 0)
-            noise = F.zip_with(gaussian_noise(column, self.amount or 1.0, seed), F.transform(column, lambda x: x.cast("double")), lambda a, b: a - b)
+            noise = F.zip_with(gaussian_noise(column, self.amount or 1.0, seed, key=key), F.transform(column, lambda x: x.cast("double")), lambda a, b: a - b)
             out = F.zip_with(zero, noise, lambda a, b: a + b)
             return normalised(out) if self.unit_length else out
         raise ValueError(f"{self.name} works on words")

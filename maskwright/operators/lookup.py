@@ -76,16 +76,21 @@ def cached_sentences(sentences: DataFrame, cache: DataFrame, words: str = "words
     return own.select(*sentences.columns, F.when(F.col("_hit").isNull(), miss).otherwise(F.col("_hit.value")).alias("value"))
 
 
-def jittered(vec: str, seed: int, scale: float = 1e-6) -> Column:
-    """The zero vector with a little noise, so that it has a direction; other vectors as they are."""
+def jittered(vec: str, seed: int, scale: float = 1e-6, key: Column | None = None) -> Column:
+    """The zero vector with a little noise, by ``key`` if there is one, so that it has a direction; other vectors as they are."""
     doubles = F.transform(vec, lambda x: x.cast("double"))
-    return F.when(norm(vec) == 0, gaussian_noise(vec, scale, seed)).otherwise(doubles)
+    return F.when(norm(vec) == 0, gaussian_noise(vec, scale, seed, key=key)).otherwise(doubles)
 
 
-def padded(rows: DataFrame, words: str = "words") -> DataFrame:
-    """``rows`` with ``n_words`` and ``padded``: empty words behind, up to the longest row's size."""
-    longest = rows.agg(F.max(F.size(words)).alias("_most"))  # one row
-    out = rows.join(F.broadcast(longest)).withColumn("n_words", F.size(words))
+def padded(rows: DataFrame, words: str = "words", batch: str | None = None) -> DataFrame:
+    """``rows`` with ``n_words`` and ``padded``: empty words behind, up to the size of the longest row of its ``batch``.
+
+    Without a ``batch`` column the table is one batch; that is for tables of sentences, since one very long row would make all as long.
+    """
+    sized = rows.withColumn("n_words", F.size(words))
+    keys = [batch] if batch else []
+    longest = sized.groupBy(*keys).agg(F.max("n_words").alias("_most"))
+    out = sized.join(longest, batch) if batch else sized.join(F.broadcast(longest))
     fill = F.array_repeat(F.lit(""), (F.col("_most") - F.col("n_words")).cast("int"))
     return out.withColumn("padded", F.concat(words, fill)).drop("_most")
 

@@ -117,26 +117,41 @@ def noise_report(found: DataFrame, ranks_up_to: tuple[int, ...] = (1, 3, 5, 10),
     )
 
 
-def _uniform(i: Column, h: Column, seed: int) -> Column:
-    """In [0, 1), by place, row and seed."""
-    return F.pmod(F.xxhash64(i, h, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def _uniform(i: Column, key: Column, seed: int) -> Column:
+    """In [0, 1), by place, key and seed: 32 bits of an md5, which SQL can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key, i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def gaussian_noise(a: str, scale: float, seed: int, loc: float = 0.0, clip: float | None = None) -> Column:
-    """A vector with noise on every component; noise differs by component through its place."""
+def _own_key(a: str | Column, key: Column | None) -> Column:
+    """What tells rows apart: ``key``, or the vector itself."""
+    return F.xxhash64(F.col(a) if isinstance(a, str) else a).cast("string") if key is None else key.cast("string")
 
-    def one(x: Column, i: Column, h: Column) -> Column:
-        noise = loc + scale * F.sqrt(-2 * F.log(1 - _uniform(i, h, seed))) * F.cos(2 * np.pi * _uniform(i, h, seed + 1))
+
+def gaussian(i: Column, key: Column, seed: int) -> Column:
+    """A draw of the standard normal distribution."""
+    return F.sqrt(-2 * F.log(1 - _uniform(i, key, seed))) * F.cos(2 * np.pi * _uniform(i, key, seed + 1))
+
+
+def gaussian_noise(a: str, scale: float, seed: int, loc: float = 0.0, clip: float | None = None, key: Column | None = None) -> Column:
+    """A vector with noise on every component; noise differs by component through its place, and by row through ``key``."""
+
+    def one(x: Column, i: Column, k: Column) -> Column:
+        noise = loc + scale * gaussian(i, k, seed)
         if clip is not None:
             noise = F.greatest(F.least(noise, F.lit(clip)), F.lit(-clip))
         return x.cast("double") + noise
 
-    return bound(F.xxhash64(F.col(a)), lambda h: F.transform(a, lambda x, i: one(x, i, h)))
+    return bound(_own_key(a, key), lambda k: F.transform(a, lambda x, i: one(x, i, k)))
+
+
+def multiplied_noise(a: str, scale: float, seed: int, key: Column | None = None) -> Column:
+    """A vector with every component times a draw around 1."""
+    return bound(_own_key(a, key), lambda k: F.transform(a, lambda x, i: x.cast("double") * (1 + scale * gaussian(i, k, seed))))
 
 
-def dropout(a: str, probability: float, seed: int) -> Column:
+def dropout(a: str, probability: float, seed: int, key: Column | None = None) -> Column:
     """A vector with components set to 0 at the given rate."""
-    return bound(F.xxhash64(F.col(a)), lambda h: F.transform(a, lambda x, i: F.when(_uniform(i, h, seed) < probability, 0.0).otherwise(x.cast("double"))))
+    return bound(_own_key(a, key), lambda k: F.transform(a, lambda x, i: F.when(_uniform(i, k, seed) < probability, 0.0).otherwise(x.cast("double"))))
 
 
 def hashed_embedding(word: str) -> list[float]:

@@ -586,17 +586,42 @@ def normalise_vectors(spark, sf_dir):
     return e.select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.round(vectors.norm(vectors.normalised("embedding")), 9).alias("unit"))
 
 
-@query("vector_noise")
+def _draw(seed: int) -> str:
+    """SQL of a normal draw by vec_id and place i."""
+    u = [f"(('0x' || substr(md5(vec_id || '|' || i || '|{s}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)" for s in (seed, seed + 1)]
+    return f"(sqrt(-2 * ln(1 - {u[0]})) * cos(2 * pi() * {u[1]}))"
+
+
+_COMPONENTS = "c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+def _by_component(e: DataFrame, **columns: Column) -> DataFrame:
+    """A row for every component of every vector."""
+    rows = e.select("vec_id", F.posexplode(F.arrays_zip(*(c.alias(name) for name, c in columns.items()))).alias("i", "z"))
+    return rows.select("vec_id", "i", *(F.round(F.col(f"z.{name}"), 7).alias(name) for name in columns))
+
+
+@query(
+    "vector_noise",
+    f"WITH {_COMPONENTS} SELECT vec_id, i::INT AS i, round(x + 0.1 * {_draw(1)}, 7) AS additive, round(x * (1 + 0.3 * {_draw(3)}), 7) AS multiplied, "
+    "CASE WHEN ('0x' || substr(md5(vec_id || '|' || i || '|2'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 THEN 0.0 ELSE round(x, 7) END AS dropped FROM c",
+)
 def vector_noise(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vectors.gaussian_noise("embedding", 0.1, 1).alias("additive"), vectors.dropout("embedding", 0.2, 2).alias("dropped"))
+    e, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    return _by_component(e, additive=vectors.gaussian_noise("embedding", 0.1, 1, key=key), multiplied=vectors.multiplied_noise("embedding", 0.3, 3, key=key), dropped=vectors.dropout("embedding", 0.2, 2, key=key))
 
 
-@query("augment_vectors")
+@query(
+    "augment_vectors",
+    f"WITH {_COMPONENTS}, n AS (SELECT vec_id, i, x + 0.1 * {_draw(0)} AS a, 0.5 * {_draw(0)} AS r, 1e-6 * {_draw(0)} AS z FROM c), "
+    "l AS (SELECT vec_id, sqrt(sum(a * a)) AS la, sqrt(sum(r * r)) AS lr FROM n GROUP BY vec_id) "
+    "SELECT vec_id, i::INT AS i, round(a / la, 7) AS additive_noise, round(r / lr, 7) AS random_embedding, round(z * 1000000, 7) AS zeros FROM n JOIN l USING (vec_id)",
+)
 def augment_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
     strategies = [augment.parse_strategy(s) for s in ("additive_noise-0.1", "random_embedding-0.5-l2", "zeros")]
-    return e.select("vec_id", *(s.vector("embedding").alias(s.name) for s in strategies))
+    made = {s.name: s.vector("embedding", key=F.col("vec_id")) for s in strategies}
+    made["zeros"] = F.transform(made["zeros"], lambda x: x * 1_000_000)
+    return _by_component(table(spark, sf_dir, "embeddings"), **made)
 
 
 # --- augmentation ---------------------------------------------------------------------------------
