@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokenizer import rule_tokens
 from ..operators import augment, evaluation, labels, lookup, sampling, spans, tags, vectors
 from ..schemas import HIPAA_TYPES, PHI_TYPES, label_index
 from ..sources import sinks
@@ -246,6 +247,14 @@ def tokenize_main(spark, sf_dir):
     return _turns(spark, sf_dir).groupBy("conv_id", "turn").agg(F.count("*").alias("n_tokens"), F.sum((~F.col("text").rlike(r"^\s+$")).cast("long")).alias("n_words"), F.max("end").alias("n_chars"))
 
 
+@query("tokenize_rules")
+def tokenize_rules(spark, sf_dir):
+    """Tokens of every turn by prefixes, suffixes, infixes and exceptions."""
+    rows = rule_tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "conv_id", "turn")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\x01")  # a turn's tokens
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_tokens"), F.sum((~F.col("is_space")).cast("long")).alias("n_words"), F.md5(text).alias("tokens"))
+
+
 @query(
     "sentence_split",
     f"WITH {_MAIN_SQL}, s AS (SELECT *, sum(st) OVER (PARTITION BY conv_id, turn ORDER BY ord) AS sid FROM starts), f AS (SELECT * FROM s WHERE NOT regexp_full_match(text, '[\\t\\n\\f\\r ]+')) "
