@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .vectors import gaussian_noise, norm
 
 
@@ -59,6 +60,44 @@ def vector_cache(words: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", "vec")
 
 
+#: Bytes of vectors of frequent words that are broadcast, and the share of all tokens from which on a word is frequent.
+HEAD_BYTES, HEAD_SHARE = 16 << 20, 1e-3
+
+
+def resolved(words: DataFrame, *sources: DataFrame) -> DataFrame:
+    """word, n, vec, source of every distinct word: each is looked up once, however often it occurs."""
+    counted = words.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
+    return word_vectors(counted, *sources)
+
+
+def attached(words: DataFrame, found: DataFrame, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """``words`` with ``vec`` and ``source`` of ``found`` (word, n, vec, source).
+
+    Frequent words, as many as have vectors of ``head_bytes`` together, meet their
+    rows by broadcast where these lie; there are at most 1 / HEAD_SHARE of them.
+    Only the rows of all other words are exchanged, and none of those words is frequent.
+    """
+    total = found.agg(F.sum("n").alias("total"), F.max(F.size("vec")).alias("size")).first()
+    most = max(1, head_bytes // (8 * (total["size"] or 1) + 64))
+    frequent = found.where(F.col("n") > HEAD_SHARE * (total["total"] or 0)).orderBy(F.desc("n"), "word").limit(most)
+    head = stored(frequent.select("word", F.struct("vec", "source").alias("_head")), "head")
+    near = words.join(F.broadcast(head), "word", "left")
+    columns = [F.col(c) for c in words.columns]
+    known = near.where("_head is not null").select(*columns, F.col("_head.vec").alias("vec"), F.col("_head.source").alias("source"))
+    rest = near.where("_head is null").select(*columns).join(found.select("word", "vec", "source"), "word", "left").select(*columns, "vec", "source")
+    return known.unionByName(rest)
+
+
+def save_cache(found: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Write ``found`` (word, vec) as table ``name`` at ``path``, bucketed and sorted by word, so that later joins by word don't exchange it."""
+    found.select("word", "vec").repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word").mode("overwrite").option("path", path).saveAsTable(name)
+
+
+def saved_cache(spark: SparkSession, name: str) -> DataFrame:
+    """(word, vec) of a saved cache."""
+    return spark.table(name)
+
+
 def sentence_matrix(tokens: DataFrame, *sources: DataFrame, sentence: tuple[str, ...] = ("doc_id", "sent_idx"), order: str = "tok_idx") -> DataFrame:
     """A row for each sentence with ``matrix``, its words' vectors in order.  A sentence is what one task can hold."""
     found = word_vectors(tokens, *sources)

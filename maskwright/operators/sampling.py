@@ -138,3 +138,48 @@ def sampled_words(vocab: DataFrame, known: DataFrame, n: int = 1000, salt: str =
 def limited_documents(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Rows of the first ``n`` documents by id; ids are picked before anything is read in full."""
     return rows.join(F.broadcast(rows.select(key).distinct().orderBy(key).limit(n)), key, "left_semi")
+
+
+# --- generators of several streams ----------------------------------------------------------------
+
+
+def with_batch(members: DataFrame, rows: DataFrame, key: str, size: int, epoch: int = 0) -> DataFrame:
+    """``members`` (id and any columns, several rows an id) with ``batch`` and ``place`` of their row in the epoch.
+
+    Joined by id, which is spread evenly, and not by batch.
+    """
+    placed = batches(rows.select(key), key, size, epoch).select(F.col(key).alias("id"), "batch", "place")
+    return members.join(placed, "id")
+
+
+def adversary_batches(rows: DataFrame, key: str, size: int, sentences: DataFrame, alternatives: DataFrame, epoch: int = 0, pairs=real_fake_pairs, **more: DataFrame) -> DataFrame:
+    """``pairs`` (pairs, singles or triples of real and fake) in the batches that an epoch of ``rows`` has; the pick changes with the epoch."""
+    return with_batch(pairs(sentences, alternatives, **more, salt=str(epoch)), rows, key, size, epoch)
+
+
+def combined_batches(rows: DataFrame, key: str, extra: DataFrame, size: int, sentences: DataFrame, alternatives: DataFrame, epoch: int = 0) -> DataFrame:
+    """Both inputs of every batch: rows with their features (``side`` main), and the pairs made of the same rows (``side`` pair).
+
+    batch, place, side, id, left, right, same, and the columns of ``extra`` (key and features); what a side lacks is null.
+    """
+    main = batches_with_features(rows.select(key), key, extra, size, epoch).withColumnRenamed(key, "id").withColumn("side", F.lit("main"))
+    pair = adversary_batches(rows, key, size, sentences, alternatives, epoch).withColumn("side", F.lit("pair"))
+    return main.unionByName(pair, allowMissingColumns=True)
+
+
+def alternating_steps(*streams: DataFrame) -> DataFrame:
+    """Batches of several streams in turn: ``step`` and ``stream`` (from 0); the epoch ends with the shortest stream.
+
+    A row's step follows from its own batch number, so the streams are not joined.  They have the same columns but for those that are null elsewhere.
+    """
+    k = len(streams)
+    lengths = [s.agg((F.coalesce(F.max("batch"), F.lit(-1)) + 1).alias("n")) for s in streams]  # one row each
+    least = lengths[0]
+    for more in lengths[1:]:
+        least = least.unionByName(more)
+    least = least.agg(F.min("n").alias("_least"))
+    out = None
+    for i, stream in enumerate(streams):
+        own = stream.withColumn("stream", F.lit(i)).withColumn("step", F.col("batch") * k + i)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out.join(F.broadcast(least)).where(F.col("batch") < F.col("_least")).drop("_least")

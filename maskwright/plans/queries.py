@@ -775,12 +775,51 @@ def epoch_batches(spark, sf_dir):
     return sampling.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32)
 
 
+_ALTS = "alts AS (SELECT conv_id AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS alt, text FROM conversations)"
+
+
+def _alternatives(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents as sentences, turns of the conversation with the same number as alternatives."""
+    turns = table(spark, sf_dir, "conversations").withColumn("alt", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
+    return _documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), turns.select(F.col("conv_id").alias("id"), "alt", "text")
+
+
+_PICKED = f"c AS (SELECT id, count(*) AS n FROM alts GROUP BY 1), p AS (SELECT d.doc_id AS id, d.text AS re, a.text AS fa FROM documents d JOIN c ON c.id = d.doc_id JOIN alts a ON a.id = c.id AND a.alt = {_PICK.format(chr(39).join(['concat_ws(', '|', ', d.doc_id, ', '0', ')']))} % c.n)"
+
+
 @query("batches_with_features", f"WITH {_ORDERED} SELECT doc_id, n // 32 AS batch, n % 32 AS place, quality FROM o LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)")
 def batches_with_features(spark, sf_dir):
     extra = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return sampling.batches_with_features(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", extra, 32)
 
 
+@query(
+    "combined_batches",
+    f"WITH {_ALTS}, {_PICKED}, {_ORDERED} SELECT doc_id AS id, n // 32 AS batch, n % 32 AS place, 'main' AS side, quality, NULL AS same, NULL AS \"left\", NULL AS \"right\" FROM o LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) "
+    "UNION ALL SELECT id, n // 32, n % 32, 'pair', NULL, same, md5(re), md5(CASE same WHEN 1 THEN re ELSE fa END) FROM o JOIN p ON p.id = o.doc_id, (VALUES (0), (1)) s(same)",
+)
+def combined_batches(spark, sf_dir):
+    """Every document once with its label, and beside it the pairs of its batch, real and fake."""
+    extra = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs, alts = _alternatives(spark, sf_dir)
+    out = sampling.combined_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", extra, 32, docs, alts)
+    return out.select("id", "batch", "place", "side", "quality", "same", F.md5("left").alias("left"), F.md5("right").alias("right"))
+
+
+@query(
+    "alternating_batches",
+    f"WITH {_ALTS}, {_PICKED}, {_ORDERED}, a AS (SELECT doc_id AS id, n // 16 AS batch, NULL AS same FROM o), b AS (SELECT id, n // 32 AS batch, same FROM o JOIN p ON p.id = o.doc_id, (VALUES (0), (1)) s(same)), "
+    "z AS (SELECT least((SELECT max(batch) FROM a), (SELECT max(batch) FROM b)) AS z) SELECT id, batch * 2 AS step, 0 AS stream, same FROM a, z WHERE batch <= z UNION ALL SELECT id, batch * 2 + 1, 1, same FROM b, z WHERE batch <= z",
+)
+def alternating_batches(spark, sf_dir):
+    """Batches of 16 documents and batches of pairs in turn, until one stream ends."""
+    docs, alts = _alternatives(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    main = sampling.batches(rows, "doc_id", 16).withColumnRenamed("doc_id", "id")
+    pairs = sampling.adversary_batches(rows, "doc_id", 32, docs, alts)
+    return sampling.alternating_steps(main, pairs).select("id", "step", "stream", "same")
+
+
 @query("epoch_batches_whole", f"WITH {_ORDERED} SELECT doc_id, n // 32 AS batch, n % 32 AS place FROM o WHERE n < (SELECT count(*) // 32 * 32 FROM o)")
 def epoch_batches_whole(spark, sf_dir):
     return sampling.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 32, keep_tail=False)
@@ -810,18 +849,6 @@ def train_valid_split(spark, sf_dir):
     return sampling.split_train_validation(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.5, 0.2)
 
 
-_ALTS = "alts AS (SELECT conv_id AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS alt, text FROM conversations)"
-
-
-def _alternatives(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents as sentences, turns of the conversation with the same number as alternatives."""
-    turns = table(spark, sf_dir, "conversations").withColumn("alt", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
-    return _documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), turns.select(F.col("conv_id").alias("id"), "alt", "text")
-
-
-_PICKED = f"c AS (SELECT id, count(*) AS n FROM alts GROUP BY 1), p AS (SELECT d.doc_id AS id, d.text AS re, a.text AS fa FROM documents d JOIN c ON c.id = d.doc_id JOIN alts a ON a.id = c.id AND a.alt = {_PICK.format(chr(39).join(['concat_ws(', '|', ', d.doc_id, ', '0', ')']))} % c.n)"
-
-
 @query("pair_real_fake", f"WITH {_ALTS}, {_PICKED} SELECT id, md5(re) AS \"left\", md5(re) AS \"right\", 1 AS same FROM p UNION ALL SELECT id, md5(re), md5(fa), 0 FROM p")
 def pair_real_fake(spark, sf_dir):
     return sampling.real_fake_pairs(*_alternatives(spark, sf_dir)).select("id", F.md5("left").alias("left"), F.md5("right").alias("right"), "same")
