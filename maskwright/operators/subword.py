@@ -5,7 +5,9 @@ bucket by a 32-bit hash of its UTF-8 bytes, and every bucket has a vector.  A wo
 vector is the mean over its n-grams, and over its own vector too if the vocabulary has
 it.  Only distinct words are taken apart, all inside the JVM; n-grams meet their
 vectors by a join on the bucket and are averaged on the way, so neither a frequent
-n-gram nor a very long word is gathered anywhere.
+n-gram nor a very long word is gathered anywhere.  A table of vectors that is measured
+to be small is broadcast: then n-grams are averaged where their word lies, and none is
+exchanged; a large one is joined by exchange of the n-grams.
 
 Defined cases: the null word has no row; the empty word has no n-gram; n-grams whose
 bucket has no vector don't count; a word of which nothing is known has the zero vector;
@@ -23,6 +25,8 @@ from .vectors import normalised
 
 LEAST, MOST = 3, 6
 BUCKETS = 2_000_000
+#: Bytes of n-gram vectors that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 # Offset and prime of the 32-bit hash (FNV-1a).
 _OFFSET, _PRIME = 2166136261, 16777619
 
@@ -60,7 +64,10 @@ def word_vectors(words: DataFrame, grams: DataFrame, known: DataFrame, size: int
     """
     own = words.select("word").where("word is not null").distinct()
     parts = own.select("word", F.explode(ngrams(F.col("word"))).alias("gram")).groupBy("word", "gram").agg(F.count("*").alias("times"))
-    found = parts.withColumn("bucket", bucket(F.col("gram"), buckets)).join(grams.select("bucket", "vec"), "bucket").select("word", "times", "vec")
+    table = grams.where((F.col("bucket") >= 0) & (F.col("bucket") < buckets)).select("bucket", "vec")
+    if table.count() * (8 * size + 16) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    found = parts.withColumn("bucket", bucket(F.col("gram"), buckets)).join(table, "bucket").select("word", "times", "vec")
     whole = own.join(known.select("word", "vec"), "word").select("word", F.lit(1).cast("long").alias("times"), "vec")
     sums = [F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("times")).alias(f"s{i}") for i in range(size)]
     means = found.unionByName(whole).groupBy("word").agg(F.sum("times").alias("n_known"), *sums)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound
 
-#: Vectors that may be broadcast, and pairs above which neighbours are found block by block in numpy.
+#: Queries of one set that is broadcast, about, and pairs above which neighbours are found block by block in numpy.
 BROADCAST_VECTORS, NATIVE_PAIRS = 200_000, 20_000_000
 BLOCK = 4096
 
@@ -59,12 +59,16 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, n: int, metric: str =
     is exchanged.
     """
     count = queries.count()
-    if count > BROADCAST_VECTORS:
-        raise ValueError(f"{count} queries: split them into sets of at most {BROADCAST_VECTORS}")
     if count * vectors.count() <= NATIVE_PAIRS:
         found = similarities(queries, vectors, metric)
     else:
-        found = _by_blocks(queries, vectors, n + (not include_self), metric)
+        # sets of queries of bounded size, by hash; each is compared with all vectors
+        sets = -(-count // BROADCAST_VECTORS)
+        found = None
+        for k in range(sets):
+            own = queries.where(F.pmod(F.xxhash64("id"), F.lit(sets)) == k) if sets > 1 else queries
+            some = _by_blocks(own, vectors, n + (not include_self), metric)
+            found = some if found is None else found.unionByName(some)
     if not include_self:
         found = found.where("query <> id")
     order = F.col("similarity").desc() if metric == "cosine" else F.col("similarity").asc()

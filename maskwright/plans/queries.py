@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tokenizer import rule_tokens
 from ..operators import augment, evaluation, labels, lookup, sampling, spans, tags, vectors
-from ..schemas import HIPAA_TYPES, PHI_TYPES, label_index
+from ..schemas import HIPAA_TYPES, PHI_TYPES, label_index, phi_types
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,16 +432,21 @@ def span_violations(spark, sf_dir):
 _TYPES = "VALUES " + ", ".join(f"('{t}', '{n}', {str(t in HIPAA_TYPES).lower()})" for t, n in PHI_TYPES.items())
 
 
-@query("phi_dictionary", f"SELECT tag_type, tag_name, is_hipaa FROM ({_TYPES}) t(tag_type, tag_name, is_hipaa)")
+@query("phi_dictionary", f"WITH {_SIDES}, n AS (SELECT tag_type, count(*) AS n FROM gold GROUP BY 1), m AS (SELECT tag_type, count(*) AS m FROM sys GROUP BY 1) SELECT tag_type, tag_name, is_hipaa, coalesce(n, 0)::BIGINT AS n_gold, coalesce(m, 0)::BIGINT AS n_system FROM ({_TYPES}) t(tag_type, tag_name, is_hipaa) LEFT JOIN n USING (tag_type) LEFT JOIN m USING (tag_type)")
 def phi_dictionary(spark, sf_dir):
-    from ..schemas import phi_types
-
-    return phi_types(spark)
+    """Every PHI type with the spans that both sides have of it in all documents."""
+    _, gold, system = _both(spark, sf_dir)
+    sides = gold.select("tag_type", F.lit(1).alias("g")).unionByName(system.select("tag_type", F.lit(0).alias("g")))
+    counts = sides.groupBy("tag_type").agg(F.sum("g").alias("n_gold"), F.sum(1 - F.col("g")).alias("n_system"))
+    out = phi_types(spark).join(counts, "tag_type", "left")
+    return out.select("tag_type", "tag_name", "is_hipaa", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_gold", "n_system")))
 
 
-@query("label_index", f"WITH t AS ({_TYPES}), l AS (SELECT b || '-' || col0 AS label FROM t, (VALUES ('B'), ('I')) p(b)) SELECT 0 AS ind, 'O' AS label UNION ALL SELECT 1, 'O' UNION ALL SELECT (row_number() OVER (ORDER BY label) + 1)::INT, label FROM l")
+@query("label_index", f"WITH {_BIO}, t AS ({_TYPES}), l AS (SELECT b || '-' || col0 AS label FROM t, (VALUES ('B'), ('I')) p(b)), i AS (SELECT 0 AS ind, 'O' AS label UNION ALL SELECT 1, 'O' UNION ALL SELECT (row_number() OVER (ORDER BY label) + 1)::INT, label FROM l), n AS (SELECT type, count(*) AS n FROM bio GROUP BY 1) SELECT ind, label, CASE WHEN ind = 0 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_tokens FROM i LEFT JOIN n ON n.type = i.label")
 def label_index_query(spark, sf_dir):
-    return label_index(spark)
+    """Every label with its index and its tokens in all documents; padding has none."""
+    counts = _indexed(spark, sf_dir).groupBy("ind").agg(F.count("*").alias("n"))
+    return label_index(spark).join(counts, "ind", "left").select("ind", "label", F.coalesce("n", F.lit(0)).alias("n_tokens"))
 
 
 @query("relabel_hipaa", f"WITH {_BIO} SELECT type, count(*) AS n FROM (SELECT CASE WHEN type <> 'O' AND substr(type, 3) NOT IN ({_HIPAA_LIST}) THEN 'O' ELSE type END AS type FROM bio) GROUP BY 1")
@@ -638,20 +643,21 @@ def augment_vectors(spark, sf_dir):
 _PICK = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _NEAR = f"{_VEC}, s AS (SELECT q.id AS query, e.id, {_COS} AS c FROM n q, n e WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS rank FROM s), opt AS (SELECT query::VARCHAR AS word, list(id::VARCHAR ORDER BY rank) AS options FROM r WHERE rank <= 3 GROUP BY query)"
 #: Words that are vector ids, as sentences of ten.
-_ID_TOKENS = "tokens AS (SELECT vec_id // 10 AS doc_id, 0 AS sent_idx, (vec_id % 10)::INT AS tok_idx, vec_id::VARCHAR AS text, vec_id % 100 = 0 AS eligible FROM embeddings)"
+_ID_TOKENS = "tokens AS (SELECT vec_id // 10 AS doc_id, 0 AS sent_idx, (vec_id % 10)::INT AS tok_idx, vec_id::VARCHAR AS text, true AS eligible FROM embeddings)"
 
 
 def _id_tokens(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    near = vectors.top_neighbours(*_vectors(spark, sf_dir), 3).withColumn("query", F.col("query").cast("string")).withColumn("id", F.col("id").cast("string"))
+    _, every = _vectors(spark, sf_dir)
+    near = vectors.top_neighbours(every, every, 3).withColumn("query", F.col("query").cast("string")).withColumn("id", F.col("id").cast("string"))
     rows = table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).alias("doc_id"), F.lit(0).alias("sent_idx"), (F.col("vec_id") % 10).cast("int").alias("tok_idx"), F.col("vec_id").cast("string").alias("text"), F.expr(_QUERY_SET).alias("eligible")
+        F.floor(F.col("vec_id") / 10).alias("doc_id"), F.lit(0).alias("sent_idx"), (F.col("vec_id") % 10).cast("int").alias("tok_idx"), F.col("vec_id").cast("string").alias("text"), F.lit(True).alias("eligible")
     )
     return rows, augment.neighbour_words(near, 3)
 
 
 def _pseudonym_sql(keys: str) -> str:
     return (
-        f"WITH {_NEAR}, {_ID_TOKENS}, a AS (SELECT t.*, alt FROM tokens t, range(2) x(alt) WHERE doc_id IN (SELECT doc_id FROM tokens WHERE eligible)) "
+        f"WITH {_NEAR.replace(' WHERE q.id % 100 = 0', '')}, {_ID_TOKENS}, a AS (SELECT t.*, alt FROM tokens t, range(2) x(alt) WHERE doc_id IN (SELECT doc_id FROM tokens WHERE eligible)) "
         f"SELECT doc_id, tok_idx, alt::INT AS alt, a.text, CASE WHEN eligible AND options IS NOT NULL THEN options[({_PICK.format(keys)} % len(options) + 1)::INT] ELSE a.text END AS new_text FROM a LEFT JOIN opt ON opt.word = a.text"
     )
 
@@ -893,53 +899,81 @@ def limited_documents(spark, sf_dir):
 
 # --- clinical tags -----------------------------------------------------------------------------------
 
-_RISK = [
-    (1, "MEDICATION", 10, 17, "before DCT", None, None, "statin", "metformin"),
-    (1, "MEDICATION", 40, 47, "before dct", None, None, "metformin", "statin"),
-    (1, "DIABETES", 60, 70, "continuing", "A1C", None, None, None),
-    (2, "SMOKER", 5, 12, None, None, "past", None, None),
-    (2, "FAMILY_HIST", -1, -1, None, None, None, None, None),
-    (3, "FAMILY_HIST", 3, 9, None, None, None, None, None),
-    (3, "CAD", 30, 44, "after dct", "mentioned", None, None, None),
-    (3, "OBESE", 50, 55, "sometimes", "bmi", None, None, None),
-]
-_RISK_SCHEMA = "doc_id int, tag_name string, start int, end int, time string, indicator string, status string, type1 string, type2 string"
-_lit = lambda v: "NULL" if v is None else repr(v)
-_RISK_SQL = f"risk AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in _RISK)}) t(doc_id, tag_name, \"start\", \"end\", time, indicator, status, type1, type2))"
+#: What numbers in documents stand for: lists that a number's parts pick from.  Some values are not allowed, for the validator to find.
+_RISK_NAMES = list(tags.CLINICAL)
+_RISK_VALUES: dict[str, list[str | None]] = {
+    "time": ["before DCT", "during dct", "After DCT", "continuing", None, "sometimes"],
+    "indicator": ["mention", "A1C", "high bp", None, "present", "bmi", "mentioned"],
+    "status": ["current", "past", None, "Never", "now"],
+    "type1": ["statin", "metformin", "aspirin", None, "Insulin", "water"],
+    "type2": ["metformin", None, "statin"],
+}
 _KEY_SQL = "concat_ws('|', lower(tag_name), lower(coalesce(time, '')), lower(coalesce(indicator, '')), lower(coalesce(status, '')), greatest(lower(coalesce(type1, '')), lower(coalesce(type2, ''))), least(lower(coalesce(type1, '')), lower(coalesce(type2, ''))))"
 
 
-def _risk(spark) -> DataFrame:
-    return spark.createDataFrame(_RISK, _RISK_SCHEMA)
+def _risk_sql() -> str:
+    """Every number of every document as a clinical tag: its last six digits pick name and attributes; numbers of one digit have no place."""
+    lists = {"tag_name": _RISK_NAMES, **_RISK_VALUES}
+    picks, by = [], 1
+    for name, values in lists.items():
+        picks.append(f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][v // {by} % {len(values)} + 1] AS {name}")
+        by *= len(values)
+    return (
+        "risk_raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS m, unnest(list_slice(string_split_regex(text, '[0-9]+'), 1, len(regexp_extract_all(text, '[0-9]+')))) AS g, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS i FROM documents), "
+        "risk_at AS (SELECT *, sum(length(m) + length(g)) OVER (PARTITION BY doc_id ORDER BY i) AS e, right(m, 6)::INT AS v FROM risk_raw), "
+        f"risk AS MATERIALIZED (SELECT doc_id, CASE WHEN length(m) = 1 THEN -1 ELSE e - length(m) END AS \"start\", CASE WHEN length(m) = 1 THEN -1 ELSE e END AS \"end\", {', '.join(picks)} FROM risk_at)"
+    )
+
+
+_RISK_SQL = _risk_sql()
+
+
+def _risk(spark, sf_dir) -> DataFrame:
+    rows = T.with_matches(_documents(spark, sf_dir), "text", "[0-9]+", "doc_id").withColumn("v", F.right("match", F.lit(6)).cast("int"))
+    picks, by = {}, 1
+    for name, values in {"tag_name": _RISK_NAMES, **_RISK_VALUES}.items():
+        picks[name] = F.get(F.array(*(F.lit(v) for v in values)), (F.floor(F.col("v") / by) % len(values)).cast("int"))
+        by *= len(values)
+    alone = F.length("match") == 1
+    return rows.select("doc_id", F.when(alone, -1).otherwise(F.col("start")).alias("start"), F.when(alone, -1).otherwise(F.col("end")).alias("end"), *(c.alias(n) for n, c in picks.items()))
 
 
 @query("doc_level_tags", f"WITH {_RISK_SQL}, k AS (SELECT doc_id, {_KEY_SQL} AS key, count(*) AS n FROM risk GROUP BY 1, 2) SELECT doc_id, key, n, 'DOC' || (row_number() OVER (PARTITION BY doc_id ORDER BY key) - 1) AS id FROM k")
 def doc_level_tags(spark, sf_dir):
-    return tags.document_tags(_risk(spark)).select("doc_id", "key", "n", "id")
+    return tags.document_tags(_risk(spark, sf_dir)).select("doc_id", "key", "n", "id")
 
 
 @query("filter_algebra", f"WITH {_RISK_SQL} SELECT 'any' AS kind, count(*) AS n FROM risk WHERE lower(coalesce(time, '')) = 'before dct' OR lower(tag_name) = 'cad' UNION ALL SELECT 'all', count(*) FROM risk WHERE lower(coalesce(time, '')) = 'before dct' AND lower(tag_name) = 'medication' UNION ALL SELECT 'not any', count(*) FROM risk WHERE NOT (lower(coalesce(time, '')) = 'before dct' OR lower(tag_name) = 'cad')")
 def filter_algebra(spark, sf_dir):
-    rows = _risk(spark)
+    rows = _risk(spark, sf_dir)
     before, cad, drug = (tags.compile_filter(v) for v in ("before DCT", "CAD", "medication"))
     kinds: list[tuple[str, Column]] = [("any", tags.combined([before, cad])), ("all", tags.combined([before, drug], conjunctive=True)), ("not any", tags.combined([before, cad], invert=True))]
-    hits = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in kinds)))
-    return rows.select(F.explode(hits).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    counts = rows.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in kinds))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k, _ in kinds))).alias("z")).select("z.*")
 
 
 @query("family_history", f"WITH {_RISK_SQL} SELECT doc_id, coalesce(indicator, CASE WHEN \"start\" <> -1 AND \"end\" <> -1 THEN 'present' ELSE 'not present' END) AS indicator FROM risk WHERE tag_name = 'FAMILY_HIST'")
 def family_history(spark, sf_dir):
-    return _risk(spark).where("tag_name = 'FAMILY_HIST'").select("doc_id", tags.family_history_default().alias("indicator"))
+    return _risk(spark, sf_dir).where("tag_name = 'FAMILY_HIST'").select("doc_id", tags.family_history_default().alias("indicator"))
+
+
+def _violations_sql() -> str:
+    rules = []
+    for name, spec in tags.CLINICAL.items():
+        for attribute, values in spec.items():
+            for a in ("type1", "type2") if attribute == "type1" else (attribute,):
+                rules.append(f"SELECT doc_id, tag_name, '{a}' AS attribute, {a} AS value FROM risk WHERE tag_name = '{name}' AND {a} IS NOT NULL AND lower({a}) NOT IN ({', '.join(repr(v) for v in values)})")
+    return " UNION ALL ".join(rules)
 
 
-@query("clinical_violations", "SELECT * FROM (VALUES (3, 'CAD', 'indicator', 'mentioned'), (3, 'OBESE', 'time', 'sometimes')) t(doc_id, tag_name, attribute, value)")
+@query("clinical_violations", f"WITH {_RISK_SQL} {_violations_sql()}")
 def clinical_violations(spark, sf_dir):
-    return tags.clinical_violations(_risk(spark))
+    return tags.clinical_violations(_risk(spark, sf_dir))
 
 
 @query("cardiac_risk_eval", f"WITH {_RISK_SQL}, g AS (SELECT DISTINCT doc_id, {_KEY_SQL} AS k FROM risk), s AS (SELECT DISTINCT doc_id, {_KEY_SQL} AS k FROM risk WHERE tag_name <> 'CAD') SELECT g.doc_id, count(s.k) AS tp, 0::BIGINT AS fp, count(*) - count(s.k) AS fn FROM g LEFT JOIN s ON g.doc_id = s.doc_id AND g.k = s.k GROUP BY 1")
 def cardiac_risk_eval(spark, sf_dir):
-    gold = _risk(spark)
+    gold = _risk(spark, sf_dir)
     return tags.cardiac_counts(gold.select("doc_id").distinct(), gold, gold.where("tag_name <> 'CAD'"))
 
 
