@@ -105,6 +105,16 @@ def scorer_sentences(df: DataFrame, text: str, *keep: str, most: int = 256) -> D
     )
 
 
+def scorer_sentence_words(df: DataFrame, text: str, *keep: str, most: int = 256) -> DataFrame:
+    """The sentences of ``scorer_sentences`` as rows: keep, sent_idx, words.  Cut inside the row, so nothing is exchanged."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keep, F.regexp_extract_all(t, F.lit(f"({ALNUM})"), F.lit(1)).alias("m"), F.split(t, ALNUM, -1).alias("g")).where(F.size("m") > 0)
+    starts = F.transform(F.slice("g", F.lit(1), F.size("m")), lambda g, i: F.when((i == 0) | g.rlike(SENTENCE_END) | (i % most == 0), i))
+    rows = rows.select(*keep, "m", F.filter(starts, lambda i: i.isNotNull()).alias("s"))
+    words = F.transform("s", lambda a, k: F.slice("m", a + 1, F.coalesce(F.get("s", k + 1), F.size("m")) - a))
+    return rows.select(*keep, F.posexplode(words).alias("sent_idx", "words"))
+
+
 def rendered(tokens: DataFrame, *keep: str) -> DataFrame:
     """Text rebuilt from scoring tokens."""
     parts = F.array_sort(F.collect_list(F.struct("idx", F.concat("pre_ws", "token").alias("s"), "post_ws")))

@@ -3,7 +3,7 @@
 Sentences are encoded in batches of about equal length, padded to the longest of their
 batch, each distinct sentence once.  The cache is a Parquet table partitioned by a hash
 of the sentence; what it lacks is found by an anti-join, encoded and appended, so a
-second run over the same sentences encodes none.  An encoder is anything that turns
+second run over the same sentences encodes none.  It holds single precision.  An encoder is anything that turns
 padded rows of words and their lengths into an array of (sentence, place, component).
 
 Defined cases: sentences whose words differ only in where spaces lie share an entry; a
@@ -29,9 +29,9 @@ Encoder = Callable[[list[list[str]], list[int]], np.ndarray]
 
 
 def hashed_word(word: str, size: int) -> np.ndarray:
-    """Components from -0.5 to 0.5 by the hexadecimal digits of the word's md5, repeated as often as needed."""
+    """Sixteenths from -0.5 on by the hexadecimal digits of the word's md5, repeated as often as needed."""
     digits = hashlib.md5(word.encode()).hexdigest()
-    return np.array([int(digits[i % 32], 16) / 15 - 0.5 for i in range(size)])
+    return np.array([int(digits[i % 32], 16) / 16 - 0.5 for i in range(size)])
 
 
 @dataclass(frozen=True)
@@ -66,11 +66,11 @@ def encoded(sentences: DataFrame, encode: Encoder, batch: int = BATCH) -> DataFr
                 some = frame.iloc[start : start + batch]
                 rows, lengths = pad([list(w) for w in some["words"]])
                 values = encode(rows, lengths)
-                yield pd.DataFrame({"part": some["part"].to_numpy(), "sentence": some["sentence"].to_numpy(), "matrix": [list(values[i, :n]) for i, n in enumerate(lengths)]})
+                yield pd.DataFrame({"part": some["part"].to_numpy(), "sentence": some["sentence"].to_numpy(), "matrix": [list(values[i, :n].astype(np.float32)) for i, n in enumerate(lengths)]})
 
     # neighbours have about one length, so little of a batch is padding
     dealt = sentences.repartition("part").sortWithinPartitions(F.size("words"), "sentence")
-    return dealt.mapInPandas(run, "part int, sentence string, matrix array<array<double>>")
+    return dealt.mapInPandas(run, "part int, sentence string, matrix array<array<float>>")
 
 
 def _keyed(sentences: DataFrame, words: str) -> DataFrame:
@@ -89,7 +89,7 @@ class SentenceCache:
     def table(self, spark: SparkSession) -> DataFrame | None:
         """part, sentence, matrix; None before anything was encoded."""
         try:
-            return spark.read.schema("sentence string, matrix array<array<double>>, part int").parquet(self.path)
+            return spark.read.schema("sentence string, matrix array<array<float>>, part int").parquet(self.path)
         except AnalysisException:
             return None
 
@@ -113,8 +113,8 @@ class SentenceCache:
         hit = cache.select(F.col("part").alias("_part"), F.col("sentence").alias("_sentence"), F.struct("matrix").alias("_hit"))
         own = _keyed(sentences, words)
         found = own.join(hit, (F.col("part") == F.col("_part")) & (F.col("sentence") == F.col("_sentence")), "left")
-        miss = F.raise_error(F.concat(F.lit("not in the cache: "), F.col("sentence"))).cast("array<array<double>>")
-        empty = F.array().cast("array<array<double>>")
+        miss = F.raise_error(F.concat(F.lit("not in the cache: "), F.col("sentence"))).cast("array<array<float>>")
+        empty = F.array().cast("array<array<float>>")
         return found.select(*sentences.columns, F.when(F.size(words) == 0, empty).when(F.col("_hit").isNull() & F.col(words).isNotNull(), miss).otherwise(F.col("_hit.matrix")).alias("matrix"))
 
     def lookup_word(self, word: str | Column) -> DataFrame:

@@ -75,6 +75,12 @@ def test_sentences_of_scoring_tokens(spark):
     assert [(s, t) for _, s, t, _, _ in first] == [(0, "One"), (0, "two"), (1, "Three"), (2, "four"), (2, "3"), (2, "5"), (2, "end"), (2, "x")]
     assert all(texts[0][1][a:b] == t for _, _, t, a, b in first)
     assert {r["doc_id"] for r in got} == {1, 5} and max(r["sent_idx"] for r in got) == 2
+    # the same sentences cut inside the row
+    rows = T.scorer_sentence_words(spark.createDataFrame(texts[:5], "doc_id int, text string"), "text", "doc_id").collect()
+    want = {}
+    for r in sorted((r for r in got if r["doc_id"] == 1 or r["token"] == "w"), key=lambda r: r["tok_idx"]):
+        want.setdefault((r["doc_id"], r["sent_idx"]), []).append(r["token"])
+    assert {(r["doc_id"], r["sent_idx"]): r["words"] for r in rows} == want
 
 
 # --- tagger ---------------------------------------------------------------------------------------
