@@ -392,6 +392,20 @@ def test_configurations_pack_most_sequences(times):
     assert found["by_configurations"] >= 0.9 * found["sequences"] and 0 <= found["gap"] <= 1 + 0.002 * found["bound"]
 
 
+@pytest.fixture(scope="module")
+def lengths(spark):
+    """How many pieces of each length the given documents have."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).groupBy("length").count().collect()
+    return np.bincount([r["length"] for r in rows], [r["count"] for r in rows], minlength=2049).astype(np.int64)
+
+
+@pytest.mark.parametrize("times", [1, 10, 30, 300])
+def test_configurations_at_every_size(lengths, times):
+    """On the lengths of the given documents, and as many times more, sequences stay those of the configuration program."""
+    found = packing.solved(lengths * times)
+    assert found["by_configurations"] >= 0.9 * found["sequences"] and 0 <= found["gap"] <= 1 + 0.0001 * found["bound"]
+
+
 def test_packing(spark, documents, odd):
     for table, capacity in ((documents, 512), (odd, 2048)):
         rows = packing.pack(table, capacity=capacity).collect()
