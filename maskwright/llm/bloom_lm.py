@@ -6,12 +6,23 @@ and kept in Bloom filters: a key with level q is present as (key, 1) .. (key, q)
 A filter answers a count by probing levels upwards until one is absent, so an
 error only ever raises a count.  Probabilities are smoothed towards the unigram:
 
-    P(w | h) = (low(h w) + MU * P(w)) / (high(h) + MU),   P(w) = (low(w) + 1) / (N + V + 1)
+    P(w | h) = (real(h, w) * low(h w) + MU * P(w)) / ((1 + d) high(h) + (1 + d)^2 F(h) + MU)
+    P(w) = (low(w) + 1) / ((1 + d) N + V + 1)
 
-where low and high are the least and the greatest count of a level.  So, for every
-history h, the probabilities of all words add up to at most 1 as far as the filter
-tells counts truly.  What it tells wrongly (one absent bigram in about 60 is taken for
-one seen once) comes on top, as in any model of this kind.
+where low and high are the least and the greatest count of a level.  Without errors of the
+filter real = 1, d = F = 0, and for every history h the probabilities of all words add up to
+at most 1.  The filter does err, and among V words even a rare error is many, so what it
+tells is weighed by how often it errs, which is measured from the bits that are set:
+
+* e, the share of absent keys that it takes for seen; d, the share by which it raises counts
+  on average, since each further level is told wrongly as often as an absent key of that level;
+* real(h, w) = prior / (prior + (1 - prior) e), the chance that a bigram it has was seen
+  indeed, with prior = min(1, LIFT * high(h) * P(w));
+* F(h) = e * (sum of real(h, w) over all words), what words never seen after h may bring in,
+  exact from the number of words of each level.
+
+So the probabilities add up to at most 1 through the filter as it is, however large V is; a
+test adds them up.  LIFT shifts belief between rare and frequent words and leaves the sum alone.
 
 Every worker loads the filters from the shared folder, so they pass through no
 driver.  Their size grows with the number of distinct n-grams;
@@ -52,13 +63,15 @@ from pyspark.sql import functions as F
 from .common import WordHashes, ascii_words, bounded_batches, delete_path, give_back, in_portions, mix, remainder, stored, texts_of, worker_memory
 
 END = b""  # no word is empty
-MU = 300.0
-#: Bits for each level of a key, probes for each level, and the most bytes of one filter.
-BITS_PER_LEVEL, PROBES, FILTER_BYTES = 9, 4, 128 << 20
+MU = 600.0
+#: Bits for each level of a key, probes for the first level and for each further one, and the most bytes of one filter.
+BITS_PER_LEVEL, FIRST_PROBES, PROBES, FILTER_BYTES = 14, 9, 4, 128 << 20
+#: How many times more probable than by chance a pair of words is before the filter is asked.
+LIFT = 100.0
 #: Exact counts that every worker holds, 16 bytes each.
 HEAD_WORDS = 6_000_000
 #: Bigram keys a counting task merges before it hands them on; words a task remembers at once; characters handled at once.
-MERGE, WORDS, PORTION = 2_000_000, 300_000, 2_000_000
+MERGE, WORDS, PORTION = 2_000_000, 300_000, 1_000_000
 RANGES = 1024
 _U = np.uint64
 _STEP, _LOW, _ALL = 0xD1B54A32D192ED03, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
@@ -127,11 +140,31 @@ def greatest_count(levels: np.ndarray) -> np.ndarray:
 _LOW_OF, _HIGH_OF = least_count(np.arange(64)), greatest_count(np.arange(64))
 
 
-def probabilities(bigram: np.ndarray, history: np.ndarray, word: np.ndarray, n_all: int, n_words: int) -> np.ndarray:
-    """P(w | h) from the levels of h w, h and w."""
-    smoothed = (_LOW_OF[word] + 1) / (n_all + n_words + 1)
-    # a bigram cannot have been seen more often than its history
-    return (np.minimum(_LOW_OF[bigram], _HIGH_OF[history]) + MU * smoothed) / (_HIGH_OF[history] + MU)
+class Belief:
+    """What the levels that a filter tells are worth: tables by the levels of history and word.
+
+    ``by_level`` is the number of words of each level, ``false_first`` and ``false_more`` the
+    filter's error at the first and at each further level.
+    """
+
+    def __init__(self, n_all: int, by_level: dict[int, int], false_first: float, false_more: float):
+        raised = 1 + false_more / (1 - 2 * min(false_more, 0.4))  # false levels double what they add each time
+        self.smoothed = (_LOW_OF + 1) / (raised * n_all + sum(by_level.values()) + 1)
+        prior = np.minimum(1.0, LIFT * _HIGH_OF[:, None] * self.smoothed[None, :])
+        self.real = prior / np.maximum(prior + (1 - prior) * false_first, 1e-300)
+        words = np.array([by_level.get(q, 0) for q in range(len(_LOW_OF))], float)
+        self.divisor = raised * _HIGH_OF + raised**2 * false_first * (self.real @ words) + MU
+        self.divisor[0] = MU  # after a word never seen no bigram counts
+
+    def probabilities(self, bigram: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """P(w | h) from the levels of h w, h and w."""
+        # a bigram cannot have been seen more often than its history
+        seen = np.minimum(_LOW_OF[bigram], _HIGH_OF[history]) * self.real[history, word]
+        return (seen + MU * self.smoothed[word]) / self.divisor[history]
+
+
+def probes(q: int) -> int:
+    return FIRST_PROBES if q == 1 else PROBES
 
 
 class LogBloom:
@@ -146,7 +179,7 @@ class LogBloom:
         """Places of (key, q) within the key's range, one array for each probe."""
         a = mix(keys + _U(q * _STEP & _ALL))
         low, turn = a & _U(_LOW), (a >> _U(32)) | _U(1)
-        for j in range(PROBES):
+        for j in range(probes(q)):
             yield (((low + _U(j) * turn) & _U(_LOW)) * _U(range_bits)) >> _U(32)
 
     @staticmethod
@@ -174,7 +207,7 @@ class LogBloom:
             q += 1
             a = mix(keys[open_] + _U(q * _STEP & _ALL))
             low, turn, start = a & _U(_LOW), (a >> _U(32)) | _U(1), base[open_]
-            for j in range(PROBES):  # a key that misses is not probed again
+            for j in range(probes(q)):  # a key that misses is not probed again
                 at = (((low + _U(j) * turn) & _U(_LOW)) * _U(range_bytes * 8)) >> _U(32)
                 hit = ((flat[start + (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)
                 if not hit.all():
@@ -240,12 +273,13 @@ def summed(table: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """(word, n) of all tokens, and sizes: N, V, and the levels of distinct bigrams as estimated from a fixed share of the key space."""
     table = stored(table.where("kind <> 'p'").groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
     words = table.where("kind = 'w'").select("word", "n")
-    levels = F.floor(F.log2("n")) + 1
+    levels = F.length(F.bin("n")).cast("long")
     size = table.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(levels).alias("levels")).collect()
     by = {r["kind"]: r for r in size}
     if "w" not in by:
-        return words, {"N": 0, "V": 0, "levels": 0}
-    return words, {"N": by["w"]["n"], "V": by["w"]["v"], "levels": int(by["w"]["levels"] + (by["b"]["levels"] * SHARE if "b" in by else 0))}
+        return words, {"N": 0, "V": 0, "levels": 0, "by_level": {}}
+    by_level = {r["q"]: r["v"] for r in words.groupBy(levels.alias("q")).agg(F.count("*").alias("v")).collect()}  # 63 rows at most
+    return words, {"N": by["w"]["n"], "V": by["w"]["v"], "levels": int(by["w"]["levels"] + (by["b"]["levels"] * SHARE if "b" in by else 0)), "by_level": by_level}
 
 
 def _tallied(kind: str, **columns) -> pa.RecordBatch:
@@ -307,7 +341,9 @@ def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
         for r in sorted(held):
             own = held.pop(r)
             keys, counts = _summed(np.frombuffer(b"".join(k for k, _ in own), _U), np.frombuffer(b"".join(n for _, n in own), "<u8").astype(np.int64))
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": pa.array([LogBloom.fill(keys, level(counts), range_bytes)], pa.binary())})
+            bits = LogBloom.fill(keys, level(counts), range_bytes)
+            full = float(np.unpackbits(np.frombuffer(bits, np.uint8)).mean())
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": pa.array([bits], pa.binary()), "full": pa.array([full], pa.float64())})
 
     kind = "range int, keys binary, counts binary"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments * 16)
@@ -316,8 +352,10 @@ def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
         pairs = pairs.mapInArrow(finer, kind)
     # keys are hashes, so ranges are even; one row for each task and range
     dealt = pairs.unionByName(words.mapInArrow(unigrams, kind)).repartition(parts, "range")
-    table = stored(dealt.mapInArrow(fill, "range int, bits binary").withColumn("segment", F.floor(F.col("range") / RANGES).cast("int")), "filter")
-    return {"path": table.inputFiles(), "ranges": ranges, "range_bytes": range_bytes, "segments": segments}
+    table = stored(dealt.mapInArrow(fill, "range int, bits binary, full double").withColumn("segment", F.floor(F.col("range") / RANGES).cast("int")), "filter")
+    # ranges without a key have no row and err never
+    errors = table.agg(*(F.coalesce(F.sum(F.pow("full", F.lit(k))), F.lit(0.0)) / ranges for k in (FIRST_PROBES, PROBES))).first()
+    return {"path": table.inputFiles(), "ranges": ranges, "range_bytes": range_bytes, "segments": segments, "errors": tuple(errors)}
 
 
 def _load_filter(files: tuple[str, ...], segment: int, ranges: int, range_bytes: int) -> LogBloom:
@@ -440,6 +478,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     n_all, n_words, shape = model["N"], model["V"], model["filter"]
     files, head_files, segments = tuple(sorted(shape["path"])), model["head"], shape["segments"]
     ranges, range_bytes, whole = shape["ranges"], shape["range_bytes"], model["least"] <= 1
+    belief = Belief(n_all, model["by_level"], *shape["errors"])
     total = math.log10(n_all + n_words + 1)
 
     def known(at: int) -> Known:
@@ -490,7 +529,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                     context = np.empty(len(lu), np.uint8)
                     context[1:] = lu[:-1]
                     context[ends - sizes] = lu[ends[0] - 1] if n else 0  # the end before the first word
-                    p = probabilities(lb, context, lu, n_all, n_words)
+                    p = belief.probabilities(lb, context, lu)
                     out["score"] += np.bincount(owner, np.log10(p), n).tolist()
                     c, inside = memory.counts[token], memory.counts[token] > 0
                     inside |= whole

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from maskwright.llm import bloom_lm, components, decontamination, langid, multi_index, packing, parity_join, quality, secret_scan, token_files, toxicity
@@ -558,21 +559,56 @@ def brute_lm(rows, keep):
     return {i: (len(ws), sum(uni[w] > 0 for w in ws), base[i]) for i, ws in words.items()}, total
 
 
-def test_probabilities_add_up_to_one_at_most():
-    """For every history, over all words, with the levels that a filter without errors gives."""
-    rng = random.Random(6)
-    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=rng.randint(0, 80))) for _ in range(120)]
+def counted(texts):
     words = [[*words_of(t), None] for t in texts]
     uni = Counter(w for ws in words for w in ws)
     bi = Counter((h, w) for ws in words for h, w in zip([None, *ws], ws, strict=False))
-    level = lambda c: bloom_lm.level(np.array(c)) * (np.array(c) > 0)
-    vocabulary = list(uni)
-    lw = level([uni[w] for w in vocabulary])
+    return words, uni, bi
+
+
+def levels_of(counts):
+    counts = np.array(counts)
+    return bloom_lm.level(counts) * (counts > 0)
+
+
+def test_probabilities_add_up_to_one_at_most():
+    """For every history, over all words and an unknown one, with the levels that a filter without errors gives."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=rng.randint(0, 80))) for _ in range(120)]
+    _, uni, bi = counted(texts)
+    vocabulary = [*uni, "never seen"]
+    lw = levels_of([uni[w] for w in vocabulary])
+    belief = bloom_lm.Belief(sum(uni.values()), Counter(lw[:-1].tolist()), 0.0, 0.0)
     for h in vocabulary:
-        p = bloom_lm.probabilities(level([bi[h, w] for w in vocabulary]), np.full(len(vocabulary), level([uni[h]])[0]), lw, sum(uni.values()), len(uni))
+        p = belief.probabilities(levels_of([bi[h, w] for w in vocabulary]), np.full(len(vocabulary), levels_of([uni[h]])[0]), lw)
         assert (p > 0).all() and p.sum() <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_probabilities_add_up_through_the_filter(spark, size):
+    """Sums over the whole vocabulary with what the filter says, false hits included; V grows eightfold between the sizes."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    model = bloom_lm.train(docs)
+    shape = model["filter"]
+    told = bloom_lm._load_filter(tuple(shape["path"]), 0, shape["ranges"], shape["range_bytes"])
+    words = [(r["word"].encode(), r["n"]) for r in model["words"].orderBy(F.desc("n"), "word").collect()]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w, _ in words], np.uint64)
+    levels = told(bloom_lm.unigram_key(hashes))
+    belief = bloom_lm.Belief(model["N"], model["by_level"], *shape["errors"])
+    n = np.array([c for _, c in words])
+    some = np.r_[np.arange(10), np.flatnonzero((n > 5) & (n < 40))[:15], np.flatnonzero(n == 1)[:60]]
+    false = []
+    for h in some:
+        pairs = bloom_lm.bigram_keys(np.stack([hashes, np.full(len(hashes), hashes[h])], 1).reshape(-1), np.full(len(hashes), 2))[::2]  # a text's first token follows its last
+        hits = told(pairs)
+        p = belief.probabilities(hits, np.full(len(hashes), levels[h]), levels)
+        assert (p > 0).all() and 0.3 < p.sum() <= 1.001
+        if n[h] == 1:
+            assert (hits > 0).sum() >= 1  # a word seen once has one follower
+            false.append(((hits > 0).sum() - 1) / len(hits))
+    assert np.mean(false) == pytest.approx(shape["errors"][0], rel=0.25)  # the error is what it is said to be
+
+
 def test_counts_beyond_32_bits():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5, dtype=np.uint64))
     row = bloom_lm._blobs(keys, np.full(5, (1 << 33) + 7), 1).to_pylist()[0]
@@ -594,6 +630,17 @@ def test_language_model(spark, documents, monkeypatch, small):
     for r in got:
         n, known, base = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"]) == (n, known) and r["base_score"] == pytest.approx(base) and r["score"] < 0
+    # the same formula on exact counts: the filter's errors move a text's mean by little
+    words, uni, bi = counted([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    belief = bloom_lm.Belief(total, Counter(levels_of(list(uni.values())).tolist()), *model["filter"]["errors"])
+    exact = {}
+    for i, t in rows:
+        ws = [*words_of(t), None]
+        before = [None, *ws[:-1]]
+        p = belief.probabilities(levels_of([bi[x] for x in zip(before, ws, strict=True)]), levels_of([uni[h] for h in before]), levels_of([uni[w] for w in ws]))
+        exact[i] = np.log10(p).sum()
+    off = np.array([(r["score"] - exact[r["doc_id"]]) / r["n_tokens"] for r in got])
+    assert np.abs(off).max() < 0.2 and abs(off.mean()) < 0.02
 
 
 def test_language_model_edges(spark, odd):
