@@ -70,3 +70,19 @@ def test_portions_hold_long_texts_alone(monkeypatch):
     monkeypatch.setattr(segments, "PORTION", 5)
     cut = [(a, b, bytes(d)) for a, b, d, _ in segments.portions(pa.array(["ab", "c", None, "d" * 9, "ef"]).slice(1))]
     assert cut == [(0, 2, b"c"), (2, 3, b"d" * 9), (3, 4, b"ef")]
+
+
+def test_tagger_keeps_labels_and_features_of_whole_sentences(spark):
+    import numpy as np
+
+    from maskwright.operators import tagger
+
+    docs = spark.createDataFrame([(1, "Ab 12. cd!\nEf"), (2, "x")], "doc_id int, text string")
+    tokens = T.scorer_sentences(docs, "text", "doc_id").withColumnRenamed("token", "text").selectExpr("*", "'O' AS type")
+    cut = T.scorer_sentence_words(docs, "text", "doc_id", lists={"places": "idx", "words": "token", "before": "pre_ws", "after": "post_ws"})
+    rows = tagger.featured_rows(cut.selectExpr("*", "transform(words, w -> 'O') AS labels"))
+    want = tagger.featured(tokens)
+    assert sorted(map(str, rows.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    model = tagger.Tagger(["O", "B"], 18, np.zeros((1 << 18, 2)), np.zeros((2, 2)))
+    got = tagger.tagged(rows, model, "type").select("doc_id", "sent_idx", "tok_idx", "type", "predicted").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, "O", "O"), (1, 0, 1, "O", "O"), (1, 1, 2, "O", "O"), (1, 2, 3, "O", "O"), (2, 0, 0, "O", "O")]
