@@ -26,10 +26,10 @@ test adds them up.  LIFT shifts belief between rare and frequent words and leave
 
 Every worker loads the filters from the shared folder, so they pass through no
 driver.  Their size grows with the number of distinct n-grams;
-one filter never exceeds ``FILTER_BYTES``: beyond that the keys are split by
-their hash into as many *segments* as are needed, and documents are scored once
-for each segment, each pass adding the terms whose key is in it - the same
-sum, with bounded memory.
+one segment never exceeds ``FILTER_BYTES``.  Beyond one the texts are still passed once:
+each portion of them sends the keys of its bigrams, with the levels of their words, to the
+tasks that hold the keys' ranges, a few MB each, and gets sums by text back.  Levels of words
+then come from a filter of words alone, which has fewer bits a level beyond ``FILTER_BYTES``.
 
 Words and bigrams are counted in one pass: each task merges what it counts (up to
 ``MERGE`` bigram keys and ``WORDS`` words at a time) and writes it to the shared folder;
@@ -49,18 +49,18 @@ each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, bounded_batches, delete_path, give_back, in_portions, mix, remainder, stored, texts_of, worker_memory
+from .common import bounded_batches, delete_path, give_back, in_portions, mix, release, remainder, scratch_path, stored, texts_of, worker_memory
 
 END = b""  # no word is empty
 MU = 600.0
@@ -70,10 +70,13 @@ BITS_PER_LEVEL, FIRST_PROBES, PROBES, FILTER_BYTES = 14, 9, 4, 128 << 20
 LIFT = 100.0
 #: Exact counts that every worker holds, 16 bytes each.
 HEAD_WORDS = 6_000_000
-#: Bigram keys a counting task merges before it hands them on; words a task remembers at once; characters handled at once.
-MERGE, WORDS, PORTION = 2_000_000, 300_000, 1_000_000
+#: Bigram keys a counting task merges before it hands them on; words a counting task holds at once; bytes of text handled at once.
+MERGE, WORDS, PORTION = 2_000_000, 300_000, 2_000_000
 RANGES = 1024
 _U = np.uint64
+_BIT = (1 << np.arange(8)).astype(np.uint8)
+#: Keys that are probed at once: what is worked out for them stays near the processor.
+PROBED = 8192
 _STEP, _LOW, _ALL = 0xD1B54A32D192ED03, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 #: Bytes of a row group of what is tallied: a task holds one in memory while it writes.
 TALLY_GROUP = 16 << 20
@@ -81,31 +84,95 @@ TALLY_GROUP = 16 << 20
 SHARE = 1024
 
 
-def tokens_of(text: str) -> list[bytes]:
-    words = ascii_words(text)
-    words.append(END)
-    return words
-
-
-class Vocabulary(dict):
-    """word -> its place among the words seen, for up to ``WORDS`` words, with their hashes in ``hashes``."""
-
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = []
-        self.hashes = np.zeros(0, _U)
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self.words)
-        self.words.append(word)
-        return place
-
-    def places(self, split: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
-        """Places of all tokens, one text after the other; ``hashes`` grows by the new words."""
-        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        new = self.words[len(self.hashes) :]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), _U, len(new))])
-        return at
+_P1, _P2, _P3, _P4, _P5 = (_U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_END_HASH = _U(xxhash.xxh64_intdigest(END))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << _U(by)) | (x >> _U(64 - by))
+
+
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """xxh64 of each of the words ``data[s:e]``, all words of one length at once; those of 32 bytes or more one by one."""
+    out = np.empty(len(s), _U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight, four = (np.ndarray((len(data) + 1,), t, padded, strides=(1,)) for t in ("<u8", "<u4"))
+    sizes = np.minimum(e - s, 32).astype(np.uint8)
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(sizes, minlength=33))])
+    for n in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[n] : cuts[n + 1]]
+        if n == 32:
+            out[own] = [xxhash.xxh64_intdigest(data[a:b].tobytes()) for a, b in zip(s[own].tolist(), e[own].tolist(), strict=True)]
+            continue
+        at = s[own]
+        h = np.full(len(own), _P5 + _U(n))
+        for k in range(0, n - 7, 8):
+            h ^= _turned(eight[at + k] * _P2, 31) * _P1
+            h = _turned(h, 27) * _P1 + _P4
+        if n & 4:
+            h ^= four[at + (n & 24)].astype(_U) * _P1
+            h = _turned(h, 23) * _P2 + _P3
+        for k in range(n & 28, n):
+            h ^= padded[at + k].astype(_U) * _P5
+            h = _turned(h, 11) * _P1
+        h ^= h >> _U(33)
+        h *= _P2
+        h ^= h >> _U(29)
+        h *= _P3
+        out[own] = h ^ (h >> _U(32))
+    return out
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array without nulls and where each string begins, and the last ends."""
+    strings = strings.cast(pa.large_string())
+    bounds = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def hashes_of(strings: pa.Array) -> np.ndarray:
+    """xxh64 of every string."""
+    data, bounds = _bytes_of(strings)
+    return word_hashes(data, bounds[:-1], bounds[1:])
+
+
+class Tokens:
+    """The tokens of some texts, one text after the other: ``sizes`` by text, ``hashes``, and where they lie in ``data``."""
+
+    def __init__(self, texts: pa.Array):
+        data, bounds = _bytes_of(texts)
+        self.data = _LOWER[data]
+        inside = ~_SPACE[data]
+        opens, closes = inside.copy(), inside.copy()
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        full = bounds[1:] > bounds[:-1]
+        for marks, at in ((opens, bounds[:-1][full]), (closes, bounds[1:][full] - 1)):
+            marks[at] = inside[at]
+        s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.sizes = np.diff(np.searchsorted(s, bounds)) + 1
+        self.last = np.cumsum(self.sizes) - 1  # the end of each text
+        word = np.ones(len(s) + len(self.sizes), bool)
+        word[self.last] = False
+        self.hashes = np.full(len(word), _END_HASH)
+        self.hashes[word] = word_hashes(self.data, s, e)
+        self.s, self.e = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        self.s[word], self.e[word] = s, e
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def words(self, at: np.ndarray) -> pa.Array:
+        """Tokens ``at`` as strings."""
+        sizes = self.e[at] - self.s[at]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.s[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(self.data[place])]).cast(pa.string())
 
 
 def bigram_keys(uni: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -197,35 +264,41 @@ class LogBloom:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key, 0 where absent."""
-        range_bytes = self.bits.shape[1]
-        flat = self.bits.reshape(-1)
         out = np.zeros(len(keys), np.uint8)
+        for lo in range(0, len(keys), PROBED):
+            self._levels(keys[lo : lo + PROBED], out[lo : lo + PROBED])
+        return out
+
+    def _levels(self, keys: np.ndarray, out: np.ndarray) -> None:
+        range_bytes = self.bits.shape[1]
+        flat, wide = self.bits.reshape(-1), _U(range_bytes * 8)
         open_ = np.arange(len(keys))
         base = ((self.range_of(keys, self.ranges) - _U(self.first)) * _U(range_bytes)).astype(np.int64)
         q = 0
         while len(open_):
             q += 1
-            a = mix(keys[open_] + _U(q * _STEP & _ALL))
-            low, turn, start = a & _U(_LOW), (a >> _U(32)) | _U(1), base[open_]
+            a = mix(keys + _U(q * _STEP & _ALL))
+            low, turn = a.astype(np.uint32), (a >> _U(32)).astype(np.uint32) | np.uint32(1)
             for j in range(probes(q)):  # a key that misses is not probed again
-                at = (((low + _U(j) * turn) & _U(_LOW)) * _U(range_bytes * 8)) >> _U(32)
-                hit = ((flat[start + (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)
+                if j:
+                    low += turn  # modulo 2^32
+                at = (low * wide) >> _U(32)
+                hit = (flat[base + (at >> _U(3)).astype(np.int64)] & _BIT[at & _U(7)]) != 0
                 if not hit.all():
-                    low, turn, start, open_ = low[hit], turn[hit], start[hit], open_[hit]
+                    low, turn, base, open_, keys = low[hit], turn[hit], base[hit], open_[hit], keys[hit]
             out[open_] = q
-        return out
+
+
+def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between neighbouring ``cuts``, fewer than 2^31 in all."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Ascending keys as one row for each range: range, keys, counts."""
     at = LogBloom.range_of(keys, ranges).astype(np.int64)
     cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
-    offsets = pa.py_buffer((cuts * 8).astype(np.int32))  # MERGE keys at most, so below 2^31 bytes
-
-    def cut(values: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values, "<u8"))])
-
-    return pa.RecordBatch.from_pydict({"range": at[cuts[:-1]].astype(np.int32), "keys": cut(keys), "counts": cut(counts)})
+    return pa.RecordBatch.from_pydict({"range": at[cuts[:-1]].astype(np.int32), "keys": _cut(keys, cuts), "counts": _cut(counts.astype("<u8"), cuts)})
 
 
 _TALLY = "kind string, word string, n long, range int, keys binary, counts binary"
@@ -237,20 +310,23 @@ def tally(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory("tally", dict)  # an earlier model goes
-        vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        words: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        size = distinct = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in in_portions(map(len, texts), PORTION):
-                split = [tokens_of(t) for t in texts[lo:hi]]
-                sizes = np.array([len(s) for s in split])
-                at = vocabulary.places(split, sizes)
-                del split
-                n = np.bincount(at, minlength=len(vocabulary.words))
-                n[: len(seen)] += seen
-                seen = n
-                held.append(np.unique(bigram_keys(vocabulary.hashes[at], sizes), return_counts=True))
+            texts = batch.column("text")
+            for lo, hi in in_portions(_sizes(texts), PORTION):
+                tokens = Tokens(texts.slice(lo, hi - lo))
+                h, first, n = np.unique(tokens.hashes, return_index=True, return_counts=True)
+                words.append((h, n, tokens.words(first)))
+                distinct += len(h)
+                if distinct > WORDS:
+                    words = [_merged_words(words)]
+                    distinct = len(words[0][0])
+                if distinct > WORDS // 2:
+                    yield from _words(words)
+                    distinct = 0
+                held.append(np.unique(bigram_keys(tokens.hashes, tokens.sizes), return_counts=True))
                 size += len(held[-1][0])
                 if size > MERGE:
                     held = [_merged(held)]
@@ -258,10 +334,8 @@ def tally(docs: DataFrame) -> DataFrame:
                 if size > MERGE // 2:
                     yield from _pairs(held)
                     size = 0
-                if len(seen) > WORDS:
-                    yield from _words(vocabulary.words, seen)
-                    vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
-        yield from _words(vocabulary.words, seen)
+        if distinct:
+            yield from _words(words)
         if size:
             yield from _pairs(held)
         give_back()
@@ -289,9 +363,23 @@ def _tallied(kind: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.string())} | {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()})
 
 
-def _words(words: list[bytes], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(words), 20_000):
-        yield _tallied("w", word=pa.array(words[lo : lo + 20_000], pa.binary()).cast(pa.string()), n=pa.array(n[lo : lo + 20_000], pa.int64()))
+def _sizes(texts: pa.Array) -> list[int]:
+    return np.diff(_bytes_of(texts)[1]).tolist()
+
+
+def _merged_words(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All of ``held`` as one, each word once."""
+    h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    order = np.argsort(h)
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    return h[order][first], np.add.reduceat(n[order], first), pa.concat_arrays([x[2] for x in held]).take(pa.array(order[first]))
+
+
+def _words(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    _, n, words = _merged_words(held)
+    held.clear()
+    for lo in range(0, len(n), 20_000):
+        yield _tallied("w", word=words.slice(lo, 20_000), n=pa.array(n[lo : lo + 20_000], pa.int64()))
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -313,10 +401,14 @@ def unigram_key(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ _U(0xA0761D6478BD642F))
 
 
-def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
-    """Fill the filters in the shared folder from a tally; returns where they are and their shape."""
-    spark = table.sparkSession
-    total = max(1 << 16, levels * BITS_PER_LEVEL // 8)
+def build_filter(table: DataFrame | None, words: DataFrame, levels: int, bits: int = BITS_PER_LEVEL, most: int = 1 << 62) -> dict:
+    """Fill the filters in the shared folder from a tally, and from ``words``; returns where they are and their shape.
+
+    ``most`` bounds the number of segments: a filter of so many has fewer bits a level instead of more.
+    Each *group* of neighbouring ranges is a file of its own.
+    """
+    spark = words.sparkSession
+    total = min(max(1 << 16, levels * bits // 8), most * FILTER_BYTES)
     segments = -(-total // FILTER_BYTES)
     ranges = RANGES * segments
     range_bytes = -(-total // ranges)
@@ -329,7 +421,7 @@ def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = unigram_key(WordHashes(0).array(batch.column("word").to_pylist()))
+                keys = unigram_key(hashes_of(batch.column("word")))
                 yield _blobs(*_summed(keys, batch.column("n").to_numpy().astype(np.int64)), ranges)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,34 +438,44 @@ def build_filter(table: DataFrame, words: DataFrame, levels: int) -> dict:
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": pa.array([bits], pa.binary()), "full": pa.array([full], pa.float64())})
 
     kind = "range int, keys binary, counts binary"
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments * 16)
-    pairs = table.where("kind = 'p'").select("range", "keys", "counts")
-    if segments > 1:  # a coarse range is so many neighbouring ranges
-        pairs = pairs.mapInArrow(finer, kind)
+    groups = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments * 16), ranges)
+    dealt = words.mapInArrow(unigrams, kind)
+    if table is not None:
+        pairs = table.where("kind = 'p'").select("range", "keys", "counts")
+        if segments > 1:  # a coarse range is so many neighbouring ranges
+            pairs = pairs.mapInArrow(finer, kind)
+        dealt = pairs.unionByName(dealt)
     # keys are hashes, so ranges are even; one row for each task and range
-    dealt = pairs.unionByName(words.mapInArrow(unigrams, kind)).repartition(parts, "range")
-    table = stored(dealt.mapInArrow(fill, "range int, bits binary, full double").withColumn("segment", F.floor(F.col("range") / RANGES).cast("int")), "filter")
+    group = F.floor(F.col("range").cast("long") * groups / ranges).cast("int")
+    filled = dealt.repartitionById(groups, group).mapInArrow(fill, "range int, bits binary, full double")
+    path = scratch_path(spark, "filter")
+    filled.withColumns({"segment": F.floor(F.col("range") / RANGES).cast("int"), "group": group}).write.partitionBy("group").parquet(path)
+    made = spark.read.schema("range int, bits binary, full double, segment int, group int").parquet(path)
     # ranges without a key have no row and err never
-    errors = table.agg(*(F.coalesce(F.sum(F.pow("full", F.lit(k))), F.lit(0.0)) / ranges for k in (FIRST_PROBES, PROBES))).first()
-    return {"path": table.inputFiles(), "ranges": ranges, "range_bytes": range_bytes, "segments": segments, "errors": tuple(errors)}
+    errors = made.agg(*(F.coalesce(F.sum(F.pow("full", F.lit(k))), F.lit(0.0)) / ranges for k in (FIRST_PROBES, PROBES))).first()
+    return {"path": made.inputFiles(), "ranges": ranges, "range_bytes": range_bytes, "segments": segments, "groups": groups, "errors": tuple(errors)}
 
 
-def _load_filter(files: tuple[str, ...], segment: int, ranges: int, range_bytes: int) -> LogBloom:
+def _load_filter(files: Iterable[str], segment: int, ranges: int, range_bytes: int) -> LogBloom:
     """One segment in this worker's memory."""
+    return _load_ranges(files, segment * RANGES, (segment + 1) * RANGES, ranges, range_bytes)
+
+
+def _load_ranges(files: Iterable[str], first: int, end: int, ranges: int, range_bytes: int) -> LogBloom:
+    """The ranges from ``first`` on in this worker's memory."""
     import pyarrow.parquet as pq
 
     from .token_files import filesystem
 
-    bits = np.zeros((RANGES, range_bytes), np.uint8)
+    bits = np.zeros((end - first, range_bytes), np.uint8)
     for file in files:
         system, path = filesystem(file)
         with system.open_input_file(path) as f:
-            source = pq.ParquetFile(f)
-            for batch in source.iter_batches(batch_size=64, columns=["range", "bits", "segment"]):
-                for r, b, s in zip(*(batch.column(c).to_pylist() for c in ("range", "bits", "segment")), strict=True):
-                    if s == segment:
-                        bits[r - segment * RANGES] = np.frombuffer(b, np.uint8)
-    return LogBloom(bits, ranges, segment * RANGES)
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=64, columns=["range", "bits"]):
+                for r, b in zip(batch.column("range").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                    if first <= r < end:
+                        bits[r - first] = np.frombuffer(b, np.uint8)
+    return LogBloom(bits, ranges, first)
 
 
 def _load_head(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -434,31 +536,12 @@ def head_words(words: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, int
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = WordHashes(0).array(batch.column("word").to_pylist())
+            h = hashes_of(batch.column("word"))
             yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": batch.column("n")})
 
     return stored(words.where(F.col("n") >= least).mapInArrow(hashed, "h long, n long"), "head"), least
 
 
-class Known(Vocabulary):
-    """Words that a worker has met, with the filter's level and the exact count of each (0 where the head has none)."""
-
-    def __init__(self, probe: Callable[[np.ndarray], np.ndarray], head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        super().__init__()
-        self.probe, self.head = probe, head
-        self.levels, self.counts = np.zeros(0, np.uint8), np.zeros(0, np.int64)
-
-    def places(self, split: list[list[bytes]], sizes: np.ndarray) -> np.ndarray:
-        if len(self.words) > WORDS // 2:  # the filter and the head are in memory too
-            self.clear()
-            self.__init__(self.probe, self.head)
-        at = super().places(split, sizes)
-        new = self.hashes[len(self.levels) :]
-        self.levels = np.concatenate([self.levels, self.probe(unigram_key(new))])
-        self.counts = np.concatenate([self.counts, _exact(self.head, new)])
-        return at
-
-
 def train(docs: DataFrame) -> dict:
     """A model of all these texts."""
     bounded_batches(docs.sparkSession)
@@ -468,98 +551,69 @@ def train(docs: DataFrame) -> dict:
     head, least = head_words(words)
     bloom = build_filter(table, words, sizes["levels"])
     delete_path(docs.sparkSession, os.path.dirname(table.inputFiles()[0]))  # nothing reads the tally after this
-    return {"words": words, **sizes, "least": least, "head": tuple(sorted(head.inputFiles())), "filter": bloom}
+    # beyond one segment tasks ask for bigrams by exchange, and have a filter of words alone at hand
+    own = build_filter(None, words, sum(q * v for q, v in sizes["by_level"].items()), most=1) if bloom["segments"] > 1 else bloom
+    release(docs.sparkSession)
+    return {"words": words, **sizes, "least": least, "head": tuple(sorted(head.inputFiles())), "filter": bloom, "word_filter": own}
+
+
+def _log_table(belief: Belief) -> np.ndarray:
+    """log10 P by the levels of bigram, history and word, one after the other."""
+    q = np.arange(64)
+    return np.log10(belief.probabilities(*(x.ravel() for x in np.meshgrid(q, q, q, indexing="ij"))))
+
+
+_DOCS = "doc_id long, n_tokens long, n_known long, base double, rest array<string>"
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n_all, n_words, shape = model["N"], model["V"], model["filter"]
-    files, head_files, segments = tuple(sorted(shape["path"])), model["head"], shape["segments"]
-    ranges, range_bytes, whole = shape["ranges"], shape["range_bytes"], model["least"] <= 1
-    belief = Belief(n_all, model["by_level"], *shape["errors"])
+    n_all, n_words, shape, own = model["N"], model["V"], model["filter"], model["word_filter"]
+    files, word_files, head_files, segments = tuple(sorted(shape["path"])), tuple(sorted(own["path"])), model["head"], shape["segments"]
+    ranges, range_bytes, groups, whole = shape["ranges"], shape["range_bytes"], shape["groups"], model["least"] <= 1
+    word_ranges, word_bytes = own["ranges"], own["range_bytes"]
+    belief = Belief(n_all, model["by_level"], shape["errors"][0], max(shape["errors"][1], own["errors"][1]))
     total = math.log10(n_all + n_words + 1)
 
-    def known(at: int) -> Known:
-        """Segment ``at`` and the head in this worker's memory."""
-
-        def load() -> Known:
-            bloom = _load_filter(files, at, ranges, range_bytes)
-
-            def probe(keys: np.ndarray) -> np.ndarray:
-                """Levels of distinct keys as far as the segment has them, else 0."""
-                if segments == 1:
-                    return bloom(keys)
-                own = LogBloom.range_of(keys, ranges) // _U(RANGES) == _U(at)
-                got = np.zeros(len(keys), np.uint8)
-                got[own] = bloom(keys[own])
-                return got
-
-            return Known(probe, _load_head(head_files))
-
-        return worker_memory(f"{files[:1]} {at}", load)
-
-    def one_pass(at: int):
-        last = at == segments - 1
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                held = batch.column("levels").to_pylist()
-                out: dict[str, list] = {c: [] for c in ("levels", "n_tokens", "n_known", "base", "score", "rest")}
-                for lo, hi in in_portions(map(len, texts), PORTION):
-                    n = hi - lo
-                    split = [tokens_of(t) for t in texts[lo:hi]]
-                    sizes = np.array([len(s) for s in split])
-                    ends, owner = np.cumsum(sizes), np.repeat(np.arange(n), sizes)
-                    memory = known(at)
-                    token = memory.places(split, sizes)
-                    pairs, place = np.unique(bigram_keys(memory.hashes[token], sizes), return_inverse=True)
-                    lu, lb = memory.levels[token], memory.probe(pairs)[place]
-                    if at:
-                        parts = [np.frombuffer(b, np.uint8) for b in held[lo:hi]]
-                        lu = np.maximum(lu, np.concatenate([b[: len(b) // 2] for b in parts]))
-                        lb = np.maximum(lb, np.concatenate([b[len(b) // 2 :] for b in parts]))
-                    if not last:
-                        out["levels"] += [lu[e - s : e].tobytes() + lb[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                        for c, empty in (("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("score", 0.0), ("rest", [])):
-                            out[c] += [empty] * n
-                        continue
-                    context = np.empty(len(lu), np.uint8)
-                    context[1:] = lu[:-1]
-                    context[ends - sizes] = lu[ends[0] - 1] if n else 0  # the end before the first word
-                    p = belief.probabilities(lb, context, lu)
-                    out["score"] += np.bincount(owner, np.log10(p), n).tolist()
-                    c, inside = memory.counts[token], memory.counts[token] > 0
-                    inside |= whole
-                    out["base"] += np.bincount(owner, np.where(inside, np.log10(c + 1.0) - total, 0.0), n).tolist()
-                    out["n_known"] += np.bincount(owner, c > 0, n).astype(np.int64).tolist()
-                    out["n_tokens"] += sizes.tolist()
-                    if whole or inside.all():
-                        out["rest"] += [[]] * n
-                    else:
-                        for k, words in enumerate(split):
-                            a = ends[k] - sizes[k]
-                            out["rest"].append([w.decode() for w, here in zip(words, inside[a : ends[k]], strict=True) if not here])
-                if last:
-                    out["levels"] = [b""] * len(texts)
-                kept = texts if not last else [""] * len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(out["levels"], pa.binary()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
-                     pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rest"], pa.list_(pa.string()))],
-                    names=["doc_id", "text", "levels", "n_tokens", "n_known", "base", "score", "rest"],
-                )
-
-        return run
-
-    kind = "doc_id long, text string, levels binary, n_tokens long, n_known long, base double, score double, rest array<string>"
-    rows = texts_of(docs).withColumn("levels", F.lit(b"").cast("binary"))
-    for at in range(segments):
-        rows = rows.mapInArrow(one_pass(at), kind)
-        if at < segments - 1:
-            rows = stored(rows.select("doc_id", "text", "levels"), f"levels{at}")
-    done = rows.drop("text", "levels")
+    def memory():
+        """The filter, the head and the probabilities in this worker's memory."""
+        return worker_memory(f"{word_files[:1]}", lambda: (_load_filter(word_files, 0, word_ranges, word_bytes), _load_head(head_files), _log_table(belief)))
+
+    def looked_up(texts: pa.Array):
+        """Tokens with owners, keys of bigrams, levels of history and word as one number, and the columns of ``_DOCS`` but the id."""
+        probe, head, _ = memory()
+        tokens = Tokens(texts)
+        n = len(tokens.sizes)
+        h, place = np.unique(tokens.hashes, return_inverse=True)
+        lu, exact = probe(unigram_key(h))[place], _exact(head, h)
+        context = np.empty(len(lu), np.uint16)
+        context[1:] = lu[:-1]
+        context[tokens.last - tokens.sizes + 1] = lu[tokens.last[0]]  # the end before the first word
+        owner = tokens.owners()
+        inside = np.full(len(h), True) if whole else exact > 0
+        base = np.bincount(owner, np.where(inside, np.log10(exact + 1.0) - total, 0.0)[place], n)
+        known = np.bincount(owner, (exact > 0)[place], n).astype(np.int64)
+        out = np.flatnonzero(~inside[place])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[out], minlength=n))]).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(ends), tokens.words(out))
+        return owner, bigram_keys(tokens.hashes, tokens.sizes), context << 6 | lu, [pa.array(tokens.sizes, pa.int64()), pa.array(known), pa.array(base), rest]
+
+    def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in in_portions(_sizes(texts), PORTION):
+                owner, keys, code, found = looked_up(texts.slice(lo, hi - lo))
+                probe, _, logs = memory()
+                pairs, place = np.unique(keys, return_inverse=True)
+                p = logs[probe(pairs)[place].astype(np.int64) << 12 | code]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *found, pa.array(np.bincount(owner, p, hi - lo))], names=["doc_id", "n_tokens", "n_known", "base", "rest", "score"])
+
+    if segments == 1:
+        done = texts_of(docs).mapInArrow(one_pass, f"{_DOCS}, score double")
+    else:
+        done = _scored_by_exchange(texts_of(docs), looked_up, belief, files, ranges, range_bytes, groups)
     if whole:
         return done.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
     done = stored(done.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -572,6 +626,74 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return both.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
+def _scored_by_exchange(texts: DataFrame, looked_up: Callable, belief: Belief, files: tuple[str, ...], ranges: int, range_bytes: int, groups: int) -> DataFrame:
+    """The rows of ``score`` where bigrams are in many files: each portion of texts sends its keys to the tasks that hold their ranges, which send back sums by text."""
+    by_group: dict[int, list[str]] = {}
+    for file in files:
+        by_group.setdefault(int(os.path.dirname(file).rpartition("=")[2]), []).append(file)
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in (x.split(" ", 1) for x in _DOCS.split(", ")))
+    names = [x.split()[0] for x in _DOCS.split(", ")]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        portion = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in in_portions(_sizes(texts), PORTION):
+                owner, keys, code, found = looked_up(texts.slice(lo, hi - lo))
+                # as Spark works out a range's group
+                group = (LogBloom.range_of(keys, ranges).astype(np.int64) * groups // ranges).astype(np.uint16)
+                order = np.argsort(group, kind="stable")
+                sizes = np.bincount(group, minlength=groups)
+                at = np.flatnonzero(sizes)
+                ends = np.concatenate([[0], np.cumsum(sizes[at])])
+                columns = [_cut(values[order], ends) for values in (keys, code.astype("<u2"), owner.astype("<u4"))]
+                rows = pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), portion)), *columns], names=["group", "portion", "keys", "codes", "owners"])
+                yield _with_nulls(rows)
+                whole = [batch.column("doc_id").slice(lo, hi - lo), *found]
+                own = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), x) for x in whole]
+                yield _with_nulls(pa.RecordBatch.from_arrays([pa.array([portion % groups], pa.int32()), pa.array([portion]), *own], names=["group", "portion", *names]))
+                portion += 1
+
+    asked = f"group int, portion long, keys binary, codes binary, owners binary, {lists}"
+    wanted = pa.schema([("group", pa.int32()), ("portion", pa.int64()), ("keys", pa.binary()), ("codes", pa.binary()), ("owners", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rest", pa.list_(pa.list_(pa.string())))])
+
+    def _with_nulls(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column(f.name).cast(f.type) if f.name in rows.schema.names else pa.nulls(rows.num_rows, f.type) for f in wanted], schema=wanted)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = None
+        for batch in batches:
+            sums = []
+            for g, keys, codes, owners in zip(*(batch.column(c).to_pylist() for c in ("group", "keys", "codes", "owners")), strict=True):
+                if keys is None:
+                    sums.append((None, None))
+                    continue
+                first, end = -(-g * ranges // groups), -(-(g + 1) * ranges // groups)
+                probe = worker_memory(f"{files[:1]} group {g}", lambda g=g, a=first, b=end: _load_ranges(by_group.get(g, ()), a, b, ranges, range_bytes))
+                logs = _log_table(belief) if logs is None else logs
+                p = logs[probe(np.frombuffer(keys, "<u8")).astype(np.int64) << 12 | np.frombuffer(codes, "<u2")]
+                some, place = np.unique(np.frombuffer(owners, "<u4"), return_inverse=True)
+                sums.append((some.tobytes(), np.bincount(place, p).tobytes()))
+            owner, part = zip(*sums, strict=True) if sums else ((), ())
+            arrays = [batch.column("group"), batch.column("portion"), pa.array(owner, pa.binary()), pa.array(part, pa.binary()), *(batch.column(c) for c in names)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["group", "portion", "owner", "part", *names])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, parts in enumerate(batch.column("parts").to_pylist()):
+                columns = [batch.column(c).slice(k, 1).flatten() for c in names]
+                score = np.zeros(len(columns[0]))
+                for x in parts:
+                    score[np.frombuffer(x["owner"], "<u4")] += np.frombuffer(x["part"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*names, "score"])
+
+    answered = texts.mapInArrow(ask, asked).repartitionById(groups, F.col("group")).mapInArrow(answer, f"group int, portion long, owner binary, part binary, {lists}")
+    # a portion's sums in order of groups, so that results repeat
+    parts = F.array_sort(F.collect_list(F.when(F.col("owner").isNotNull(), F.struct("group", "owner", "part"))))  # as many as groups at most
+    portions = answered.groupBy("portion").agg(parts.alias("parts"), *(F.first(c, ignorenulls=True).alias(c) for c in names))
+    return portions.mapInArrow(added, f"{_DOCS}, score double")
+
+
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all ``documents`` by a model of those whose hash remainder of 7 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

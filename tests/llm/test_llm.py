@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -643,6 +644,26 @@ def test_language_model(spark, documents, monkeypatch, small):
     assert np.abs(off).max() < 0.2 and abs(off.mean()) < 0.02
 
 
+def test_word_hashes_equal_library():
+    rng = random.Random(3)
+    texts = ["", " \t\n", "A", "\u00c4\u00df \x0b\x1c\x85 Zz\u00a0b", *("".join(rng.choices("aB\u00e9 \u6f22\n", k=n)) for n in range(200)), "x" * 31 + " " + "y" * 32 + " " + "Z" * 5000]
+    tokens = bloom_lm.Tokens(pa.array(["left out", *texts])[1:])
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    assert tokens.sizes.tolist() == [len(w) for w in want]
+    assert tokens.hashes.tolist() == [xxhash.xxh64_intdigest(w) for ws in want for w in ws]
+    assert tokens.words(np.arange(len(tokens.hashes))).to_pylist() == [w.decode() for ws in want for w in ws]
+
+
+def test_texts_are_passed_once_for_all_segments(spark, documents, monkeypatch):
+    """Passing them once for each segment grew with the square of the corpus."""
+    monkeypatch.setattr(bloom_lm, "FILTER_BYTES", 1 << 16)
+    model = bloom_lm.train(documents)
+    assert model["filter"]["segments"] > 2
+    monkeypatch.setattr(bloom_lm, "stored", lambda *_: pytest.fail("texts are written again"))
+    plan = bloom_lm.score(documents, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
 def test_language_model_edges(spark, odd):
     model = bloom_lm.train(odd.limit(0))
     assert model["N"] == 0 and all(r["base_score"] == 0 for r in bloom_lm.score(odd, model).collect())
