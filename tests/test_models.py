@@ -209,6 +209,17 @@ def test_cache_encodes_each_sentence_once(spark):
         assert np.allclose(np.array(got[i]).reshape(-1, 3), want)
 
 
+def test_lookup_exchanges_no_vectors_for_sums(spark):
+    df = spark.createDataFrame([(i, ["a", "b", str(i % 7)][: i % 4]) for i in range(60)], "id int, words array<string>")
+    cache = contextual.SentenceCache(fresh_path(spark, "cache"), contextual.NeighbourEncoder(3))
+    cache.fill(df)
+    found = cache.lookup(df, made=contextual.weighted_sums)
+    for r in found.collect():
+        m = contextual.NeighbourEncoder(3)([r["words"]], [len(r["words"])])[0] if r["words"] else None
+        want = None if m is None else sum(x * (p + 1 + 10 * j) for p, row in enumerate(m) for j, x in enumerate(row))
+        assert r["weighted"] == (want if want is None else pytest.approx(want))
+
+
 def test_cache_errors(spark):
     df = spark.createDataFrame([(1, ["a", "b"])], "id int, words array<string>")
     cache = contextual.SentenceCache(fresh_path(spark, "cache"), contextual.NeighbourEncoder(3))
