@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from ..storage import ship
 
 #: Queries of one set that is broadcast, about, and pairs above which neighbours are found block by block in numpy.
-BROADCAST_VECTORS, NATIVE_PAIRS = 200_000, 20_000_000
-BLOCK = 4096
+BROADCAST_VECTORS, NATIVE_PAIRS = 50_000, 20_000_000
+#: Queries and vectors of one product, and how far products may be from sums in order.
+BLOCK, SLACK = 1024, 1e-12
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -76,26 +79,78 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, n: int, metric: str =
     return ranked.where(F.col("rank") <= n).select("query", "rank", "id", "similarity")
 
 
+def packed(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """ids and unit vectors of a set of bounded size, as one array; zero vectors go."""
+    rows = vectors.select("id", normalised("vec").alias("v")).where("v is not null").toArrow()
+    v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return rows.column("id").to_numpy(), v.reshape(rows.num_rows, -1)
+
+
+def in_order(a: np.ndarray, b: np.ndarray, metric: str = "cosine") -> np.ndarray:
+    """Cosine or distance of unit vectors that lie in columns, added up component by component as ``dot`` does: equal vectors get equal values wherever they lie."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total = total + (x * y if metric == "cosine" else (x - y) * (x - y))
+    return total if metric == "cosine" else np.sqrt(total)
+
+
+class _Best:
+    """The ``n`` nearest of each query so far, with all ties of the last."""
+
+    def __init__(self, q: np.ndarray, n: int, metric: str):
+        self.q, self.n, self.metric = q, n, metric
+        self.least = np.full(len(q), -np.inf)  # below this a product is of no use
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.size = 0
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        s = self.q @ v.T
+        if np.isneginf(self.least[:1]).any() and s.shape[1] > self.n:
+            self.least = np.partition(s, -self.n, axis=1)[:, -self.n] - SLACK
+        i, j = np.nonzero(s >= self.least[:, None])
+        self.found.append((i, ids[j], in_order(self.q[i].T, v[j].T, self.metric)))
+        self.size += len(i)
+        if self.size > 8 * self.n * len(self.q):
+            self.cut()
+
+    def cut(self) -> None:
+        i, ids, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        near = s if self.metric == "cosine" else -s
+        order = np.lexsort((-near, i))
+        i, ids, s, near = i[order], ids[order], s[order], near[order]
+        first = np.searchsorted(i, np.arange(len(self.q)))
+        sizes = np.diff(np.append(first, len(i)))
+        full = np.flatnonzero(sizes >= self.n)
+        edge = np.full(len(self.q), -np.inf)
+        edge[full] = near[first[full] + self.n - 1]
+        self.least = np.maximum(self.least, (edge if self.metric == "cosine" else 1 - edge * edge / 2) - SLACK)
+        here = near >= edge[i]
+        self.found = [(i[here], ids[here], s[here])]
+        self.size = int(here.sum())
+
+
 def _by_blocks(queries: DataFrame, vectors: DataFrame, n: int, metric: str) -> DataFrame:
-    rows = queries.select("id", normalised("vec").alias("v")).where("v is not null").collect()  # at most BROADCAST_VECTORS
-    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])))
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(packed(queries))  # at most BROADCAST_VECTORS
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        held = [_Best(q[lo : lo + BLOCK], n, metric) for lo in range(0, len(q), BLOCK)]
         for batch in batches:
-            if not len(batch):
-                continue
-            own, v = batch["id"].to_numpy(), np.stack(batch["v"])
-            for lo in range(0, len(q), BLOCK):
-                s = q[lo : lo + BLOCK] @ v.T
-                s = s if metric == "cosine" else -np.sqrt(np.maximum(2 - 2 * s, 0))
-                k = min(n, s.shape[1])
-                for j, row in enumerate(s):
-                    least = np.partition(row, -k)[-k]
-                    at = np.flatnonzero(row >= least)  # ties at the edge stay: the ids decide later
-                    yield pd.DataFrame({"query": ids[lo + j], "id": own[at], "similarity": np.abs(row[at]) if metric != "cosine" else row[at]})
-
-    return vectors.select("id", normalised("vec").alias("v")).where("v is not null").mapInPandas(best, "query long, id long, similarity double")
+            own = batch.column("id").to_numpy()
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            for lo in range(0, len(own), BLOCK):
+                for some in held:
+                    some.add(own[lo : lo + BLOCK], v[lo : lo + BLOCK])
+        for k, some in enumerate(held):
+            some.cut()
+            i, near, s = some.found[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k * BLOCK + i], pa.int64()), pa.array(near, pa.int64()), pa.array(s)], names=["query", "id", "similarity"])
+
+    ship(spark)
+    # few files of vectors are much work, so they are dealt to all cores
+    dealt = vectors.select(F.col("id").cast("long").alias("id"), normalised("vec").alias("v")).where("v is not null").repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    return dealt.mapInArrow(best, "query long, id long, similarity double")
 
 
 def ranks(found: DataFrame, metric: str = "cosine") -> DataFrame:

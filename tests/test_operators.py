@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,20 @@ def test_strategies():
         augment.parse_strategy("other")
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_blocks_order_copies_by_id(spark, monkeypatch, metric):
+    """Products of whole blocks differ in last digits by place, so copies came in any order."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 37))
+    df = spark.createDataFrame([(i, x[i % 40].tolist()) for i in range(400)] + [(400, [0.0] * 37)] * (metric == "cosine"), "id long, vec array<double>")
+    want = [tuple(r) for r in vectors.top_neighbours(df, df, 13, metric).where("similarity is not null").orderBy("query", "rank").collect() if r["query"] < 400]
+    monkeypatch.setattr(vectors, "NATIVE_PAIRS", 0)
+    monkeypatch.setattr(vectors, "BLOCK", 48)
+    monkeypatch.setattr(vectors, "BROADCAST_VECTORS", 150)
+    got = [tuple(r) for r in vectors.top_neighbours(df, df, 13, metric).orderBy("query", "rank").collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and got == want
+
+
 def test_pseudonyms(spark):
     schema = "doc_id int, sent_idx int, tok_idx int, text string, eligible boolean"
     rows = spark.createDataFrame([(1, 0, 0, "a", True), (1, 0, 1, "a", True), (1, 0, 2, "z", False), (2, 0, 0, "z", False)], schema)
