@@ -159,6 +159,75 @@ def ranks(found: DataFrame, metric: str = "cosine") -> DataFrame:
     return found.withColumn("rank", F.rank().over(W.partitionBy("query").orderBy(order)))
 
 
+def _with_gaps(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, which of them have a vector, and those vectors in columns."""
+    v = rows.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    has = np.diff(v.offsets.to_numpy()) > 0
+    return rows.column("id").to_numpy(), has, v.flatten().to_numpy(zero_copy_only=False).reshape(int(has.sum()), -1).T
+
+
+def cosine_ranks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, id, rank) of every query with every vector, as ``ranks`` of ``similarities``.
+
+    Its rows grow as queries times vectors.  A task compares the queries, in sets of bounded size, with its own
+    vectors; what it finds for a query is a row for each block of vectors, exchanged by query, so pairs are no
+    rows before they have a rank.  A task holds the 16 bytes of each pair of one query at a time.
+    """
+    spark = queries.sparkSession
+    unit = F.coalesce(normalised("vec"), F.array().cast("array<double>"))
+    sets = -(-max(queries.count(), 1) // BROADCAST_VECTORS)
+    dealt = vectors.select(F.col("id").cast("long").alias("id"), unit.alias("v")).repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    ship(spark)
+    found = None
+    for k in range(sets):
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(sets)) == k) if sets > 1 else queries
+        shared = spark.sparkContext.broadcast(_with_gaps(own.select(F.col("id").cast("long").alias("id"), unit.alias("v")).toArrow()))  # at most BROADCAST_VECTORS
+        some = dealt.mapInArrow(lambda batches, shared=shared: _compared(batches, *shared.value), "query long, ids binary, near binary")
+        found = some if found is None else found.unionByName(some)
+    return found.repartition("query").sortWithinPartitions("query").mapInArrow(_ranked, "query long, id long, rank int")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], ids: np.ndarray, known: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+    place = np.cumsum(known) - 1
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            own, has, v = _with_gaps(batch.slice(start, BLOCK))
+            for lo in range(0, len(ids), 64):
+                some = np.flatnonzero(known[lo : lo + 64])
+                near = np.full((len(ids[lo : lo + 64]), len(own)), -np.inf)  # what has no similarity comes last
+                if len(some) and has.any():
+                    s = in_order(q[:, place[lo + some], None], v[:, None, :])
+                    near[np.ix_(some, has)] = np.where(np.isnan(s), np.inf, s)
+                blob = np.ascontiguousarray(own, "<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 64], pa.int64()), pa.array([blob] * len(near), pa.binary()), pa.array([x.tobytes() for x in near], pa.binary())], names=["query", "ids", "near"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of each query's rows, which follow each other."""
+
+    def ranks_of(query: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, near = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), ("<i8", "<f8"), strict=True))
+        order = np.argsort(-near)
+        ids, near = ids[order], near[order]
+        first = np.r_[True, near[1:] != near[:-1]]
+        rank = np.maximum.accumulate(np.where(first, np.arange(1, len(near) + 1), 0)).astype(np.int32)
+        for lo in range(0, len(ids), 1 << 16):
+            n = len(ids[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query, np.int64)), pa.array(ids[lo : lo + n]), pa.array(rank[lo : lo + n])], names=["query", "id", "rank"])
+
+    at, held = None, []
+    for batch in batches:
+        for query, ids, near in zip(*(batch.column(c).to_pylist() for c in ("query", "ids", "near")), strict=True):
+            if held and query != at:
+                yield from ranks_of(at, held)
+                held = []
+            at = query
+            held.append((ids, near))
+    if held:
+        yield from ranks_of(at, held)
+
+
 def closest_other(found: DataFrame) -> DataFrame:
     """Second hit of each query; the first is the query itself."""
     return found.where("rank = 2")

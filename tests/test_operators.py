@@ -152,6 +152,17 @@ def test_blocks_order_copies_by_id(spark, monkeypatch, metric):
     assert [g[:3] for g in got] == [w[:3] for w in want] and got == want
 
 
+def test_ranks_without_exchange_of_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(size=(30, 7)).tolist() * 3, [0.0] * 7, None]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, vec array<double>").repartition(3)
+    some = df.where("id % 10 = 0 or id > 89")
+    want = sorted(tuple(r) for r in vectors.ranks(vectors.similarities(some, df)).select("query", "id", "rank").collect())
+    found = vectors.cosine_ranks(some, df)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) == 11 * 92
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pseudonyms(spark):
     schema = "doc_id int, sent_idx int, tok_idx int, text string, eligible boolean"
     rows = spark.createDataFrame([(1, 0, 0, "a", True), (1, 0, 1, "a", True), (1, 0, 2, "z", False), (2, 0, 0, "z", False)], schema)
