@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bound, running, unescape_html, with_matches
+from .text import bound, running, unescape_html
 
 ENTITY = r"<[bB][rR]/?>|&[a-z]{2,3};|&#[0-9]{2,4};"
 _QUOTES = "\"'`“”‘’„«»"
@@ -41,7 +41,10 @@ _SUBJECT = rf"(?:(?i:{'|'.join(SUBJECTS)})['’](?i:{'|'.join(ENDINGS)}))"
 _ABBREVIATION = "(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")"
 _EXCEPTION = rf"(?:{_ABBREVIATION}|{_NEGATION}|{_SUBJECT})"
 # repeated groups are possessive, which Java works off without recursion: stretches may be very long
-_CHUNK = rf"{ENTITY}|\s+|(?:(?!{ENTITY})\S)++"
+_CHUNK = rf"{ENTITY}|\s+|(?:[^\s<&]++|(?!{ENTITY})[<&])++"
+# most stretches: a word or a number, alone or with one sign behind it; no rule cuts the word or number
+_WORD = r"^(?:[A-Za-z]+|[0-9]+)$"
+_WORD_AND_SIGN = r"^(?:[A-Za-z]+[,;:!?]|[A-Za-z]*[a-z]\.)$"
 _INSIDE = rf"(?:(?!{_INFIX})(?![0-9][A-Za-z])(?s:.))"
 #: A run up to an infix, or up to a digit that a letter follows, with that digit.
 _RUN = rf"{_INSIDE}*+(?!{_INFIX})[0-9](?=[A-Za-z])|{_INSIDE}++"
@@ -87,11 +90,19 @@ def _suffixes(before: Column, tail: Column) -> Column:
 
 def rule_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """keep, ord, text, start, end, unescaped, is_space of every token; ``ord`` ascends with the text."""
-    chunks = with_matches(df, text, _CHUNK, *keep)
+    # stretches leave nothing between them, so their lengths alone say where they are
+    parts = df.select(*keep, _all(F.col(text), _CHUNK).alias("m")).where(F.size("m") > 0).withColumn("e", running(F.transform("m", lambda x: F.length(x))))
+    chunks = parts.select(*keep, F.explode(F.arrays_zip("m", "e")).alias("z")).select(*keep, F.col("z.m").alias("match"), (F.col("z.e") - F.length("z.m")).alias("start"))
     match = F.col("match")
     blank = match.rlike(r"^\s+$")
     rest = F.when((F.col("start") > 0) & match.startswith(" "), F.substring(match, F.lit(2), F.length(match))).otherwise(match)
-    parts = F.when(blank, F.filter(F.array(rest), lambda x: x != "")).when(match.rlike(f"^(?:{ENTITY})$"), F.array(match)).otherwise(pieces(match))
+    parts = (
+        F.when(blank, F.filter(F.array(rest), lambda x: x != ""))
+        .when(match.rlike(_WORD), F.array(match))
+        .when(match.rlike(_WORD_AND_SIGN) & ~match.isin(*ABBREVIATIONS), F.array(F.left(match, F.length(match) - 1), F.right(match, F.lit(1))))
+        .when(match.rlike(f"^(?:{ENTITY})$"), F.array(match))
+        .otherwise(pieces(match))
+    )
     rows = chunks.select(*keep, "start", (F.length("match") - F.length(rest)).alias("skip"), blank.alias("is_space"), parts.alias("p")).where(F.size("p") > 0)
     rows = rows.withColumn("e", running(F.transform("p", lambda x: F.length(x))))
     rows = rows.select(*keep, "start", "skip", "is_space", F.explode(F.arrays_zip("p", "e")).alias("z"))

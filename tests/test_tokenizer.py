@@ -110,3 +110,27 @@ def test_query(spark):
     rows = QUERIES["tokenize_rules"](spark, "/root/testdata/sf0.001").collect()
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where(F.length("text") > 0).count()
     assert len(rows) == turns and all(0 < r["n_words"] <= r["n_tokens"] for r in rows)
+
+
+def test_common_stretches_as_by_all_rules(spark):
+    """Words and numbers, alone or before one sign, go round the rules' regular expressions and come out as by them."""
+    rng = random.Random(9)
+    cases = [w + sign for w in ("a", "I", "kg", "Word", "WORD", "wORd", "x", "12", "7", "km", "etc", "Dr", "Co", "vs", "St", "cant", "mph", "Zb") for sign in ("", ".", ",", ";", ":", "!", "?", "..", "'s", "%")]
+    cases += ["".join(rng.choices("abKM19.,;!?", k=rng.randint(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    for r in df.select("c", K.pieces("c").alias("p")).collect():
+        CASES_BY_RULE[r["c"]] = r["p"]
+    assert tokens_of_each(spark, cases) == [CASES_BY_RULE[c] for c in cases]
+    plan = K.rule_tokens(df.withColumn("id", F.lit(1)), "c", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # texts are matched once
+
+
+CASES_BY_RULE: dict = {}
+
+
+def tokens_of_each(spark, cases):
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    found = {i: [] for i in range(len(cases))}
+    for r in K.rule_tokens(df, "text", "id").orderBy("id", "ord").collect():
+        found[r["id"]].append(r["text"])
+    return [found[i] for i in range(len(cases))]
