@@ -96,16 +96,18 @@ def rule_tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
     match = F.col("match")
     blank = match.rlike(r"^\s+$")
     rest = F.when((F.col("start") > 0) & match.startswith(" "), F.substring(match, F.lit(2), F.length(match))).otherwise(match)
+    one = lambda t, e: F.struct(t.alias("p"), e.cast("int").alias("e"))  # noqa: E731  a token and where it ends
+    whole, before = F.array(one(match, F.length(match))), F.length(match) - 1
+    some = bound(pieces(match), lambda p: F.when(F.size(p) > 0, F.zip_with(p, running(F.transform(p, lambda x: F.length(x))), one)))
     parts = (
-        F.when(blank, F.filter(F.array(rest), lambda x: x != ""))
-        .when(match.rlike(_WORD), F.array(match))
-        .when(match.rlike(_WORD_AND_SIGN) & ~match.isin(*ABBREVIATIONS), F.array(F.left(match, F.length(match) - 1), F.right(match, F.lit(1))))
-        .when(match.rlike(f"^(?:{ENTITY})$"), F.array(match))
-        .otherwise(pieces(match))
+        F.when(blank, F.when(rest != "", F.array(one(rest, F.length(rest)))))
+        .when(match.rlike(_WORD), whole)
+        .when(match.rlike(_WORD_AND_SIGN) & ~match.isin(*ABBREVIATIONS), F.array(one(F.left(match, before), before), one(F.right(match, F.lit(1)), before + 1)))
+        .when(match.rlike(f"^(?:{ENTITY})$"), whole)
+        .otherwise(some)
     )
-    rows = chunks.select(*keep, "start", (F.length("match") - F.length(rest)).alias("skip"), blank.alias("is_space"), parts.alias("p")).where(F.size("p") > 0)
-    rows = rows.withColumn("e", running(F.transform("p", lambda x: F.length(x))))
-    rows = rows.select(*keep, "start", "skip", "is_space", F.explode(F.arrays_zip("p", "e")).alias("z"))
+    # nothing but the explosion names the tokens: a condition on them would work them out once more
+    rows = chunks.select(*keep, "start", (F.length("match") - F.length(rest)).alias("skip"), blank.alias("is_space"), F.explode(parts).alias("z"))
     end = F.col("start") + F.when(F.col("is_space"), F.col("skip")).otherwise(0) + F.col("z.e")
     rows = rows.select(*keep, F.col("z.p").alias("text"), end.alias("end"), "is_space").withColumn("start", F.col("end") - F.length("text"))
     return rows.select(*keep, F.col("start").alias("ord"), "text", "start", "end", unescape_html("text").alias("unescaped"), "is_space")
