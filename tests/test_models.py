@@ -58,6 +58,76 @@ def test_long_chain_does_not_overflow(spark):
     assert math.isfinite(r["z"]) and np.allclose(np.sum(r["p"], axis=1), 1)
 
 
+SENTENCES = "doc_id long, sent_idx int, words array<string>, labels array<int>"
+
+
+def counted_sentences(rng, n=60):
+    """Sentences of few frequent and many rare words, empty ones and null words among them; every third is all label 0."""
+    rows = []
+    for i in range(n):
+        words = [None if x > 0.97 else f"rare{rng.randrange(200)}" if x > 0.7 else f"w{int(20 * x * x)}" for x in (rng.random() for _ in range(rng.choice([0, 1, 2, 7, 40])))]
+        rows.append((i // 4, i % 4, words, [0 if i % 3 == 0 else rng.randrange(3) for _ in words]))
+    return rows
+
+
+def folded(spark, rows):
+    """The same by counting in Python and the folds over columns."""
+    words, steps, totals = {}, np.zeros((3, 3)), np.zeros(3)
+    for _, _, sentence, ys in rows:
+        for w, y in zip(sentence, ys, strict=True):
+            totals[y] += 1
+            if w is not None:
+                words.setdefault(w, np.zeros(3))[y] += 1
+        for a, b in itertools.pairwise(ys):
+            steps[a, b] += 1
+    unary = lambda w: np.log((words.get(w, np.zeros(3)) + 1) / (totals + 1)).tolist()
+    m = sequence.matrix(np.log((steps + 1) / (steps.sum(1, keepdims=True) + 3)).tolist())
+    df = spark.createDataFrame([(d, s, [unary(w) for w in sentence], ys) for d, s, sentence, ys in rows], "doc_id long, sent_idx int, unary array<array<double>>, labels array<int>")
+    return {(r[0], r[1]): (r[2], r[3]) for r in df.select("doc_id", "sent_idx", F.size("labels"), sequence.log_likelihood(F.col("unary"), m, F.col("labels"))).collect()}
+
+
+@pytest.mark.parametrize("most", [0, 3, 15, 1000])
+def test_counted_chain_equals_folds(spark, most):
+    """Whatever number of words is held by tasks, and whether or not sentences come without labels."""
+    rows = counted_sentences(random.Random(5))
+    plain = [r for r in rows if not any(r[3])]
+    sources = (spark.createDataFrame([r for r in rows if any(r[3])], SENTENCES), None), (spark.createDataFrame([r[:3] for r in plain], SENTENCES.rsplit(",", 1)[0]), None)
+    parts = [sequence.tallies(df, 3, cut) for df, cut in sources]
+    chain = sequence.counted(parts[0].unionByName(parts[1]), 3)
+    names, unary = sequence.frequent_words(chain, most)
+    assert len(names) <= most and len(unary) == len(names) + 1
+    got = {(r["doc_id"], r["sent_idx"]): (r["n_tokens"], r["log_likelihood"]) for r in sequence.likelihoods(chain, *sources, most=most).collect()}
+    want = folded(spark, rows)
+    assert got.keys() == want.keys()
+    for k, (n, ll) in want.items():
+        assert got[k] == (n, pytest.approx(ll, abs=1e-9))
+
+
+def test_chain_without_rows(spark):
+    none = spark.createDataFrame([], SENTENCES)
+    chain = sequence.counted(sequence.tallies(none, 3), 3)
+    assert np.allclose(chain.steps, math.log(1 / 3)) and sequence.likelihoods(chain, (none, None)).count() == 0
+    # words that were not counted have the scores of a word never seen
+    one = spark.createDataFrame([(1, 0, ["new"], [2])], SENTENCES)
+    assert sequence.likelihoods(chain, (one, None)).first()["log_likelihood"] == pytest.approx(math.log(1 / 3))
+
+
+def test_sequence_likelihood_exchanges_no_frequent_words(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [(d, " ".join(rng.choice(["alpha", "beta", "gamma", "delta."]) for _ in range(3000)) + (" a@b.com" if d % 10 == 0 else "")) for d in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages())
+
+    def stages():
+        every = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {every.apply(i).stageId() for i in range(every.size())}
+
+    before = written()
+    assert model_queries.sequence_likelihood(spark, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] == 40 * 3000 + 4 * 3
+    assert written() - before < 40 * 3000 / 5
+
+
 # --- sentences and running totals -----------------------------------------------------------------
 
 
