@@ -43,17 +43,26 @@ def is_hipaa(hipaa_idnum: bool = False) -> Column:
 
 
 def span_tokens(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Scoring tokens of each span's slice of the document, stamped with its name and type."""
+    """Scoring tokens of each span's slice of the document, stamped with its name and type, and its side if it has one (``gold``)."""
+    side = [c for c in ("gold",) if c in spans.columns]
     both = spans.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-    cut = both.select("doc_id", "tag_name", "tag_type", F.col("start").alias("s0"), F.col("end").alias("e0"), F.expr("substring(doc_text, start + 1, end - start)").alias("slice")).distinct()
-    rows = scorer_tokens(cut, "slice", "doc_id", "tag_name", "tag_type", "s0", "e0")
-    return rows.select("doc_id", "tag_name", "tag_type", (F.col("s0") + F.col("start")).alias("start"), (F.col("s0") + F.col("end")).alias("end"))
+    cut = both.select("doc_id", *side, "tag_name", "tag_type", F.col("start").alias("s0"), F.col("end").alias("e0"), F.expr("substring(doc_text, start + 1, end - start)").alias("slice")).distinct()
+    rows = scorer_tokens(cut, "slice", "doc_id", *side, "tag_name", "tag_type", "s0", "e0")
+    return rows.select("doc_id", *side, "tag_name", "tag_type", (F.col("s0") + F.col("start")).alias("start"), (F.col("s0") + F.col("end")).alias("end"))
 
 
-def _exploded(units: DataFrame, which: list[Variant], user: Column | None) -> DataFrame:
-    """(variant, doc_id, key): each unit once for every variant it takes part in."""
-    if user is not None:
-        units = units.where(user)
+def _both_sides(docs: DataFrame, gold: DataFrame, system: DataFrame, user: Column | None) -> DataFrame:
+    """Spans of both sides that pass ``user``, with ``gold`` (1 or 0), of those documents alone.
+
+    They are exchanged after they are put together.  Spark takes a union of sides that are partitioned alike to be partitioned
+    so too, but reads the partitions of each side in numbers of its own, and spans of one document would not meet.
+    """
+    passed = [(spans.where(user) if user is not None else spans).select("doc_id", "tag_name", "tag_type", "start", "end", F.lit(flag).alias("gold")) for flag, spans in ((1, gold), (0, system))]
+    return passed[0].unionByName(passed[1]).join(docs.select("doc_id"), "doc_id", "left_semi").repartition("doc_id", "start")
+
+
+def _exploded(units: DataFrame, which: list[Variant]) -> DataFrame:
+    """(variant, doc_id, key, gold): each unit once for every variant it takes part in."""
     full = F.concat_ws("|", "tag_name", "start", "end", F.upper("tag_type"))
     place = F.concat_ws("|", "start", "end")
     parts = []
@@ -64,7 +73,7 @@ def _exploded(units: DataFrame, which: list[Variant], user: Column | None) -> Da
         if v.category:
             take = take & F.coalesce(F.col("tag_name") == v.category, F.lit(False))
         parts.append(F.when(take, F.struct(F.lit(v.name).alias("variant"), (place if v.binary else full).alias("key"))))
-    return units.select("doc_id", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.variant", "doc_id", "x.key")
+    return units.select("doc_id", "gold", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.variant", "doc_id", "x.key", "gold")
 
 
 def counts(docs: DataFrame, gold: DataFrame, system: DataFrame, which: list[Variant] | None = None, user: Column | None = None) -> DataFrame:
@@ -75,14 +84,11 @@ def counts(docs: DataFrame, gold: DataFrame, system: DataFrame, which: list[Vari
     """
     which = which or variants()
     exact = [v for v in which if not v.fuzzy]
-    sides = []
-    for flag, spans in ((1, gold), (0, system)):
-        spans = spans.join(docs.select("doc_id"), "doc_id", "left_semi")
-        tags = _exploded(spans, [v for v in exact if v.unit == "tag"], user)
-        wanted = [v for v in exact if v.unit == "token"]
-        rows = tags.unionByName(_exploded(span_tokens(docs, spans), wanted, user)) if wanted else tags
-        sides.append(rows.withColumn("gold", F.lit(flag)))
-    merged = sides[0].unionByName(sides[1]).groupBy("variant", "doc_id", "key").agg(F.max("gold").alias("g"), F.max(1 - F.col("gold")).alias("s"))
+    both = _both_sides(docs, gold, system, user)
+    rows = _exploded(both, [v for v in exact if v.unit == "tag"])
+    if wanted := [v for v in exact if v.unit == "token"]:
+        rows = rows.unionByName(_exploded(span_tokens(docs, both), wanted))
+    merged = rows.groupBy("variant", "doc_id", "key").agg(F.max("gold").alias("g"), F.max(1 - F.col("gold")).alias("s"))
     out = merged.groupBy("variant", "doc_id").agg(
         F.sum(F.col("g") * F.col("s")).alias("tp"), F.sum(F.col("s") * (1 - F.col("g"))).alias("fp"), F.sum(F.col("g") * (1 - F.col("s"))).alias("fn")
     )
@@ -101,15 +107,9 @@ def relaxed_counts(docs: DataFrame, gold: DataFrame, system: DataFrame, which: l
 
     Spans of both sides that start together meet in one aggregate, as two sets of ends; all variants come from it.
     """
-    ids = docs.select("doc_id")
-
-    def side(spans: DataFrame, flag: int) -> DataFrame:
-        rows = spans.join(ids, "doc_id", "left_semi")
-        rows = rows.where(user) if user is not None else rows
-        return rows.select("doc_id", "tag_name", F.upper("tag_type").alias("tag_type"), "start", "end", F.lit(flag).alias("gold"))
-
+    both = _both_sides(docs, gold, system, user).withColumn("tag_type", F.upper("tag_type"))
     ends = lambda flag: F.collect_set(F.when(F.col("gold") == flag, F.col("end")))
-    met = side(gold, 1).unionByName(side(system, 0)).groupBy("doc_id", "tag_name", "tag_type", "start").agg(ends(1).alias("g"), ends(0).alias("s"))
+    met = both.groupBy("doc_id", "tag_name", "tag_type", "start").agg(ends(1).alias("g"), ends(0).alias("s"))
     lone = lambda own, other: F.size(F.filter(own, lambda x: ~F.exists(other, lambda y: F.abs(x - y) <= FUZZY)))
     names = F.array_compact(F.array(*(F.when(F.coalesce(is_hipaa(), F.lit(False)) if v.hipaa else F.lit(True), F.lit(v.name)) for v in which)))
     counted = met.select("doc_id", F.explode(names).alias("variant"), F.size("s").alias("n"), lone("s", "g").alias("fp"), lone("g", "s").alias("fn"))

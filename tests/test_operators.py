@@ -9,6 +9,7 @@ from maskwright.plans.registry import QUERIES
 from maskwright.schemas import labels as label_list
 from maskwright.schemas import label_index, phi_types
 from maskwright.sources import config, sinks, standoff, token_files
+from maskwright.storage import stored
 
 SPAN = "doc_id string, tag_type string, tag_name string, start int, end int, text string"
 
@@ -50,6 +51,24 @@ def test_every_variant_has_a_row(spark):
     assert len(empty) == 42 and all(r["tp"] == r["fp"] == r["fn"] == 0 for r in empty)
 
 
+def test_one_row_for_each_document_however_sides_are_exchanged(spark):
+    """Sides of unlike size, whose partitions Spark reads in other numbers: spans that one side alone has still meet in one row of the document."""
+    docs = spark.range(500).selectExpr("cast(id AS string) AS doc_id", "repeat('word ', 62) AS text")
+    spans = docs.selectExpr("doc_id", "explode(sequence(0, 29)) AS k").selectExpr("doc_id", "'CONTACT' AS tag_name", "'PHONE' AS tag_type", "5 * k AS start", "5 * k + 4 AS end")
+    system = spans.where("start = 0").selectExpr("doc_id", "tag_name", "tag_type", "start + 300 AS start", "end + 300 AS end")
+    few = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, value in few.items():
+            spark.conf.set(k, value)
+        which = [v for v in evaluation.variants() if v.name in ("Strict", "Relaxed", "Token")]
+        got = [tuple(r) for r in evaluation.counts(docs, stored(spans, "gold"), stored(system, "system"), which).select("variant", "doc_id", "tp", "fp", "fn").collect()]
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert sorted(got) == sorted((v, str(d), 0, 1, 30) for v in ("Strict", "Relaxed", "Token") for d in range(500))
+
+
 def test_text_differences_and_report(spark):
     gold = spark.createDataFrame([("1", "ab 😀 cd"), ("2", "same"), ("3", None), ("4", "abc"), ("5", "x")], "doc_id string, text string")
     system = spark.createDataFrame([("1", "ab 😀 xd"), ("2", "same"), ("3", None), ("4", "abcdef"), ("6", "x")], "doc_id string, text string")
