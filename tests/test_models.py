@@ -209,6 +209,32 @@ def test_tagger_without_rows(spark):
     assert tagger.tagged(tagger.featured(none, bits=8), model).count() == 0
 
 
+def test_tagger_learns_from_every_sentence(spark, monkeypatch):
+    """What the query learns from is all sentences of the documents with even ids, none left out."""
+    given = []
+    monkeypatch.setattr(tagger, "train", lambda sentences, known: given.append(sentences.count()) or tagger.Tagger(known, 18, np.zeros((1 << 18, len(known))), np.zeros((len(known),) * 2)))
+    model_queries.sequence_tagger(spark, "/root/testdata/sf0.01")
+    sentences = T.scorer_sentence_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0"), "text", "doc_id")
+    assert given == [sentences.count()]
+
+
+def test_mislabelled_sentences_are_those_that_viterbi_labels_otherwise():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for first in (0.0, 3.0, 12.0):  # from no sentence that is certain to nearly all
+        unary, steps = rng.normal(size=(64, 3)), rng.normal(size=(3, 3))
+        unary[:, 0] += first / 4
+        sizes = [0, *rng.integers(0, 6, 200).tolist(), 0]
+        features = [rng.integers(0, 64, (n, 4)).tolist() for n in sizes]
+        paths = [tagger.viterbi(unary[np.array(f)].sum(1)[None], steps)[0].tolist() if f else [] for f in features]
+        ys = [[(y + (rng.random() < 0.1)) % 3 for y in p] for p in paths]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(ys))), pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(ys, pa.list_(pa.int32()))], names=["i", "features", "ys"])
+        for part in (batch, batch.slice(7, 90)):
+            got = [i for b in tagger._mislabelled(iter([part]), unary, steps) for i in b.column("i").to_pylist()]
+            assert got == [i for i in part.column("i").to_pylist() if ys[i] != paths[i]]
+
+
 def test_tagger_in_shards(spark, monkeypatch):
     monkeypatch.setattr(tagger, "SHARD", 25)
     tokens = planted(spark, 200)
