@@ -8,17 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from ..storage import ship
+from ..storage import ship, stored
 
 #: Queries of one set that is broadcast, about, and pairs above which neighbours are found block by block in numpy.
 BROADCAST_VECTORS, NATIVE_PAIRS = 50_000, 20_000_000
 #: Queries and vectors of one product, and how far products may be from sums in order.
 BLOCK, SLACK = 1024, 1e-12
+#: Bytes of similarities that a task of ``cosine_ranks`` holds at once, or those of one query, and queries of a task, about.
+HELD_BYTES, QUERIES_OF_TASK = 128 << 20, 1024
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -164,68 +168,73 @@ def _with_gaps(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray,
     v = rows.column("v")
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     has = np.diff(v.offsets.to_numpy()) > 0
-    return rows.column("id").to_numpy(), has, v.flatten().to_numpy(zero_copy_only=False).reshape(int(has.sum()), -1).T
+    n, flat = int(has.sum()), v.flatten().to_numpy(zero_copy_only=False)
+    return rows.column("id").to_numpy(), has, flat.reshape(n, len(flat) // max(n, 1)).T
 
 
 def cosine_ranks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query, id, rank) of every query with every vector, as ``ranks`` of ``similarities``.
 
-    Its rows grow as queries times vectors.  A task compares the queries, in sets of bounded size, with its own
-    vectors; what it finds for a query is a row for each block of vectors, exchanged by query, so pairs are no
-    rows before they have a rank.  A task holds the 16 bytes of each pair of one query at a time.
+    Its rows grow as queries times vectors, but no pair is exchanged or stored: unit vectors are written once, and a task
+    with some of the queries reads them block by block.  It holds the 8 bytes of each pair of one set of queries,
+    ``HELD_BYTES``, or one query, at a time.
     """
     spark = queries.sparkSession
     unit = F.coalesce(normalised("vec"), F.array().cast("array<double>"))
-    sets = -(-max(queries.count(), 1) // BROADCAST_VECTORS)
-    dealt = vectors.select(F.col("id").cast("long").alias("id"), unit.alias("v")).repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    kept = stored(vectors.select(F.col("id").cast("long").alias("id"), unit.alias("v")), "vectors")
+    files, n = tuple(sorted(kept.inputFiles())), kept.count()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-queries.count() // QUERIES_OF_TASK))
     ship(spark)
-    found = None
-    for k in range(sets):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(sets)) == k) if sets > 1 else queries
-        shared = spark.sparkContext.broadcast(_with_gaps(own.select(F.col("id").cast("long").alias("id"), unit.alias("v")).toArrow()))  # at most BROADCAST_VECTORS
-        some = dealt.mapInArrow(lambda batches, shared=shared: _compared(batches, *shared.value), "query long, ids binary, near binary")
-        found = some if found is None else found.unionByName(some)
-    return found.repartition("query").sortWithinPartitions("query").mapInArrow(_ranked, "query long, id long, rank int")
+    dealt = queries.select(F.col("id").cast("long").alias("id"), unit.alias("v")).repartition(tasks, "id")
+    return dealt.mapInArrow(lambda batches: _ranked(batches, files, n), "query long, id long, rank int")
 
 
-def _compared(batches: Iterator[pa.RecordBatch], ids: np.ndarray, known: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], files: tuple[str, ...], n: int) -> Iterator[pa.RecordBatch]:
+    """Ranks of all vectors in ``files``, ``n`` of them, for each query; queries of one id are ranked as one."""
+    rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if rows is None or not rows.num_rows or not n:
+        return
+    rows = rows.sort_by("id")
+    asked, known, q = _with_gaps(rows)
     place = np.cumsum(known) - 1
-    for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK):
-            own, has, v = _with_gaps(batch.slice(start, BLOCK))
-            for lo in range(0, len(ids), 64):
-                some = np.flatnonzero(known[lo : lo + 64])
-                near = np.full((len(ids[lo : lo + 64]), len(own)), -np.inf)  # what has no similarity comes last
-                if len(some) and has.any():
-                    s = in_order(q[:, place[lo + some], None], v[:, None, :])
-                    near[np.ix_(some, has)] = np.where(np.isnan(s), np.inf, s)
-                blob = np.ascontiguousarray(own, "<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 64], pa.int64()), pa.array([blob] * len(near), pa.binary()), pa.array([x.tobytes() for x in near], pa.binary())], names=["query", "ids", "near"])
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks of each query's rows, which follow each other."""
-
-    def ranks_of(query: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        ids, near = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), ("<i8", "<f8"), strict=True))
-        order = np.argsort(-near)
-        ids, near = ids[order], near[order]
-        first = np.r_[True, near[1:] != near[:-1]]
-        rank = np.maximum.accumulate(np.where(first, np.arange(1, len(near) + 1), 0)).astype(np.int32)
-        for lo in range(0, len(ids), 1 << 16):
-            n = len(ids[lo : lo + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query, np.int64)), pa.array(ids[lo : lo + n]), pa.array(rank[lo : lo + n])], names=["query", "id", "rank"])
-
-    at, held = None, []
-    for batch in batches:
-        for query, ids, near in zip(*(batch.column(c).to_pylist() for c in ("query", "ids", "near")), strict=True):
-            if held and query != at:
-                yield from ranks_of(at, held)
-                held = []
-            at = query
-            held.append((ids, near))
-    if held:
-        yield from ranks_of(at, held)
+    heads = np.append(np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]), len(asked))
+    start = 0
+    while start < len(heads) - 1:
+        end = start + 1
+        while end < len(heads) - 1 and (heads[end + 1] - heads[start]) * n * 8 <= HELD_BYTES:
+            end += 1
+        some = np.arange(heads[start], heads[end])
+        ids, near = np.empty(n, np.int64), np.full((len(some), n), -np.inf)  # what has no similarity comes last
+        has_q, at = np.flatnonzero(known[some]), 0
+        for block in _blocks(files):
+            own, has, v = _with_gaps(block)
+            ids[at : at + len(own)] = own
+            to = at + np.flatnonzero(has)
+            for lo in range(0, len(has_q) if len(to) else 0, 64):
+                part = has_q[lo : lo + 64]
+                s = in_order(q[:, place[some[part]], None], v[:, None, :])
+                near[part[:, None], to] = np.where(np.isnan(s), np.inf, s)
+            at += len(own)
+        for a, b in zip(heads[start:end] - heads[start], heads[start + 1 : end + 1] - heads[start], strict=True):
+            yield from _by_rank(int(asked[some[a]]), np.tile(ids, b - a), near[a:b].ravel())
+        start = end
+
+
+def _blocks(files: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for file in files:
+        system, path = fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(batch_size=BLOCK, columns=["id", "v"])
+
+
+def _by_rank(query: int, ids: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(-near)
+    ids, near = ids[order], near[order]
+    first = np.r_[True, near[1:] != near[:-1]]
+    rank = np.maximum.accumulate(np.where(first, np.arange(1, len(near) + 1), 0)).astype(np.int32)
+    for lo in range(0, len(ids), 1 << 16):
+        own = ids[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), query, np.int64)), pa.array(own), pa.array(rank[lo : lo + len(own)])], names=["query", "id", "rank"])
 
 
 def closest_other(found: DataFrame) -> DataFrame:

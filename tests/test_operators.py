@@ -297,3 +297,19 @@ def test_growing_batches_hold_every_row(spark, tmp_path):
     assert {r["doc_id"]: (r["batch"], r["place"]) for r in rows} == expected
     with pytest.raises(ValueError):
         sampling.compounding_sizes(spark, 1, 20, 1.0)
+
+
+def test_cosine_ranks_exchange_no_pairs(spark, monkeypatch):
+    """Whatever a task may hold; repeated ids, equal, zero and null vectors among them.  Only queries are exchanged, before they meet vectors."""
+    rng = np.random.default_rng(2)
+    vecs = [rng.normal(size=4).tolist() for _ in range(30)]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(0, vecs[1]), (31, vecs[3]), (32, [0.0] * 4), (33, None), (50, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = df.where("id % 10 = 0")
+    want = sorted(map(tuple, vectors.ranks(vectors.similarities(queries, df)).select("query", "id", "rank").collect()))
+    for held in (1, 700, 1 << 20):
+        monkeypatch.setattr(vectors, "HELD_BYTES", held)
+        found = vectors.cosine_ranks(queries, df)
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Repartition") and plan.count("MapInArrow") == 1
