@@ -64,6 +64,14 @@ def test_case_feature_is_one_class(spark):
     assert [r["f"] for r in rows] == [[int(i == r["c"]) for i in range(7)] for r in rows]
 
 
+def test_classes_of_cut_tokens_are_those_of_their_text(spark):
+    texts = ["", "--", "12 1a2 abc ABC Abc aBc a1c A1 1A A12 ab12 Ab1 A a 1", "\u00e9Ab \u01c5a9 x", None, "Z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = T.scorer_tokens(docs, "text", "doc_id", columns=("idx", "token", "case"))
+    rows = got.select("case", T.case_class("token").alias("want"), T.class_features("case", ["case", "useless_one"]).alias("f"), T.features("token", ["case", "useless_one"]).alias("g")).collect()
+    assert len(rows) == 22 and all(r["case"] == r["want"] and r["f"] == r["g"] for r in rows)
+
+
 def test_portions_hold_long_texts_alone(monkeypatch):
     import pyarrow as pa
 
